@@ -5,21 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, mixing, packing, substring_dedup
 from .near_dedup import near_duplicates
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary file is; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("first").alias("first_doc_id"), F.col("start").cast("long").alias("start_word"),
+        F.col("n").cast("long").alias("n_words"),
+    )
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), mixing.WEIGHTS)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_duplicates": op2_near_duplicates}
+    return {
+        f.__name__: f
+        for f in (op1_substring_dedup, op2_near_duplicates, op5_mix_sources, op8_language, op9_packing, pipeline)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix_sources": mixing.oracle_sql()}
