@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import evaluation
+
 
 def queries() -> dict:
-    return {}
+    return dict(evaluation.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(evaluation.ORACLE)
