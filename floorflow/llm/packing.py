@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ GROUP_CHARS = 12_000_000
 #: Weight of a piece's squared length over the capacity (attention) against
 #: its length (everything else).
 ATTENTION = 1.0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _STATE: dict = {}
 
 
@@ -28,74 +29,70 @@ class WordTokens:
     """Token ids of texts by a tokenizers file that drops white space.
 
     The vocabulary splits at white space, so a text's ids are those of its
-    runs of other characters in order; frequent runs are kept in a bounded
-    cache, and new ones are encoded together in one string whose tokens with a
-    word end tell the runs apart.  Where they do not (unusual letters), runs
-    are encoded singly.
+    runs of other characters in order.  Frequent runs are kept in a bounded
+    cache.  A new run of Latin letters with marks behind it has the ids of its
+    lower-cased letters and of the marks, each kept as well; new ones are
+    encoded together in one string, whose tokens with a word end tell them
+    apart.  Any other run is encoded by itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
-        self.special = any(True for _ in self.tokenizer.get_added_tokens_decoder())
-        # how the vocabulary splits runs (a fixed value)
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+", regex.I)
-        self.plain = regex.compile(r"[\x21-\x7EÀ-įĲ-ž]+")
-        self.cache: dict[str, bytes] = {}
         self.width = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
+        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _single(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        plain = [w for w in words if "<|" not in w and self.plain.fullmatch(w)]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.width)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum([len(self.split.findall(w)) for w in plain])
-            if len(ends) == last[-1]:
-                raw, size, start = ids.tobytes(), ids.itemsize, 0
-                for w, stop in zip(plain, (ends[last - 1] * size).tolist()):
-                    found[w] = raw[start:stop]
-                    start = stop
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters, each of which ends with one word end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return {w: self._single(w) for w in words}
+        raw, stops = ids.tobytes(), (ends * ids.itemsize).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops)}
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        found, split = {}, []
         for w in words:
-            if w not in found:
+            m = self.plain(w)
+            if m:
+                split.append((w, m[1].lower(), m[2]))
+            else:
                 found[w] = self._single(w)
+        parts = self.parts
+        fresh = {a for _, a, _ in split if a not in parts}
+        added = self._letters(sorted(fresh)) if fresh else {}
+        for _, _, b in split:
+            if b not in parts and b not in added:
+                added[b] = self._single(b)
+        parts.update(added)
+        for w, a, b in split:
+            found[w] = parts[a] + parts[b]
+        if len(parts) > CACHE_WORDS:
+            for w in added:
+                del parts[w]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_ascii_split(t) for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) <= CACHE_WORDS:
-            self.cache.update(self._new(sorted(new)))
-            known = self.cache
-        elif len(self.cache) < CACHE_WORDS:
-            fresh = self._new(sorted(new))
-            room = CACHE_WORDS - len(self.cache)
-            known = self.cache | fresh if len(fresh) < room else None
-            self.cache.update(list(fresh.items())[:room])
-            known = _Both(self.cache, fresh)
-        else:
-            known = _Both(self.cache, self._new(sorted(new)))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-class _Both(dict):
-    """Lookups in a cache, then in this batch's own words."""
-
-    def __init__(self, cache: dict, fresh: dict):
-        super().__init__(fresh)
-        self.cache = cache
-
-    def __missing__(self, word):
-        return self.cache[word]
+        cache = self.cache
+        added = self._new(set().union(*split).difference(cache))
+        cache.update(added)
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        if len(cache) > CACHE_WORDS:
+            for w in added:
+                del cache[w]
+        return out
 
 
 def _ascii_split(text: str) -> list[str]:
