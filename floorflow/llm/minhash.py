@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_list, as_numpy, materialize, mix, small, spread, word_hashes
+from .common import as_list, as_numpy, materialize, mix, small, spread
 from .components import components
 
 SHINGLE = 5
@@ -40,8 +40,8 @@ ANCHORS = 16
 _PLACE = spread(11, SHINGLE)
 
 
-def doc_shingles(hashes: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingles of one word-hash array."""
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """The shingles of one word-hash array in order, repeats included."""
     n = len(hashes)
     if not n:
         return np.empty(0, np.uint64)
@@ -51,7 +51,12 @@ def doc_shingles(hashes: np.ndarray) -> np.ndarray:
         total = hashes[: n - SHINGLE + 1] * _PLACE[0]
         for k in range(1, SHINGLE):
             total = total + hashes[k : n - SHINGLE + 1 + k] * _PLACE[k]
-        return np.unique(mix(total))
+        return mix(total)
+
+
+def doc_shingles(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingles of one word-hash array."""
+    return np.unique(shingles(hashes))
 
 
 def digest(shingles: np.ndarray) -> tuple[int, int]:
