@@ -96,10 +96,11 @@ class WordTokens:
 
 
 def _ascii_split(text: str) -> list[str]:
-    if text.isascii():
-        # str.split also splits at \x1c-\x1f, which \s of the vocabulary is not
-        return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [w.decode() for w in text.encode().split()]
-    return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
+    # str.split also splits at \x1c-\x1f, which are no white space to the
+    # vocabulary; all else that it splits at is
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
+    return text.split()
 
 
 def tokens_of(path: str) -> WordTokens:
