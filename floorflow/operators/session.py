@@ -163,7 +163,7 @@ def response(starts: DataFrame, distances: DataFrame) -> DataFrame:
         distances.join(starts, "zone", "left")
         .groupBy("zone")
         .agg(
-            F.round(F.avg(F.expr("distance / greatest(start_k, 1e-6)")), 6).alias("idr"),
+            F.round(F.avg(F.expr("CASE WHEN start_k IS NOT NULL THEN distance / greatest(start_k, 1e-6) END")), 6).alias("idr"),
             F.max("start_k").alias("delay_sec"),
             F.round(F.avg("distance"), 6).alias("mean_distance"),
         )

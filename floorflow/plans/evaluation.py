@@ -588,7 +588,7 @@ ORACLE = {
     "cbs_bottleneck": f"WITH {COUNTS}, {_cbs_sql()} SELECT * FROM cbs",
     "zone_conditions": f"WITH {_cond(S)} SELECT k, zone, round(v_e, 6) AS v_e, round(a_e, 6) AS a_e, round(r_e, 6) AS r_e, n, holds FROM zc",
     "zone_onset_hold": f"WITH {ONSET} SELECT zone, start_k FROM os",
-    "idr_zone": f"WITH {ONSET}, {_distance_sql()} SELECT zone, round(avg(distance / greatest(start_k, 1e-6)), 6) AS idr, max(start_k) AS delay_sec, round(avg(distance), 6) AS mean_distance, CASE WHEN max(start_k) IS NULL THEN 'not_started' ELSE 'started' END AS status FROM zd LEFT JOIN os USING (zone) GROUP BY zone",
+    "idr_zone": f"WITH {ONSET}, {_distance_sql()} SELECT zone, round(avg(CASE WHEN start_k IS NOT NULL THEN distance / greatest(start_k, 1e-6) END), 6) AS idr, max(start_k) AS delay_sec, round(avg(distance), 6) AS mean_distance, CASE WHEN max(start_k) IS NULL THEN 'not_started' ELSE 'started' END AS status FROM zd LEFT JOIN os USING (zone) GROUP BY zone",
     "grid_zone_distance": f"WITH {_distance_sql()} SELECT zone, origin, round(distance, 6) AS distance FROM zd",
     "session_timeline": f"WITH {TIMELINE} SELECT * FROM tl",
     "session_quality": f"WITH {PROJ}, pq AS (SELECT count(*) FILTER (WHERE NOT in_roi) AS outside, count(*) FILTER (WHERE in_roi) AS points, count(DISTINCT CASE WHEN in_roi THEN gid END) AS tracks, string_agg(DISTINCT CASE WHEN in_roi THEN cam_id END, ',' ORDER BY CASE WHEN in_roi THEN cam_id END) AS cameras FROM proj WHERE conf >= least), un AS (SELECT count(*) AS unmapped FROM tracks WHERE cam_id NOT IN ({_in(_CAMS)})) SELECT points, tracks, cameras, round((unmapped + outside) / (unmapped + outside + points), 6) AS dropped_ratio FROM pq, un",
