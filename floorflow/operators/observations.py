@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import homography, inside, line_distance, line_part, num, segment_distance2
-from ..plans.site import Exit, Site
+from ..plans.site import Site
 
 
 def _by_camera(site: Site, value) -> str:
@@ -98,33 +98,25 @@ def aligned(moving: DataFrame, site: Site) -> DataFrame:
     )
 
 
-def crossings(seen: DataFrame, site: Site, exit_: Exit) -> DataFrame:
+def all_crossings(seen: DataFrame, site: Site) -> DataFrame:
     """Rows at which an object is first on the other side of an exit's line,
-    farther than the margin from it, near the exit; direction in or out."""
-    d = line_distance("x", "y", exit_.a, exit_.b, exit_.within)
-    rows = with_segments(seen, site).withColumns(
-        {"d": F.expr(d), "t": F.expr(line_part("x", "y", exit_.a, exit_.b))}
-    )
-    clear = rows.where(f"abs(d) >= {num(site.margin)}").withColumn("side", F.expr("CASE WHEN d > 0e0 THEN 1 ELSE -1 END"))
-    w = Window.partitionBy("gid", "seg").orderBy("ts_us", "event_id")
+    farther than the margin from it, near the exit; direction in or out.  All
+    exits share one pass and one shuffle."""
+    lines = [
+        f"named_struct('exit_id', '{e.name}', 'd', {line_distance('x', 'y', e.a, e.b, e.within)}, 't', {line_part('x', 'y', e.a, e.b)})"
+        for e in site.exits
+    ]
+    rows = with_segments(seen, site).withColumn("e", F.explode(F.expr(f"array({', '.join(lines)})")))
+    clear = rows.select("gid", "seg", "event_id", "ts_us", "e.*").where(f"abs(d) >= {num(site.margin)}")
+    w = Window.partitionBy("gid", "seg", "exit_id").orderBy("ts_us", "event_id")
+    sided = clear.withColumn("side", F.expr("CASE WHEN d > 0e0 THEN 1 ELSE -1 END"))
     return (
-        clear.withColumn("before", F.lag("side").over(w))
+        sided.withColumn("before", F.lag("side").over(w))
         .where("before <> side AND t BETWEEN -6e-2 AND 1.06e0")
-        .select(
-            F.lit(exit_.name).alias("exit_id"), "gid", "event_id", "ts_us",
-            F.expr("CASE WHEN side = 1 THEN 'in' ELSE 'out' END").alias("direction"),
-        )
+        .select("exit_id", "gid", "event_id", "ts_us", F.expr("CASE WHEN side = 1 THEN 'in' ELSE 'out' END").alias("direction"))
     )
 
 
-def all_crossings(seen: DataFrame, site: Site) -> DataFrame:
-    out = None
-    for e in site.exits:
-        one = crossings(seen, site, e)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def snapshot(seen: DataFrame, site: Site, clock: DataFrame) -> DataFrame:
     """The last row of each object not lost by the clock's time (``clock``:
     one row, now_us)."""
