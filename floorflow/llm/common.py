@@ -94,15 +94,16 @@ def spread(seed: int, n: int) -> np.ndarray:
         return mix(base + np.uint64(seed)) | np.uint64(1)
 
 
-def chunks(batches, column: str = "text"):
-    """Slices of record batches that hold about CHUNK_BYTES of ``column``."""
+def chunks(batches, column: str = "text", size: int | None = None):
+    """Slices of record batches that hold about ``size`` (or CHUNK_BYTES)
+    bytes of ``column``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = np.asarray(
             pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0)
         )
-        group = np.cumsum(sizes) // CHUNK_BYTES
+        group = np.cumsum(sizes) // (size or CHUNK_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, stop in zip(cuts, cuts[1:]):
             if stop > start:

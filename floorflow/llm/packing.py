@@ -21,7 +21,11 @@ GROUP_CHARS = 12_000_000
 #: Weight of a piece's squared length over the capacity (attention) against
 #: its length (everything else).
 ATTENTION = 1.0
-CACHE_WORDS = 400_000
+#: Runs and their letters that a task keeps, and words in one call of the
+#: tokenizer; they bound memory, not results.
+CACHE_WORDS, CACHE_PARTS, ENCODE_WORDS = 150_000, 250_000, 5_000
+#: Bytes of text in one step of the tokenizing task.
+STEP_BYTES = 1_000_000
 _STATE: dict = {}
 
 
@@ -45,7 +49,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
         self.width = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        self.plain = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+        self.plain = re.compile("^([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([!-&(-/:-@\\[-`{-~]*)$", re.M)
         self.cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -54,31 +58,33 @@ class WordTokens:
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters, each of which ends with one word end."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return {w: self._single(w) for w in words}
-        raw, stops = ids.tobytes(), (ends * ids.itemsize).tolist()
-        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops)}
+        out = {}
+        for at in range(0, len(words), ENCODE_WORDS):
+            some = words[at : at + ENCODE_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                out.update((w, self._single(w)) for w in some)
+                continue
+            raw, stops = ids.tobytes(), (ends * ids.itemsize).tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *stops], stops))
+        return out
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
-        found, split = {}, []
-        for w in words:
-            m = self.plain(w)
-            if m:
-                split.append((w, m[1].lower(), m[2]))
-            else:
-                found[w] = self._single(w)
+        pairs = self.plain.findall("\n".join(words))
+        lower = "\n".join([a for a, _ in pairs]).lower().split("\n")
+        marks = [b for _, b in pairs]
+        whole = [a + b for a, b in pairs]
+        found = {w: self._single(w) for w in words.difference(whole)}
         parts = self.parts
-        fresh = {a for _, a, _ in split if a not in parts}
+        fresh = set(lower).difference(parts) if pairs else ()
         added = self._letters(sorted(fresh)) if fresh else {}
-        for _, _, b in split:
-            if b not in parts and b not in added:
-                added[b] = self._single(b)
+        for b in set(marks).difference(parts):
+            added[b] = self._single(b)
         parts.update(added)
-        for w, a, b in split:
-            found[w] = parts[a] + parts[b]
-        if len(parts) > CACHE_WORDS:
+        get = parts.__getitem__
+        found.update(zip(whole, map(bytes.__add__, map(get, lower), map(get, marks))))
+        if len(parts) > CACHE_PARTS:
             for w in added:
                 del parts[w]
         return found
@@ -113,7 +119,7 @@ def _tokenize(path: str, end: int):
     def run(batches):
         tool = tokens_of(path)
         close = np.array([end], tool.width).tobytes()
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=STEP_BYTES):
             ids = tool.encode([t or "" for t in as_list(batch, "text")])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x + close for x in ids], pa.binary())],
