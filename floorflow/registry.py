@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import evaluation
+from .plans import building, evaluation
 
 
 def queries() -> dict:
-    return dict(evaluation.QUERIES)
+    return evaluation.QUERIES | building.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(evaluation.ORACLE)
+    return evaluation.ORACLE | building.ORACLE
