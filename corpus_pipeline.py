@@ -6,23 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorflow.llm import language, mixing, near_dedup, packing, substring_dedup
-from floorflow.llm.common import materialize, small
+from floorflow.llm.common import bound_batches, materialize, small
 from floorflow.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
+    bound_batches(spark)
     found = materialize(language.identified(docs).where("rejected").select("doc_id").distinct(), "rejected")
     return docs.join(small(found), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat an earlier document are cut out."""
+    bound_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
@@ -35,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python task handles at once.
 CHUNK_BYTES = 4 << 20
+#: Rows of texts in an Arrow batch, held by the JVM and the Python task alike.
+BATCH_ROWS = 1000
 _OWN: dict[str, str] = {}
 
 
@@ -43,6 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send fewer rows at once to Python tasks than Spark's 10,000, as whole
+    texts are long; a session that has another number set keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialized table of few, narrow rows for broadcast if its
     counted rows allow it; leave the join to Spark otherwise."""
