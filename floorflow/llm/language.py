@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_list, chunks, crc_mod
+from .common import as_list, chunks, crc_mod, materialize, small
 
 ONES, DIMS = 512, 4096
 #: Bound of the sample that centroids are fitted on: rows for each language.
@@ -28,6 +28,10 @@ REJECT = 0.5
 SHORT = 200
 SHARPNESS = 30.0
 PIECE = 1 << 20
+#: Rows that share one block of gram counts (16 KB a row).
+BLOCK = 256
+#: Rows expected below the hash bound that a language's sample is taken from.
+DRAWN = 2 * SAMPLE_PER_LANGUAGE + 200
 _TABLE: list[np.ndarray] = []
 
 
@@ -88,9 +92,18 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts) * idf
+    v = np.log1p(counts)
+    v *= idf.astype(np.float32)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return (v / np.where(norm > 0, norm, 1)).astype(np.float32)
+    v /= np.where(norm > 0, norm, 1)
+    return v
+
+
+def _blocks(batches):
+    """Slices of record batches of at most BLOCK rows and a chunk's bytes."""
+    for batch in chunks(batches):
+        for at in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(at, BLOCK)
 
 
 @dataclass
@@ -104,7 +117,7 @@ class LanguageModel:
 
 def _document_counts(batches):
     total, n = np.zeros(DIMS, np.int64), 0
-    for batch in chunks(batches):
+    for batch in _blocks(batches):
         counts, _ = gram_counts(as_list(batch, "text"))
         total += (counts > 0).sum(axis=0)
         n += len(counts)
@@ -126,10 +139,10 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _count_rows(batches):
-    for batch in chunks(batches):
+    for batch in _blocks(batches):
         counts, letters = gram_counts(as_list(batch, "text"))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(as_list(batch, "lang")), pa.array(letters), pa.array([c.tobytes() for c in counts.astype(np.float32)], pa.binary())],
+            [pa.array(as_list(batch, "lang")), pa.array(letters), pa.array([c.tobytes() for c in counts], pa.binary())],
             names=["lang", "letters", "counts"],
         )
 
@@ -154,9 +167,14 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel | None:
     for r in sums:
         df[r.dim] = r.df
     idf = np.log((1 + sums[0].n) / (1 + df)) + 1
+    sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    # only rows of small hashes, some times as many as the sample needs at every size, meet in a language's task
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
     sample = (
         rows.select("doc_id", "lang", "text")
+        .join(small(sizes), "lang")
+        .where(place * F.col("rows") < DRAWN)
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= SAMPLE_PER_LANGUAGE)
         .select("lang", "text")
@@ -182,7 +200,7 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel | None:
 
 def _predict(model: LanguageModel | None):
     def run(batches):
-        for batch in chunks(batches):
+        for batch in _blocks(batches):
             texts = [t or "" for t in as_list(batch, "text")]
             n = len(texts)
             names, score, cosine, rejected = ["und"] * n, np.zeros(n), np.zeros(n), [True] * n
