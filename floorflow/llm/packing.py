@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, chunks
+from .common import chunks
 
 CAPACITY = 4096
 END = 2
@@ -21,11 +21,13 @@ GROUP_CHARS = 12_000_000
 #: Weight of a piece's squared length over the capacity (attention) against
 #: its length (everything else).
 ATTENTION = 1.0
-#: Runs and their letters that a task keeps, and words in one call of the
+#: Letters and other runs that a task keeps, and words in one call of the
 #: tokenizer; they bound memory, not results.
-CACHE_WORDS, CACHE_PARTS, ENCODE_WORDS = 150_000, 250_000, 5_000
+CACHE_PARTS, ENCODE_WORDS = 250_000, 5_000
 #: Bytes of text in one step of the tokenizing task.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 2_000_000
+PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-įĲ-ž]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+SEPARATORS = "[\x1c-\x1f]"
 _STATE: dict = {}
 
 
@@ -33,11 +35,12 @@ class WordTokens:
     """Token ids of texts by a tokenizers file that drops white space.
 
     The vocabulary splits at white space, so a text's ids are those of its
-    runs of other characters in order.  Frequent runs are kept in a bounded
-    cache.  A new run of Latin letters with marks behind it has the ids of its
-    lower-cased letters and of the marks, each kept as well; new ones are
-    encoded together in one string, whose tokens with a word end tell them
-    apart.  Any other run is encoded by itself.
+    runs of other characters in order.  A run of Latin letters with marks
+    behind it has the ids of its lower-cased letters and of the marks.  Arrow
+    names the distinct runs of a step, only those are looked up (in a bounded
+    cache) or encoded, and the texts' ids are gathered by number.  New letters
+    are encoded together in one string, whose tokens with a word end tell them
+    apart; any other run is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -49,8 +52,6 @@ class WordTokens:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
         self.width = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        self.plain = re.compile("^([A-Za-zÀ-ÖØ-öø-įĲ-ž]+)([!-&(-/:-@\\[-`{-~]*)$", re.M)
-        self.cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _single(self, word: str) -> bytes:
@@ -70,43 +71,70 @@ class WordTokens:
             out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *stops], stops))
         return out
 
-    def _new(self, words: set[str]) -> dict[str, bytes]:
-        pairs = self.plain.findall("\n".join(words))
-        lower = "\n".join([a for a, _ in pairs]).lower().split("\n")
-        marks = [b for _, b in pairs]
-        whole = [a + b for a, b in pairs]
-        found = {w: self._single(w) for w in words.difference(whole)}
-        parts = self.parts
-        fresh = set(lower).difference(parts) if pairs else ()
-        added = self._letters(sorted(fresh)) if fresh else {}
-        for b in set(marks).difference(parts):
-            added[b] = self._single(b)
-        parts.update(added)
-        get = parts.__getitem__
-        found.update(zip(whole, map(bytes.__add__, map(get, lower), map(get, marks))))
-        if len(parts) > CACHE_PARTS:
-            for w in added:
-                del parts[w]
+    def _looked_up(self, words: list[str], letters: bool) -> list[bytes]:
+        found = list(map(self.parts.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
+        if new:
+            fresh = [words[k] for k in new]
+            ids = self._letters(fresh) if letters else {w: self._single(w) for w in fresh}
+            for k, w in zip(new, fresh):
+                found[k] = ids[w]
+            if len(self.parts) < CACHE_PARTS:
+                self.parts.update(ids)
         return found
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_ascii_split(t) for t in texts]
-        cache = self.cache
-        added = self._new(set().union(*split).difference(cache))
-        cache.update(added)
-        out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        if len(cache) > CACHE_WORDS:
-            for w in added:
-                del cache[w]
-        return out
+    def encode_array(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """Ids of each text (null: none) as bytes, with ``end`` behind them."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        runs = pc.utf8_split_whitespace(texts)
+        flat, bounds = runs.flatten(), runs.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        odd = np.flatnonzero(pc.match_substring_regex(texts, SEPARATORS).to_numpy(zero_copy_only=False))
+        if len(odd):
+            # these characters are no white space to the vocabulary
+            split = runs.to_pylist()
+            for k in odd.tolist():
+                split[k] = [w.decode("utf-8", "replace") for w in texts[k].as_py().encode("utf-8").split()]
+            flat = pa.array([w for words in split for w in words], pa.large_string())
+            bounds = np.concatenate([[0], np.cumsum([len(words) for words in split])]).astype(np.int64)
+        named = flat.dictionary_encode()
+        words, number = named.dictionary, named.indices.to_numpy()
+        halves = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(halves).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(halves.field("letters").filter(pa.array(plain))).dictionary_encode()
+        marks = halves.field("marks").filter(pa.array(plain)).dictionary_encode()
+        others = words.filter(pa.array(~plain)).to_pylist()
+        n_low, n_marks = len(low.dictionary), len(marks.dictionary)
+        ids = self._looked_up(low.dictionary.to_pylist(), True)
+        ids += self._looked_up(marks.dictionary.to_pylist(), False)
+        ids += self._looked_up(others, False)
+        none, close = len(ids), len(ids) + 1
+        ids += [b"", b"" if end is None else np.array([end], self.width).tobytes()]
+        # a word is two pieces, a text its words' pieces and the end
+        first, second = np.full(len(words), none), np.full(len(words), none)
+        first[plain], second[plain] = low.indices.to_numpy(), n_low + marks.indices.to_numpy()
+        first[~plain] = n_low + n_marks + np.arange(len(others))
+        pieces = np.empty(2 * len(number) + len(texts), np.int32)
+        stops = 2 * bounds[1:] + np.arange(len(texts))
+        inner = np.ones(len(pieces), bool)
+        inner[stops] = False
+        pair = np.empty(2 * len(number), np.int32)
+        pair[::2], pair[1::2] = first[number], second[number]
+        pieces[inner], pieces[stops] = pair, close
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.width).itemsize
+        begins = (np.cumsum(sizes) - sizes).astype(np.int64)
+        used = sizes[pieces]
+        upto = np.cumsum(used)
+        at = np.repeat((begins[pieces] - upto + used).astype(np.int32), used)
+        at += np.arange(len(at), dtype=np.int32)
+        out = np.frombuffer(b"".join(ids), self.width)[at]
+        offsets = np.concatenate([[0], upto[stops]]) * out.itemsize
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]
+        ).cast(pa.binary())
 
-
-def _ascii_split(text: str) -> list[str]:
-    # str.split also splits at \x1c-\x1f, which are no white space to the
-    # vocabulary; all else that it splits at is
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").split()]
-    return text.split()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.encode_array(pa.array(texts, pa.string())).to_pylist()
 
 
 def tokens_of(path: str) -> WordTokens:
@@ -118,13 +146,9 @@ def tokens_of(path: str) -> WordTokens:
 def _tokenize(path: str, end: int):
     def run(batches):
         tool = tokens_of(path)
-        close = np.array([end], tool.width).tobytes()
         for batch in chunks(batches, size=STEP_BYTES):
-            ids = tool.encode([t or "" for t in as_list(batch, "text")])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x + close for x in ids], pa.binary())],
-                names=["doc_id", "part", "ids"],
-            )
+            ids = tool.encode_array(batch.column(2), end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "part", "ids"])
 
     return run
 
