@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_numpy, materialize
+from .common import as_numpy, materialize, released
 from .rules import FEATURES, measure
 
 TREES, DEPTH, LEAF_ROWS = 100, 8, 256
@@ -116,7 +116,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     forest = Forest(np.stack(rows["features"].to_numpy())[:, USED]) if len(rows) else None
     scored = materialize(
         measured.mapInArrow(
-            _score(forest),
+            released(_score(forest)),
             "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, anomaly double",
         ).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")),
         "anomalies",

@@ -7,6 +7,7 @@ what ``bytes.lower()`` does.  Texts therefore travel to Python tasks as binary.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -85,6 +86,26 @@ class WordHash(dict):
 WORD_HASH = WordHash()
 
 
+def release() -> None:
+    """Give memory that a Python task no longer uses back to the system."""
+    WORD_HASH.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def released(run):
+    """A task function that ends by giving its memory back: Spark keeps Python
+    workers, which would else hold it through all later stages."""
+
+    def task(batches):
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(WORD_HASH.__getitem__, words)), "<u8")
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_list, chunks, crc_mod, materialize, small
+from .common import as_list, chunks, crc_mod, materialize, released, small
 
 ONES, DIMS = 512, 4096
 #: Bound of the sample that centroids are fitted on: rows for each language.
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel | None:
     rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sums = (
         rows.select("text")
-        .mapInArrow(_document_counts, "df array<long>, n long")
+        .mapInArrow(released(_document_counts), "df array<long>, n long")
         .select("n", F.posexplode("df").alias("dim", "df"))
         .groupBy("dim")
         .agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel | None:
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= SAMPLE_PER_LANGUAGE)
         .select("lang", "text")
-        .mapInArrow(_count_rows, "lang string, letters long, counts binary")
+        .mapInArrow(released(_count_rows), "lang string, letters long, counts binary")
         .where("letters > 0")
         .collect()
     )
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """
     return (
         docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text"))
-        .mapInArrow(_predict(model), "key long, lang_pred string, score double, cosine double, rejected boolean")
+        .mapInArrow(released(_predict(model)), "key long, lang_pred string, score double, cosine double, rejected boolean")
         .withColumnRenamed("key", "doc_id")
     )
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_list, as_numpy, materialize, mix, small, spread
+from .common import as_list, as_numpy, materialize, mix, released, small, spread
 from .components import components
 
 SHINGLE = 5
@@ -197,7 +197,7 @@ def loose_edges(sets: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         )
         salted = salted.unionByName(anchors)
     signed = salted.select("g", "s", "cid").join(sets.select("cid", "sig"), "cid").select("g", "s", "cid", "sig")
-    return _deal(signed).mapInArrow(_loose_in_buckets, "u long, v long").distinct()
+    return _deal(signed).mapInArrow(released(_loose_in_buckets), "u long, v long").distinct()
 
 
 def _exact(members: list[bytes], percent: int):
@@ -291,7 +291,7 @@ def tight_edges(
     )
     own = sized.select(F.col("cluster").alias("g"), "s", "cid", "shingles")
     if not split.limit(1).count():
-        return _deal(own).mapInArrow(_tight_in_blocks(percent), "u long, v long")
+        return _deal(own).mapInArrow(released(_tight_in_blocks(percent)), "u long, v long")
     anchors = (
         sized.where("parts > 1")
         .withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.length("shingles"), "cid")))
@@ -299,7 +299,7 @@ def tight_edges(
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(F.col("cluster").alias("g"), "s", "cid", "shingles")
     )
-    first = materialize(_deal(own.unionByName(anchors)).mapInArrow(_tight_in_blocks(percent), "u long, v long"), "links")
+    first = materialize(_deal(own.unionByName(anchors)).mapInArrow(released(_tight_in_blocks(percent)), "u long, v long"), "links")
     label = materialize(components(first), "labels")
     named = (
         sized.where("parts > 1")
@@ -329,5 +329,5 @@ def tight_edges(
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda b: b * F.col("parts") + F.col("s"))).alias("s"),
         "cid", "shingles", "label", F.lit(True).alias("asks"),
     )
-    more = _deal(block.unionByName(asking)).mapInArrow(_across_blocks(percent), "u long, v long")
+    more = _deal(block.unionByName(asking)).mapInArrow(released(_across_blocks(percent)), "u long, v long")
     return first.unionByName(more)

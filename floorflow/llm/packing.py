@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, release, released
 
 CAPACITY = 4096
 END = 2
@@ -149,6 +149,7 @@ def _tokenize(path: str, end: int):
         for batch in chunks(batches, size=STEP_BYTES):
             ids = tool.encode_array(batch.column(2), end)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "part", "ids"])
+        tool.parts = {"": b""}
 
     return run
 
@@ -189,7 +190,7 @@ def assign(lengths: np.ndarray, capacity: int = CAPACITY, attention: float = ATT
 
 
 def _pack(capacity: int, attention: float, width: str):
-    def run(key, table):
+    def pieces_of(key, table):
         part = int(key[0].as_py())
         ids = [np.frombuffer(x, width) for x in table.column("ids").to_pylist()]
         docs = table.column("doc_id").to_pylist()
@@ -210,6 +211,11 @@ def _pack(capacity: int, attention: float, width: str):
             }
         )
 
+    def run(key, table):
+        out = pieces_of(key, table)
+        release()
+        return out
+
     return run
 
 
@@ -246,7 +252,7 @@ def pack(
         F.col("text"),
     )
     return (
-        dealt.mapInArrow(_tokenize(path, end), "doc_id long, part int, ids binary")
+        dealt.mapInArrow(released(_tokenize(path, end)), "doc_id long, part int, ids binary")
         .groupBy("part")
         .applyInArrow(_pack(capacity, attention, width), SCHEMA)
     )

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, binary_text, chunks, mix, spread, word_hashes
+from .common import as_list, binary_text, chunks, mix, released, spread, word_hashes
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -96,7 +96,7 @@ def _measure(batches):
 def measure(docs: DataFrame) -> DataFrame:
     """Counts and features of every whole text; null texts count as empty."""
     return docs.select(F.col("doc_id").cast("long"), binary_text().alias("text")).mapInArrow(
-        _measure,
+        released(_measure),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "features array<double>",
     )
