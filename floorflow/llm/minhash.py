@@ -30,9 +30,9 @@ SHINGLE = 5
 BANDS, ROWS = 40, 5
 #: A pair at Jaccard 0.75 is missed by all 40 bands of 5 with chance 2e-5.
 SEED = 20_241
-#: Signature agreement from which a pair is looked at exactly: 0.75 less about
-#: four standard errors of 200 minima.
-LOOSE = 0.63
+#: The exact limit, and by how many standard errors of its minima a signature
+#: may fall below it before a pair is no longer looked at exactly.
+LIMIT, ERRORS = 0.75, 4.0
 BUCKET_ROWS = 4_000
 BLOCK_ROWS, BLOCK_SHINGLES = 4_000, 2_000_000
 ANCHORS = 16
@@ -153,6 +153,11 @@ def _pair_table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=["u", "v"])
 
 
+def least_equal(minima: int) -> int:
+    """Equal minima, of so many, from which a pair is looked at exactly."""
+    return int(np.ceil(LIMIT * minima - ERRORS * np.sqrt(LIMIT * (1 - LIMIT) * minima)))
+
+
 def _loose_in_buckets(batches):
     out: list[tuple[int, int]] = []
     for _, rows in _grouped(batches, ["cid", "sig"]):
@@ -160,7 +165,7 @@ def _loose_in_buckets(batches):
         if len(set(cid)) < 2:
             continue
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(cid), -1)
-        need = LOOSE * sig.shape[1]
+        need = least_equal(sig.shape[1])
         out += [
             (cid[i], cid[j])
             for i, j in _absorb(len(cid), lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= need)

@@ -262,3 +262,20 @@ def test_chat_reads_back_whatever_texts_hold(spark):
         assert r.n_turns == len(turns) and r.turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.digests(chat.format_conversations(frame.limit(0))).count() == 0
+
+
+def test_lines_just_over_the_limit_are_found(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(1500):
+        line = [f"p{k}w{j}" for j in range(145)]  # 141 shingles, 4 edits of 5 shingles: 121 / 161
+        edited = list(line)
+        for j in range(4):
+            edited[8 + 35 * j + rng.randrange(20)] = f"e{k}x{j}"
+        a, b = _set(" ".join(line)), _set(" ".join(edited))
+        assert 0.75 <= len(a & b) / len(a | b) <= 0.8
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(edited))]
+        want.append((2 * k + 1, 0, 145, 2 * k))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.n, r.first) for r in substring_dedup.repeated_spans(frame).collect()}
+    assert len(got & set(want)) >= 0.995 * len(want)
