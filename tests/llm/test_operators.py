@@ -279,3 +279,29 @@ def test_lines_just_over_the_limit_are_found(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.start, r.n, r.first) for r in substring_dedup.repeated_spans(frame).collect()}
     assert len(got & set(want)) >= 0.995 * len(want)
+
+
+def test_passages_inside_lines_are_found_to_their_ends(spark):
+    rng = random.Random(12)
+    rows, want = [], []
+    for k in range(400):
+        if k % 4 == 0:  # a table: one word recurs at every other place
+            passage = [w for x in _words(rng, 40) for w in ("|", x)]
+        elif k % 4 == 1:  # few words recur
+            passage = ["|", "-", f"p{k}"] * 17
+        else:
+            passage = _words(rng, 51 if k % 4 == 2 else 35)
+        texts = [[*_words(rng, 30 + rng.randrange(40)), *passage, *_words(rng, 30 + rng.randrange(40))] for _ in range(2)]
+        gap = "\n" if k % 8 == 2 else " "  # short lines or a long one
+        rows += [(2 * k + j, gap.join(" ".join(t[i : i + 9]) for i in range(0, len(t), 9))) for j, t in enumerate(texts)]
+        old, new = texts
+        a, b = (next(i for i in range(len(t)) if t[i : i + len(passage)] == passage) for t in texts)
+        n = len(passage)
+        while old[a - 1] == new[b - 1]:
+            a, b, n = a - 1, b - 1, n + 1
+        while old[a + n] == new[b + n]:
+            n += 1
+        want.append((2 * k + 1, b, n, 2 * k))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.start, r.n, r.first) for r in substring_dedup.repeated_spans(frame).collect()]
+    assert sorted(got) == want
