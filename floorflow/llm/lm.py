@@ -4,9 +4,9 @@ Every word belongs to a class: each of the HEAD most frequent words is one,
 and all others share TAILS classes by their last letters.  The log-bilinear
 model gives P(class | two preceding classes), normalised by matrix products
 over all classes; inside a tail class a word has (count + 1) over the class's
-sum of these and one for unseen words.  Counts, classes' sums and the base
-score cover every training document; only the model's small matrices are
-fitted on a bounded sample.
+sum of these and one for unseen words.  Counts, classes' sums, the base score and
+the counts of (class, two preceding classes) that the matrices are fitted on
+cover every training document; the classes bound the latter's number.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, binary_text, chunks, crc_mod, materialize, released, small
+from .common import as_list, binary_text, chunks, crc_mod, materialize, released
 
 HEAD, TAILS = 320, 64
 CLASSES = HEAD + TAILS
 START = CLASSES
 #: Words whose counts go to every task; the counts of the rest are joined.
 KNOWN_ROWS = 100_000
-#: Bound of the documents that the matrices are fitted on (smallest id hash).
-SAMPLE_ROWS = 1_500
-DIMS, NOISE, BATCH, EPOCHS, RATE = 24, 128, 1024, 4, 0.1
+DIMS, NOISE, BATCH, EPOCHS, RATE = 24, 128, 256, 6, 0.2
+#: Parts in which the counts of class triples come to the driver.
+PARTS = 16
 HELD_WORDS = 300_000
 END_WORD = b""
 
@@ -125,61 +125,68 @@ def log_normalisers(context: np.ndarray, target: np.ndarray, bias: np.ndarray) -
     return out.ravel()
 
 
+def triples(sequences: list[np.ndarray]) -> np.ndarray:
+    """(last class, class before it, class) of each token, as one number."""
+    out = []
+    for s in sequences:
+        padded = np.concatenate([[START, START], s]).astype(np.int64)
+        out.append((padded[1:-1] * (CLASSES + 1) + padded[:-2]) * CLASSES + padded[2:])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 def train(sequences: list[np.ndarray], share: np.ndarray, seed: int = 4):
-    """Matrices by noise-contrastive estimation: tokens against NOISE draws
-    from the class frequencies ``share``, which all training text gives."""
+    """Matrices fitted on class sequences."""
+    return train_counts(*np.unique(triples(sequences), return_counts=True), share, seed)
+
+
+def train_counts(key: np.ndarray, times: np.ndarray, share: np.ndarray, seed: int = 4):
+    """Matrices by noise-contrastive estimation: every class triple with its
+    count, against NOISE expected draws from the class frequencies ``share``.
+    ``key`` ascends; a batch is BATCH pairs of context classes."""
     rng = np.random.default_rng(seed)
-    context = rng.normal(0, 0.05, (2, CLASSES + 1, DIMS)).astype(np.float64)
+    context = rng.normal(0, 0.05, (2, CLASSES + 1, DIMS))
     target = rng.normal(0, 0.05, (CLASSES, DIMS))
     bias = np.log(share)
-    one, two, word = [], [], []
-    for s in sequences:
-        padded = np.concatenate([[START, START], s])
-        two.append(padded[:-2])
-        one.append(padded[1:-1])
-        word.append(s)
-    if not word:
+    if not len(key):
         return context, target, bias
-    one, two, word = (np.concatenate(x).astype(np.int64) for x in (one, two, word))
+    begin = np.searchsorted(key, (np.arange((CLASSES + 1) ** 2 + 1) * CLASSES).astype(key.dtype))
+    pairs = np.flatnonzero(np.diff(begin))
+    typical = times.sum(dtype=np.float64) / len(pairs)
     log_noise = np.log(NOISE * share)
-    cumulative = np.cumsum(share / share.sum())
-    sums = [np.full(a.shape, 1e-2) for a in (context, target, bias)]
+    sums = [np.full(a.shape, 1e-8) for a in (context, target, bias)]
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(word))
         rate = RATE / (1 + epoch)
+        order = rng.permutation(pairs)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            c1, c2, w = one[pick], two[pick], word[pick]
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), CLASSES - 1)
+            c1, c2 = pick // (CLASSES + 1), pick % (CLASSES + 1)
+            n = np.zeros((len(pick), CLASSES))
+            for row, k in enumerate(pick):
+                own = slice(begin[k], begin[k + 1])
+                n[row, key[own] % CLASSES] = times[own]
             h = context[0, c1] + context[1, c2]
-            true = np.einsum("ij,ij->i", h, target[w]) + bias[w] - log_noise[w]
-            false = h @ target[noise].T + bias[noise] - log_noise[noise]
-            gt = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # 1 - P(data)
-            gf = -1 / (1 + np.exp(np.clip(-false, -30, 30)))  # -P(data)
-            gh = gt[:, None] * target[w] + gf @ target[noise]
+            data = 1 / (1 + np.exp(-np.clip(h @ target.T + bias - log_noise, -30, 30)))  # P(data)
+            g = n * (1 - data) - n.sum(axis=1, keepdims=True) * NOISE * share * data
+            g /= len(pick) * typical
+            gh = g @ target
             g_context = np.zeros_like(context)
             np.add.at(g_context[0], c1, gh)
             np.add.at(g_context[1], c2, gh)
-            g_target = np.zeros_like(target)
-            np.add.at(g_target, w, gt[:, None] * h)
-            np.add.at(g_target, noise, gf.T @ h)
-            g_bias = np.bincount(w, gt, CLASSES) + np.bincount(noise, gf.sum(axis=0), CLASSES)
-            for a, g, s in zip((context, target, bias), (g_context, g_target, g_bias), sums):
-                g /= len(pick)
-                s += g * g
-                a += rate * g / np.sqrt(s)
+            for a, d, s in zip((context, target, bias), (g_context, g.T @ h, g.sum(axis=0)), sums):
+                s += d * d
+                a += rate * d / np.sqrt(s)
     return context, target, bias
 
 
-def _sequences(model: Model):
+def _triple_counts(model: Model):
     def run(batches):
         for batch in chunks(batches):
-            out = []
+            found = []
             for text in as_list(batch, "text"):
                 raw = np.frombuffer(b"".join(map(_WORDS.__getitem__, _words(text))), "<u8").reshape(-1, 2)
-                _, classes = model.look_up(raw[:, 0], raw[:, 1].astype(np.int64))
-                out.append(classes.astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "classes"])
+                found.append(model.look_up(raw[:, 0], raw[:, 1].astype(np.int64))[1])
+            key, n = np.unique(triples(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return run
 
@@ -222,18 +229,26 @@ def fit(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
         bias=np.log(share),
         log_z=np.zeros(0),
     )
-    picked = materialize(
-        rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS),
-        "lm-sample",
-    )
-    sample = (
-        rows.join(small(picked), "doc_id", "left_semi")
-        .mapInArrow(released(_sequences(model)), "doc_id long, classes binary")
-        .orderBy("doc_id", "classes")
-        .limit(SAMPLE_ROWS)
-        .collect()
+    seen = materialize(
+        rows.select("text")
+        .mapInArrow(released(_triple_counts(model)), "key long, n long")
+        .groupBy("key")
+        .agg(F.sum("n").alias("n")),
+        "lm-triples",
     )
-    model.context, model.target, model.bias = train([np.frombuffer(r.classes, "<i2") for r in sample], share)
+    step = -(-((CLASSES + 1) ** 2) // PARTS) * CLASSES
+    total = seen.count()
+    key, times, at = np.empty(total, np.int32), np.empty(total, np.float32), 0
+    for k in range(PARTS):
+        part = seen.where(F.col("key").between(k * step, (k + 1) * step - 1)).select(
+            F.col("key").cast("int"), F.col("n").cast("float")
+        ).toArrow()
+        own = part.column("key").to_numpy()
+        order = np.argsort(own)
+        key[at : at + len(own)] = own[order]
+        times[at : at + len(own)] = part.column("n").to_numpy()[order]
+        at += len(own)
+    model.context, model.target, model.bias = train_counts(key, times, share)
     model.log_z = log_normalisers(model.context, model.target, model.bias)
     return model, counts
 

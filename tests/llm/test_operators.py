@@ -305,3 +305,17 @@ def test_passages_inside_lines_are_found_to_their_ends(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.start, r.n, r.first) for r in substring_dedup.repeated_spans(frame).collect()]
     assert sorted(got) == want
+
+
+def test_lm_matrices_are_fitted_on_all_training_documents(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [" ".join(_words(rng, 5 + i % 4)) for i in range(2500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fitted, real = [], lm.train_counts
+    monkeypatch.setattr(lm, "train_counts", lambda key, times, share: (fitted.append((key, times)), real(key, times, share))[1])
+    model, _ = lm.fit(frame, frame.doc_id >= 0)
+    key, times = fitted[0]
+    assert times.sum() == model.tokens == sum(len(t.split()) + 1 for t in texts)
+    assert (np.diff(key) > 0).all()
+    first = key // lm.CLASSES == lm.START * (lm.CLASSES + 1) + lm.START
+    assert times[first].sum() == len(texts)
