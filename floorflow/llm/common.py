@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +18,27 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows up to which a small side is broadcast; beyond it, Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a small side is broadcast; beyond it, Spark shuffles.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that a Python task handles at once.
 CHUNK_BYTES = 4 << 20
 #: Rows of texts in an Arrow batch, held by the JVM and the Python task alike.
 BATCH_ROWS = 1000
 _OWN: dict[str, str] = {}
+#: Where the tables that materialize returned are.
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    Where it is unset, a local session gets a folder of its own; a cluster has
+    none that all can read, which is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _OWN:
             _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         found = _OWN["dir"]
@@ -43,7 +51,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floorflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which nothing reads any
+    more; other tables are left alone."""
+    path = _WRITTEN.pop(df, None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -54,10 +74,54 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a materialized table of few, narrow rows for broadcast if its
-    counted rows allow it; leave the join to Spark otherwise."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(name: str, kind: DataType) -> Column:
+    """Bytes of one value, roughly as a row holds it."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return 16 + F.coalesce(F.octet_length(name), F.lit(0))
+    if isinstance(kind, ArrayType):
+        fields = len(kind.elementType.fields) if isinstance(kind.elementType, StructType) else 1
+        return 24 + 8 * (fields + (fields > 1)) * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    return F.lit(8 * len(kind.fields) + 16 if isinstance(kind, StructType) else 8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialized table for broadcast if its measured bytes allow it;
+    leave the join to Spark otherwise."""
+    each = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(16))
+    held = df.agg(F.sum(each).alias("bytes")).first()
+    return F.broadcast(df) if (held.bytes or 0) <= most else df
+
+
+def draw(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most ``n`` rows of a materialized table, those with the least hash of
+    ``key``; rows with one key count once.  Only some 2 n rows, those below a
+    bound on the hash, are sorted, whatever the table's size."""
+    h = F.xxhash64(*key)
+    below = (h / F.lit(2.0**64) + 0.5) * rows.count() < 2 * n + 1000
+    return rows.where(below).dropDuplicates(list(key)).orderBy(h, *key).limit(n)
+
+
+def label_of(labels: DataFrame) -> DataFrame:
+    """doc_id and quality (0 or 1), a row for each id; of several labels of
+    one id the lower counts, other values and null ids do not."""
+    return (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+        .where("doc_id is not null and quality in (0, 1)")
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"))
+    )
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ
+    from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_mod(column: str, mod: int) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = materialize(_small(_large(now)), "edges")
+        last, now = now, materialize(_small(_large(now)), "edges")
+        discard(last)
         row = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

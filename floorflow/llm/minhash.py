@@ -7,12 +7,13 @@ The steps that near-dedup of documents (op 2) and of paragraphs (op 1) share:
 * ``loose_edges``: distinct sets meet in band buckets; inside a bucket each
   newly joined member is compared, by signature, with those still alone only,
   so a bucket of n copies costs about n comparisons and yields n - 1 edges,
-  never all pairs.  A bucket beyond ``BUCKET_ROWS`` members is dealt out over
-  many tasks, each of which also gets the bucket's anchors.
+  never all pairs.
 * ``tight_edges``: the sets of each loose cluster are compared exactly in the
-  same manner.  A cluster beyond the block bound is dealt out in blocks which
-  share anchors; then every member outside the cluster's largest component is
-  compared with every block, so no link between components is lost.
+  same manner.
+
+A bucket or cluster beyond the block bound is dealt out in blocks which share
+anchors; then every member outside its largest component is compared with every
+block, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -81,18 +82,22 @@ class Signer:
 
     def minima(self, sets: list[np.ndarray]) -> np.ndarray:
         """len(sets) x K minima; no set may be empty."""
-        out = np.empty((self.bands * self.rows, len(sets)), np.uint32)
+        return self.minima_of(np.concatenate(sets), np.array(list(map(len, sets))))
+
+    def minima_of(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same of sets that lie one behind the other in ``values``."""
+        out = np.empty((self.bands * self.rows, len(sizes)), np.uint32)
+        ends = np.cumsum(sizes)
+        x = (values >> np.uint64(32)).astype(np.uint32)
         at = 0
-        while at < len(sets):
-            stop, total = at, 0
-            while stop < len(sets) and (stop == at or total + len(sets[stop]) <= 32_768):
-                total += len(sets[stop])
-                stop += 1
-            x = (np.concatenate(sets[at:stop]) >> np.uint64(32)).astype(np.uint32)
-            starts = np.cumsum([0, *map(len, sets[at : stop - 1])])
-            buffer = np.empty_like(x)
+        while at < len(sizes):
+            low = ends[at] - sizes[at]
+            stop = max(at + 1, int(np.searchsorted(ends, low + 32_768, side="right")))
+            own = x[low : ends[stop - 1]]
+            starts = ends[at:stop] - sizes[at:stop] - low
+            buffer = np.empty_like(own)
             for k in range(len(out)):
-                np.multiply(x, self.a[k], out=buffer)
+                np.multiply(own, self.a[k], out=buffer)
                 np.add(buffer, self.b[k], out=buffer)
                 out[k, at:stop] = np.minimum.reduceat(buffer, starts)
             at = stop
@@ -158,51 +163,41 @@ def least_equal(minima: int) -> int:
     return int(np.ceil(LIMIT * minima - ERRORS * np.sqrt(LIMIT * (1 - LIMIT) * minima)))
 
 
-def _loose_in_buckets(batches):
-    out: list[tuple[int, int]] = []
-    for _, rows in _grouped(batches, ["cid", "sig"]):
-        cid = rows["cid"]
-        if len(set(cid)) < 2:
-            continue
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(cid), -1)
-        need = least_equal(sig.shape[1])
-        out += [
-            (cid[i], cid[j])
-            for i, j in _absorb(len(cid), lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= need)
-            if cid[i] != cid[j]
-        ]
-        if len(out) > 50_000:
-            yield _pair_table(out)
-            out = []
-    yield _pair_table(out)
-
-
 def _deal(df: DataFrame) -> DataFrame:
     return df.repartition("g", "s").sortWithinPartitions("g", "s")
 
 
-def loose_edges(sets: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``sets``: distinct cid (long), keys array<long>, sig binary (a byte of
-    each minimum), materialized.  Edges between sets that may be similar."""
-    entries = sets.select(F.explode("keys").alias("g"), "cid")
-    buckets = materialize(entries.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = entries.join(small(buckets), "g")
-    hot = buckets.where(F.col("n") > bucket_rows)
-    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
-    met = materialize(met.withColumn("parts", parts), "bucket-members")
-    salted = met.withColumn("s", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    if hot.limit(1).count():
-        first = Window.partitionBy("g").orderBy("cid")
-        anchors = (
-            met.where("parts > 1")
-            .withColumn("k", F.row_number().over(first))
-            .where(F.col("k") <= ANCHORS)
-            .drop("k")
-            .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        )
-        salted = salted.unionByName(anchors)
-    signed = salted.select("g", "s", "cid").join(sets.select("cid", "sig"), "cid").select("g", "s", "cid", "sig")
-    return _deal(signed).mapInArrow(released(_loose_in_buckets), "u long, v long").distinct()
+def _alike(signatures: list[bytes]):
+    """linked(i, rest) by equal minima."""
+    sig = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+    need = least_equal(sig.shape[1])
+    return lambda i, rest: (sig[rest] == sig[i]).sum(axis=1) >= need
+
+
+def loose_edges(entries: DataFrame, sigs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges between sets that may be similar.
+
+    ``entries``: g, cid (long), a row for each band key of each set, repeats
+    allowed; ``sigs``: cid, sig binary (a byte of each minimum), repeats
+    allowed.  A bucket beyond ``bucket_rows`` sets is dealt out in parts with
+    shared anchors; then every member outside the bucket's largest component is
+    compared with every part, so no link between components is lost."""
+    buckets = materialize(
+        entries.groupBy("g").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("g"), "buckets"
+    )
+    met = materialize(entries.join(small(buckets), "g").select("g", "cid").distinct(), "bucket-members")
+    sized = met.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
+    hot = materialize(sized.select("g", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")), "hot-buckets")
+    wanted = materialize(met.select("cid").distinct(), "signed-members")
+    signed = materialize(
+        sigs.join(small(wanted), "cid").groupBy("cid").agg(F.any_value("sig").alias("sig")), "signatures"
+    )
+    members = (
+        met.join(small(hot), "g", "left")
+        .select(F.col("g").alias("cluster"), "cid", F.coalesce("parts", F.lit(1)).alias("parts"))
+        .join(signed.withColumnRenamed("sig", "held"), "cid")
+    )
+    return _linked_in_blocks(members, bool(hot.limit(1).count()), _alike).distinct()
 
 
 def _exact(members: list[bytes], percent: int):
@@ -234,35 +229,37 @@ def _exact(members: list[bytes], percent: int):
     return linked
 
 
-def _tight_in_blocks(percent: int):
+def _in_blocks(links):
+    """Groups of block members: a spanning forest of each."""
+
     def run(batches):
-        for _, rows in _grouped(batches, ["cid", "shingles"]):
-            seen = dict(zip(rows["cid"], rows["shingles"]))
-            cid, sets = list(seen), list(seen.values())
+        for _, rows in _grouped(batches, ["cid", "held"]):
+            seen = dict(zip(rows["cid"], rows["held"]))
+            cid, held = list(seen), list(seen.values())
             if len(cid) < 2:
                 continue
-            out = [(cid[i], cid[j]) for i, j in _absorb(len(cid), _exact(sets, percent))]
+            out = [(cid[i], cid[j]) for i, j in _absorb(len(cid), links(held))]
             if out:
                 yield _pair_table(out)
 
     return run
 
 
-def _across_blocks(percent: int):
+def _across_blocks(links):
     """Groups of block members (asks false) and outside members (asks true):
     each of the latter against all with another label."""
 
     def run(batches):
-        for _, rows in _grouped(batches, ["cid", "shingles", "label", "asks"]):
+        for _, rows in _grouped(batches, ["cid", "held", "label", "asks"]):
             cid, label = np.array(rows["cid"]), np.array(rows["label"])
             asks = np.array(rows["asks"], bool)
             if not asks.any() or asks.all():
                 continue
-            linked = _exact(rows["shingles"], percent)
+            linked = links(rows["held"])
             block = np.flatnonzero(~asks)
             out = []
             for i in np.flatnonzero(asks).tolist():
-                hit = block[linked(i, block)] if len(cid) > 2 else block[linked(i, block)]
+                hit = block[linked(i, block)]
                 other = hit[label[hit] != label[i]]
                 # one edge to each component that it links
                 _, at = np.unique(label[other], return_index=True)
@@ -282,30 +279,39 @@ def tight_edges(
     """``members``: cluster, cid (long), shingles binary (sorted 64-bit).
     Edges that connect exactly the members whose sets are linked by chains of
     100 * intersection >= percent * union."""
-    members = materialize(members, "cluster-members")
+    members = materialize(members.withColumnRenamed("shingles", "held"), "cluster-members")
     sizes = materialize(
         members.groupBy("cluster")
-        .agg(F.count("*").alias("n"), F.sum(F.length("shingles") / 8).alias("m"))
+        .agg(F.count("*").alias("n"), F.sum(F.length("held") / 8).alias("m"))
         .withColumn("parts", F.ceil(F.greatest(F.col("n") / block_rows, F.col("m") / block_shingles)).cast("int"))
+        .where("parts > 1")
         .select("cluster", "parts"),
         "cluster-sizes",
     )
-    split = sizes.where("parts > 1")
-    sized = members.join(small(sizes), "cluster").withColumn(
-        "s", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    )
-    own = sized.select(F.col("cluster").alias("g"), "s", "cid", "shingles")
-    if not split.limit(1).count():
-        return _deal(own).mapInArrow(released(_tight_in_blocks(percent)), "u long, v long")
+    sized = members.join(small(sizes), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return _linked_in_blocks(sized, bool(sizes.limit(1).count()), lambda held: _exact(held, percent))
+
+
+def _linked_in_blocks(members: DataFrame, split: bool, links) -> DataFrame:
+    """Edges that connect the members of each cluster which are linked by
+    chains.  ``members``: cluster, cid, held (what ``links`` compares) and
+    parts, the number of blocks the cluster is dealt out in."""
+    sized = members.withColumn("s", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    own = sized.select(F.col("cluster").alias("g"), "s", "cid", "held")
+    if not split:
+        return _deal(own).mapInArrow(released(_in_blocks(links)), "u long, v long")
+    first = Window.partitionBy("cluster").orderBy("cid")
     anchors = (
         sized.where("parts > 1")
-        .withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.length("shingles"), "cid")))
+        .withColumn("k", F.row_number().over(first))
         .where(F.col("k") <= ANCHORS)
         .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.col("cluster").alias("g"), "s", "cid", "shingles")
+        .select(F.col("cluster").alias("g"), "s", "cid", "held")
+    )
+    found = materialize(
+        _deal(own.unionByName(anchors)).mapInArrow(released(_in_blocks(links)), "u long, v long"), "links"
     )
-    first = materialize(_deal(own.unionByName(anchors)).mapInArrow(released(_tight_in_blocks(percent)), "u long, v long"), "links")
-    label = materialize(components(first), "labels")
+    label = materialize(components(found), "labels")
     named = (
         sized.where("parts > 1")
         .join(label.withColumnRenamed("node", "cid"), "cid", "left")
@@ -316,13 +322,13 @@ def tight_edges(
         weight.groupBy("cluster").agg(F.max(F.struct("n", F.col("label").alias("lead"))).alias("x")).select("cluster", "x.lead"),
         "leads",
     )
-    named = named.join(small(lead), "cluster").select("cluster", "parts", "s", "cid", "shingles", "label", "lead")
+    named = named.join(small(lead), "cluster").select("cluster", "parts", "s", "cid", "held", "label", "lead")
     # blocks of all members x blocks of those outside the largest component
     outside = named.where("label <> lead")
     block = named.select(
         F.col("cluster").alias("g"),
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: F.col("s") * F.col("parts") + t)).alias("s"),
-        "cid", "shingles", "label", F.lit(False).alias("asks"),
+        "cid", "held", "label", F.lit(False).alias("asks"),
     )
     wanted = outside.select(F.col("cluster").alias("g"), F.col("s").alias("t"), "parts").distinct()
     wanted = wanted.select(
@@ -332,7 +338,7 @@ def tight_edges(
     asking = outside.select(
         F.col("cluster").alias("g"),
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda b: b * F.col("parts") + F.col("s"))).alias("s"),
-        "cid", "shingles", "label", F.lit(True).alias("asks"),
+        "cid", "held", "label", F.lit(True).alias("asks"),
     )
-    more = _deal(block.unionByName(asking)).mapInArrow(released(_across_blocks(percent)), "u long, v long")
-    return first.unionByName(more)
+    more = _deal(block.unionByName(asking)).mapInArrow(released(_across_blocks(links)), "u long, v long")
+    return found.unionByName(more)
