@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_numpy, materialize, released
+from .common import as_numpy, draw, label_of, materialize, released
 from .rules import FEATURES, measure
 
 TREES, DEPTH, LEAF_ROWS = 100, 8, 256
@@ -96,23 +96,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (fewer than 20 words, or more than 30 % of them in repeated
-    8-word windows), anomaly (0 to 1) and kept.  ``labels``: doc_id, quality.
+    8-word windows), kept and anomaly (0 to 1).  ``labels``: doc_id, quality.
     The threshold is the anomaly that best parts rows labelled 0 and 1 among
     those that fail GOOD_LOST of the latter at most; it takes all labelled
     rows.  Without labels of both kinds nothing but the base rule fails.
 
     Null and empty texts have no words and fail the base rule; equal texts get
-    equal verdicts; a null doc_id stays; repeated rows count as rows; extra
-    columns are not looked at.
+    equal verdicts, and of equally good thresholds the lowest holds; a null
+    doc_id stays (and has no label); repeated rows count as rows; of several
+    labels of one id the lower counts; texts of any length are read whole; an
+    empty table gives no rows; extra columns are not looked at.
     """
     measured = materialize(measure(docs), "rules")
-    rows = (
-        measured.where("n_words > 0")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_ROWS)
-        .select("features")
-        .toPandas()
-    )
+    key = ("doc_id", "n_words", "word_chars", "n_symbols")
+    rows = draw(measured.where("n_words > 0"), SAMPLE_ROWS, *key).select("features").toPandas()
     forest = Forest(np.stack(rows["features"].to_numpy())[:, USED]) if len(rows) else None
     scored = materialize(
         measured.mapInArrow(
@@ -123,13 +120,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     known = (
         scored.where("not base_failed")
-        .join(labels.select(F.col("doc_id").cast("long"), "quality").where("quality in (0, 1)"), "doc_id")
+        .join(label_of(labels), "doc_id")
         .groupBy(F.floor(F.col("anomaly") * BINS).cast("int").alias("bin"))
         .agg(F.sum((F.col("quality") == 0).cast("long")).alias("bad"), F.sum((F.col("quality") == 1).cast("long")).alias("good"))
         .collect()
     )
     cut = _threshold(known)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < F.lit(cut)))
+    return scored.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.col("anomaly") < F.lit(cut))).alias("kept"), "anomaly",
+    )
 
 
 def _threshold(known) -> float:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_list, chunks, crc_mod, materialize, released, small
+from .common import as_list, chunks, crc_mod, free_names, materialize, released, small
 
 ONES, DIMS = 512, 4096
 #: Bound of the sample that centroids are fitted on: rows for each language.
@@ -169,8 +169,9 @@ def fit(docs: DataFrame, training: Column) -> LanguageModel | None:
     idf = np.log((1 + sums[0].n) / (1 + df)) + 1
     sizes = materialize(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     # only rows of small hashes, some times as many as the sample needs at every size, meet in a language's task
-    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    draw = F.xxhash64("doc_id", F.when(F.isnull("doc_id"), F.xxhash64("text")))
+    place = draw / F.lit(2.0**64) + 0.5
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text"))
     sample = (
         rows.select("doc_id", "lang", "text")
         .join(small(sizes), "lang")
@@ -216,13 +217,25 @@ def _predict(model: LanguageModel | None):
                     names[i], score[i], cosine[i] = model.languages[k], min(1.0, share[i]), best[i, k]
                     rejected[i] = bool(best[i, k] < model.floor[k] * min(1.0, letters[i] / SHORT))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names), pa.array(score), pa.array(cosine), pa.array(rejected)],
-                names=["key", "lang_pred", "score", "cosine", "rejected"],
+                [batch.column(0), batch.column(1), pa.array(names), pa.array(score), pa.array(cosine), pa.array(rejected)],
+                names=["key", "tid", "lang_pred", "score", "cosine", "rejected"],
             )
 
     return run
 
 
+def _told(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """What ``identify`` tells, with tid, the text's xxhash64."""
+    return (
+        docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("tid"), F.col("text"))
+        .mapInArrow(
+            released(_predict(model)),
+            "key long, tid long, lang_pred string, score double, cosine double, rejected boolean",
+        )
+        .withColumnRenamed("key", "doc_id")
+    )
+
+
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), cosine and rejected for each row.
 
@@ -231,15 +244,23 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     results; of equal cosines the alphabetically first language wins.  Without
     training rows all are ``und``.  Columns but doc_id and text play no part.
     """
-    return (
-        docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text"))
-        .mapInArrow(released(_predict(model)), "key long, lang_pred string, score double, cosine double, rejected boolean")
-        .withColumnRenamed("key", "doc_id")
-    )
+    return _told(docs, model).drop("tid")
+
+
+def drop_rejected(docs: DataFrame, mod: int = 5, out: int = 0) -> DataFrame:
+    """``docs`` without the rows whose language is rejected; the columns stay.
+    Rows are told by id (null ids too) and text together."""
+    model = fit(docs, crc_mod("doc_id", mod) != out)
+    gone = materialize(_told(docs, model).where("rejected").select("doc_id", "tid").distinct(), "rejected")
+    doc, tid = free_names(docs, "doc", "tid")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(tid))
+    return docs.join(small(gone).toDF(doc, tid), same, "left_anti")
 
 
 def identified(docs: DataFrame, mod: int = 5, out: int = 0) -> DataFrame:
     """Learn from documents whose id's crc32 modulo ``mod`` is not ``out`` and
     predict all; held_out marks the others."""
     model = fit(docs, crc_mod("doc_id", mod) != out)
-    return identify(docs, model).withColumn("held_out", crc_mod("doc_id", mod) == out)
+    return identify(docs, model).select(
+        "doc_id", (crc_mod("doc_id", mod) == out).alias("held_out"), "lang_pred", "score", "cosine", "rejected"
+    )

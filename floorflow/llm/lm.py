@@ -191,6 +191,20 @@ def _triple_counts(model: Model):
     return run
 
 
+def _most_frequent(counts: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the most frequent words: those above a count, and of
+    the next lower counts (a 32nd part of a doubling) those of the least hash.
+    Which of them are among these changes no score; the rest is joined."""
+    step = F.floor(F.log2("n") * 32).cast("int")
+    held, above = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), 0
+    for r in sorted(held, key=lambda r: -r.step):
+        if above + r.n > rows:
+            place = F.col("h") / F.lit(2.0**64) + 0.5
+            return counts.where((step > r.step) | ((step == r.step) & (place * r.n < rows - above)))
+        above += r.n
+    return counts
+
+
 def fit(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
     """The model, and the table (h, n) of all training words' counts."""
     rows = docs.where(training).select(F.col("doc_id").cast("long"), binary_text().alias("text"))
@@ -201,7 +215,7 @@ def fit(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
         .agg(F.sum("n").alias("n"), F.min("tail").alias("tail")),
         "word-counts",
     )
-    top = counts.orderBy(F.desc("n"), "h").limit(KNOWN_ROWS).toPandas()
+    top = _most_frequent(counts, KNOWN_ROWS).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     head = {int(h): k for k, h in enumerate(top["h"][:HEAD])}
     whole = counts.groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     # of each class: tokens, words (a tail class loses those in the head)
@@ -336,4 +350,6 @@ def scored(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
     """Learn from documents whose id's crc32 modulo ``mod`` is not ``out``;
     score all of them."""
     model, counts = fit(docs, crc_mod("doc_id", mod) != out)
-    return score(docs, model, counts).withColumn("held_out", crc_mod("doc_id", mod) == out)
+    return score(docs, model, counts).select(
+        "doc_id", (crc_mod("doc_id", mod) == out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

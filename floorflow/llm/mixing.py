@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small
+from .common import free_names, materialize, small
 
 LEVELS = ("domain", "lang", "source")
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -179,6 +179,18 @@ def mix_sources(
     return out.unionByName(last)
 
 
+def keep_mix(docs: DataFrame, weights: dict[str, dict[str, int]], fraction: float, seed: int = 7) -> DataFrame:
+    """``docs`` without the documents that the mix leaves out, each taken once
+    at most and whole; the columns stay.  Texts without words and rows without
+    an id stay; rows of one id stay or go together."""
+    mixed = mix_sources(docs, weights, fraction, max_epochs=1, seed=seed)
+    chosen = materialize(mixed.where("doc_id is not null").select("doc_id").distinct(), "mixed")
+    (name,) = free_names(docs, "chosen")
+    free = docs["doc_id"].isNull() | (word_count(docs["text"]) == 0)
+    taken = docs.join(small(chosen).toDF(name), docs["doc_id"].cast("long") == F.col(name), "left")
+    return taken.where(F.col(name).isNotNull() | free).select(*docs.columns)
+
+
 #: Weights of the registered query and of the pipeline.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 

@@ -18,6 +18,9 @@ END = 2
 #: Characters of text in a packing group: some millions of tokens, of which
 #: less than one sequence is padding.
 GROUP_CHARS = 12_000_000
+#: What a row counts besides its text's characters, so that groups of empty
+#: texts are bounded too.
+ROW_CHARS = 32
 #: Weight of a piece's squared length over the capacity (attention) against
 #: its length (everything else).
 ATTENTION = 1.0
@@ -235,20 +238,23 @@ def pack(
     """Pack every document of ``docs`` (doc_id, text) into sequences.
 
     ``path`` is a tokenizers file whose vocabulary is split at white space.
-    Documents are dealt by a hash of id and text size into groups of about
-    ``group_chars`` characters, so no group depends on a source or on copies;
-    each group is packed by itself with less than one sequence of padding.
+    Rows are dealt by a hash of their place in the table, id and text size into
+    groups of about ``group_chars`` characters, so no group depends on a source
+    or on copies; each group is packed by itself with less than one sequence of
+    padding.  ``docs`` should be read from files, whose rows keep their places
+    when a task runs again.
 
     A row per piece.  Null and empty texts are the end token alone; repeated
     rows are packed as often as they come; a null doc_id stays null; an empty
     table gives no rows.  Other columns are not looked at.
     """
-    chars = docs.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
+    weight = F.coalesce(F.length("text"), F.lit(0)).cast("long") + ROW_CHARS
+    chars = docs.agg(F.sum(weight).alias("n")).first().n or 0
     parts = max(1, -(-chars // group_chars))
     width = "<u2" if tokens_of(path).width == np.uint16 else "<u4"
     dealt = docs.select(
         F.col("doc_id").cast("long"),
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64("doc_id", F.length("text"), F.monotonically_increasing_id()), F.lit(parts)).cast("int").alias("part"),
         F.col("text"),
     )
     return (

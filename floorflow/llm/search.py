@@ -7,8 +7,8 @@ rows.  A code within Hamming radius R of a query's differs from it by at most
 R / m in one of the m substrings, so probing each index up to that distance
 finds every code within R; those are reranked by exact distance.
 
-Rows are dealt into blocks by id; each block holds its indexes, and the query
-set meets each block once, which gives the block's nearest.
+Rows are dealt into blocks by id; each block holds its indexes, and a batch of
+queries meets each block once, which gives the block's nearest.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small
+from .common import draw, materialize, small
 
 #: Bound of the sample that rotations and the radius are fitted on.
 SAMPLE_ROWS = 4096
 TRIALS = 200
 ROTATIONS, ROUNDS, PART_BITS = 4, 20, 16
-BLOCK_ROWS = 16_384
+BLOCK_ROWS, QUERY_ROWS = 16_384, 16_384
 #: Recall on the sample that the radius is chosen for.
 RECALL = 0.985
 K = 10
@@ -159,27 +159,32 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     gives no rows.
     """
     clean = vectors.where(F.col("vec_id").isNotNull() & _finite("embedding")).select(
-        F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")
+        F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("asks")
     )
     lengths = clean.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    clean = clean.where(F.size("v") == lengths.dims).dropDuplicates(["vec_id"])
-    asked = materialize(clean.where(queries).select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    clean = clean.where(F.size("v") == lengths.dims).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    asked = materialize(clean.where("asks").select(F.col("vec_id").alias("query_id"), "v"), "queries")
     copies = Window.partitionBy("v").orderBy("vec_id")
     rows = materialize(
-        clean.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"), "vectors"
+        clean.select("vec_id", "v").withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"), "vectors"
     )
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()
+    sample = draw(rows, SAMPLE_ROWS, "vec_id").select("v").toPandas()
     codes = fit(np.stack(sample["v"].to_numpy()), k)
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     indexed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def ask(which: DataFrame, radius: int | None) -> DataFrame:
-        everywhere = which.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        # bounded batches of queries, each of which meets every block once
+        batches = max(1, -(-which.count() // QUERY_ROWS))
+        everywhere = which.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int")).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        )
+        held = indexed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
         found = (
-            indexed.groupBy("block")
-            .cogroup(everywhere.groupBy("block"))
+            held.groupBy("block", "batch")
+            .cogroup(everywhere.groupBy("block", "batch"))
             .applyInArrow(_probe(codes, k, radius), "query_id long, vec_id long, d2 double")
         )
         by = Window.partitionBy("query_id").orderBy("d2", "vec_id")
