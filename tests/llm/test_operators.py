@@ -11,7 +11,7 @@ import pytest
 
 from floorflow.llm import anomaly, chat, language, lm, mixing, near_dedup, packing, quality, rules, search, substring_dedup
 from floorflow.llm.components import components
-from floorflow.llm.minhash import tight_edges
+from floorflow.llm.minhash import loose_edges, tight_edges
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cid string, component string"
 
@@ -319,3 +319,174 @@ def test_lm_matrices_are_fitted_on_all_training_documents(spark, monkeypatch):
     assert (np.diff(key) > 0).all()
     first = key // lm.CLASSES == lm.START * (lm.CLASSES + 1) + lm.START
     assert times[first].sum() == len(texts)
+
+
+def test_hot_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(21)
+    sigs = []
+    for _ in range(100):  # pairs of equal signatures that share a bucket and nothing else
+        own = bytes(rng.integers(0, 256, 200, dtype=np.uint8))
+        sigs += [own, own]
+    names = rng.permutation(200).tolist()
+    table = spark.createDataFrame([(c, bytearray(s)) for c, s in zip(names, sigs)], "cid long, sig binary")
+    entries = table.selectExpr("1L AS g", "cid").unionByName(table.selectExpr("1L AS g", "cid"))
+    want = {frozenset(names[2 * k : 2 * k + 2]) for k in range(100)}
+    for bucket_rows in (4000, 20, 7):
+        got = loose_edges(entries, table.unionByName(table), bucket_rows).collect()
+        assert {frozenset((r.u, r.v)) for r in got} == want
+
+
+ODD = [
+    (3, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "q w e r t y u i o p"), (5, "q w e r t y u i o p"),
+    (None, "z1 z2 z3 z4 z5 z6 z7"), (None, "z1 z2 z3 z4 z5 z6 z7"), (None, "Q W e r t y u i o p"), (None, None), (8, None), (9, ""),
+]
+
+
+def test_near_copies_are_told_by_id_and_text(spark):
+    frame = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "'x' AS tid", "1 AS n", "'y' AS `class`", "2L AS doc")
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(frame).collect()), key=str)
+    assert kept == sorted(
+        [(3, "a b c d e f g h"), (5, "q w e r t y u i o p"), (None, "z1 z2 z3 z4 z5 z6 z7"), (None, None), (8, None), (9, "")], key=str
+    )
+    assert near_dedup.drop_near_duplicates(frame).columns == frame.columns
+
+
+def test_a_class_without_ids_is_linked(spark):
+    words = [f"w{k}" for k in range(100)]
+    edited = list(words)
+    edited[50] = "other"
+    frame = spark.createDataFrame([(7, " ".join(words)), (None, " ".join(edited))], "doc_id long, text string")
+    assert [r.doc_id for r in near_dedup.drop_near_duplicates(frame).collect()] == [7]
+
+
+def test_repeats_with_clashing_columns_and_ids(spark):
+    rng = random.Random(31)
+    passage = " ".join(_words(rng, 60))
+    lead = [" ".join(_words(rng, 40)) for _ in range(4)]
+    rows = [(1, f"{lead[0]} {passage}"), (2, f"{lead[1]} {passage}"), (2, lead[2]), (2, f"{lead[1]} {passage}"), (None, f"{lead[3]} {passage}"), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7L AS tid", "'s' AS spans", "0 AS span_doc", "'k' AS span_tid")
+    got = sorted(((r.doc_id, r.text, r.tid, r.spans) for r in substring_dedup.remove_repeats(frame).collect()), key=str)
+    want = [(1, rows[0][1]), (2, f"{lead[1]} "), (2, f"{lead[1]} "), (2, lead[2]), (None, rows[4][1]), (4, None)]
+    assert [(g[0], (g[1] or "").strip()) for g in got] == [(w[0], (w[1] or "").strip()) for w in sorted(want, key=str)]
+    assert all(g[2:] == (7, "s") for g in got)
+
+
+def test_conflicting_labels_and_null_ids(docs, spark):
+    labels = spark.createDataFrame(
+        [(i, int(i < 40)) for i in range(70)] + [(0, 0), (None, 1), (1, 5), (2, None)] * 3, "doc_id long, quality int"
+    )
+    a, b = (sorted(map(tuple, anomaly.quality_rules(docs, x).collect()), key=str) for x in (labels, labels.orderBy(labels.quality.desc())))
+    assert a == b
+    nulls = docs.withColumn("doc_id", docs.doc_id.cast("string").cast("long") * None)
+    assert anomaly.quality_rules(nulls, labels).count() == docs.count() == quality.ranked(nulls, labels).count()
+    assert lm.scored(nulls).count() == docs.count() == language.identified(nulls).count()
+
+
+def test_most_frequent_words_are_bounded(spark):
+    counts = spark.createDataFrame([(k * 7919 % 10007 - 5000, 1 + 1000 // (k + 1)) for k in range(10000)], "h long, n long")
+    top = lm._most_frequent(counts, 500).toPandas()
+    assert 300 <= len(top) <= 700 and top.n.max() == 1001
+
+
+def test_lm_scores_match_the_formula(docs, rows):
+    """score is the sum of P(class | two classes) and of the word's share of
+    its class, over every token."""
+    model, counts = lm.fit(docs, lm.crc_mod("doc_id", 7) != 2)
+    n = {r.h: r.n for r in counts.collect()}
+    text = {r[0]: (r[1] or "") for r in rows}
+    for r in lm.score(docs, model, counts).collect():
+        if r.doc_id % 5:
+            continue
+        w = text[r.doc_id].encode().lower().split() + [b""]
+        h = np.array([lm.word_hash(x) for x in w], np.uint64)
+        cls = model.look_up(h, np.array([lm.tail_class(x) for x in w]))[1].tolist()
+        past, want = [lm.START, lm.START], 0.0
+        for c, x in zip(cls, h.view(np.int64).tolist()):
+            want += float(model.class_log10(np.array([past[-1]]), np.array([past[-2]]), np.array([c]))[0])
+            if c >= lm.HEAD:
+                want += math.log10(n.get(x, 0) + 1) - model.log_tail[c]
+            past.append(c)
+        assert r.score == pytest.approx(want)
+
+
+def test_forest_paths_match_walks(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 5)), rng.normal(6, 1, size=(8, 5))])
+    forest = anomaly.Forest(x)
+    score = forest.score(x)
+    for i in (0, 17, 403):
+        total = 0.0
+        for t in range(anomaly.TREES):
+            node = 0
+            for _ in range(anomaly.DEPTH):
+                node = 2 * node + 1 + int(x[i, forest.feature[t, node]] > forest.cut[t, node])
+            total += forest.path[t, node - (2**anomaly.DEPTH - 1)]
+        assert score[i] == pytest.approx(2 ** (-total / anomaly.TREES / forest.unit))
+    assert score[400:].min() > np.quantile(score[:400], 0.99)
+
+
+def test_rule_counts_match_brute_force(docs, spark):
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(70)], "doc_id long, quality int")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in anomaly.quality_rules(docs, labels).collect():
+        t = text[r.doc_id]
+        w = t.split()
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        lines, seen, dup = [x for x in t.split("\n") if x.split()], set(), 0
+        for x in lines:
+            dup += x in seen
+            seen.add(x)
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert got == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit))
+        assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_ranking_parts_labels(spark):
+    rng = random.Random(40)
+    good = [" ".join(_words(rng, 80)) + "." for _ in range(60)]
+    bad = ["$$ | # " + " ".join(rng.choice("abc") for _ in range(60)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate([x for p in zip(good, bad) for x in p])), "doc_id long, text string")
+    labels = frame.selectExpr("doc_id", "CAST(1 - doc_id % 2 AS INT) AS quality", "0 AS toxic")
+    got = quality.ranked(frame, labels).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in got)  # ties: equal texts get equal scores
+    assert {r.held_out for r in got} == {True, False}
+
+
+def test_language_matches_brute_force(docs):
+    model = language.fit(docs, language.crc_mod("doc_id", 5) != 0)
+    for r in language.identify(docs, model).collect()[:40]:
+        t = next(x.text for x in docs.where(docs.doc_id == r.doc_id).limit(1).collect()) or ""
+        counts, letters = language.gram_counts([t])
+        if not letters[0]:
+            assert r.lang_pred == "und" and r.rejected
+            continue
+        v = language.unit_vectors(counts, model.idf)[0]
+        cosine = [max(float(v @ c) for c, o in zip(model.centroids, model.owner) if o == k) for k in range(len(model.languages))]
+        assert r.lang_pred == model.languages[int(np.argmax(cosine))] and r.cosine == pytest.approx(max(cosine), abs=1e-5)
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 900, 200)
+    pieces = packing.assign(lengths, 1000)
+    count = -(-int(lengths.sum()) // 1000)
+    cost, room = [0.0] * count, [1000] * count
+    for doc, start, n, sequence, offset in pieces:
+        if n == lengths[doc]:
+            fits = [cost[k] for k in range(count) if room[k] >= n]
+            assert cost[sequence] == min(fits)
+        assert offset == 1000 - room[sequence]
+        cost[sequence] += n + n * n / 1000
+        room[sequence] -= n
+    assert min(room) >= 0 and sum(room) < 1000
+    whole = [p for p in pieces if p[1] == 0]
+    assert [lengths[p[0]] for p in whole] == sorted(lengths, reverse=True)
+
+
+def test_packing_deals_copies_and_empty_texts_out(spark):
+    from floorflow.llm.queries import tokenizer_path
+
+    frame = spark.range(3000).selectExpr("1L AS doc_id", "'' AS text", "id AS part")
+    got = packing.pack(frame, tokenizer_path(), group_chars=16_000).toPandas()
+    assert len(got) == 3000 and got.groupby(got.sequence_id.to_numpy() >> 32).size().max() < 1000
