@@ -3,41 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from floorflow.llm import language, mixing, near_dedup, packing, substring_dedup
-from floorflow.llm.common import bound_batches, materialize, small
+from floorflow.llm.common import bound_batches, materialize
 from floorflow.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go."""
+    """Documents that the language model rejects go; the columns stay.
+
+    Texts that are null, empty or without a letter have no language and go.
+    Rows are told by id (null ids too) and text together, so another text with
+    the same id stays; repeated rows stay or go together.  Very long texts are
+    read whole.
+    """
     bound_batches(spark)
-    found = materialize(language.identified(docs).where("rejected").select("doc_id").distinct(), "rejected")
-    return docs.join(small(found), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
+    return language.drop_rejected(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One row of each near-duplicate group stays, that of the smallest id;
+    the columns stay.  Null, empty and wordless texts are in no group and stay,
+    rows without an id take part, and of repeated rows one stays."""
     bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat an earlier document are cut out."""
+    """Passages that repeat an earlier document are cut out, and documents of
+    which no word is left go; the columns stay and n_chars follows.  Rows with
+    a null id or text stay whole; of equal documents the smallest id does."""
     bound_batches(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix: 90 % of all tokens, each document once at most."""
-    chosen = mixing.mix_sources(docs, mixing.WEIGHTS, fraction=0.9, max_epochs=1)
-    chosen = materialize(chosen.select("doc_id").distinct(), "mixed")
-    return docs.join(small(chosen), "doc_id", "left_semi").select(*docs.columns)
+    """Documents of the mix: 90 % of all tokens by the target weights, each
+    document once at most and whole (the last one of a leaf too, so that no
+    text is broken); the columns stay.
+
+    Null languages and sources are leaves of their own.  Texts without words
+    cost nothing and stay, as do rows without an id, which no budget can name;
+    rows of one id stay or go together.
+    """
+    return mixing.keep_mix(docs, mixing.WEIGHTS, fraction=0.9)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences of at most 4096 tokens, as op9 returns them; null
+    and empty texts are their end token, repeated rows are packed each, and a
+    null id stays."""
     bound_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
