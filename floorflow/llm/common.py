@@ -26,6 +26,8 @@ BROADCAST_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
 #: Rows of texts in an Arrow batch, held by the JVM and the Python task alike.
 BATCH_ROWS = 1000
+#: The setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 #: Where the tables that materialize returned are.
 _WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
@@ -47,10 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
-    sizes are known to the planner, and a lost executor loses nothing."""
+    sizes are known to the planner, and a lost executor loses nothing.  The
+    shuffle files of the write, which nothing reads again, go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floorflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     return out
