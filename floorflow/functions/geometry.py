@@ -12,8 +12,10 @@ from collections.abc import Sequence
 Point = tuple[float, float]
 
 
-def num(value: float) -> str:
+def num(value: float | None) -> str:
     """A double literal (an exponent keeps it from being a decimal)."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
     text = repr(float(value))
     return text if "e" in text else f"{text}e0"
 

@@ -8,74 +8,91 @@ from pyspark.sql.window import Window
 
 from ..functions.geometry import centroid, even_odd, inside, num, segment_distance2
 from ..plans.site import Site
-from .observations import all_crossings, by_object, constant, kinematics, nearest_route, route_segments
+from .observations import (
+    KEY, aligned, all_crossings, by_object, confident, constant, counted, kinematics, mapped, nearest_route, on_floor, project,
+    route_segments, routed, sessions,
+)
 
 TICK = 1_000_000
 
 
-def ticks(calls: DataFrame) -> DataFrame:
-    """A row for each second after the first call: k, tick_us, and the call
-    (c: ts_us, event_id) whose state is sampled, the first at or after it."""
-    span = calls.agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
-    grid = span.select("t0", F.explode(F.sequence(F.lit(1), F.expr(f"int((t1 - t0) div {TICK})"))).alias("k"))
+def ticks(tracks: DataFrame, site: Site) -> DataFrame:
+    """The samples of each session and floor: every second after its start and
+    what is left at its end.  KEY, k, tick_us, t0, dt (seconds since the sample
+    before) and the call (c: ts_us, event_id) whose state is sampled, the first
+    at or after the tick or else the last one."""
+    span = sessions(tracks, site)
+    calls = mapped(routed(tracks, site), site).select(*KEY, "ts_us", "event_id")
+    length = f"(t1 - t0) div {TICK}"
+    whole = span.select("*", F.explode(F.expr(f"sequence(1L, {length} + if((t1 - t0) % {TICK} > 0, 1L, 0L))")).alias("k")).where("t1 > t0")
+    grid = whole.withColumn("tick_us", F.least("t1", F.col("t0") + F.col("k") * TICK))
     first = (
-        calls.join(F.broadcast(span.select("t0")))
-        .groupBy(F.expr(f"int((ts_us - t0) div {TICK})").alias("k"))
-        .agg(F.min(F.struct("ts_us", "event_id")).alias("own"))
-    )
-    later = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return grid.join(first, "k", "left").select(
-        "k", (F.col("t0") + F.col("k") * TICK).alias("tick_us"), "t0", F.min("own").over(later).alias("c")
+        calls.join(F.broadcast(span.select(*KEY, "t0")), KEY)
+        .groupBy(*KEY, F.expr(f"(ts_us - t0) div {TICK}").alias("k"))
+        .agg(F.min(F.struct("ts_us", "event_id")).alias("own"), F.max(F.struct("ts_us", "event_id")).alias("last"))
     )
+    ends = first.groupBy(*KEY).agg(F.max("last").alias("last"))
+    later = Window.partitionBy(*KEY).orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    found = grid.join(first.drop("last"), [*KEY, "k"], "left").join(F.broadcast(ends), KEY)
+    asked = F.when(F.col("tick_us") == F.col("t0") + F.col("k") * TICK, F.min("own").over(later))
+    return found.select(
+        *KEY, "k", "tick_us", "t0", F.coalesce(asked, "last").alias("c"),
+        ((F.col("tick_us") - F.col("t0") - (F.col("k") - 1) * TICK) / F.lit(1e6)).alias("dt"),
+    )
 
 
 def tick_states(rows: DataFrame, grid: DataFrame, site: Site) -> DataFrame:
     """The row of each object that holds at each tick: its last at the tick's
-    call, if not lost by then.  A row is looked up in the seconds up to the
-    lost timeout after it, so the work follows the rows."""
-    spans = rows.withColumn("next", F.lead(F.struct("ts_us", "event_id")).over(by_object()))
-    near = site.lost_us // TICK + 1
-    start = grid.agg(F.min("t0").alias("t0"))
-    spread = spans.join(F.broadcast(start)).withColumn(
-        "b", F.explode(F.expr(f"sequence((ts_us - t0) div {TICK}, (ts_us - t0) div {TICK} + {near})"))
-    )
-    asked = grid.withColumn("b", F.expr(f"(c.ts_us - t0) div {TICK}")).drop("t0")
+    call, if not dropped or lost by then.  A row meets the seconds from itself
+    to its object's next row or the lost timeout only."""
+    ends = f"least(coalesce(until.ts_us, ts_us + {site.lost_us}), ts_us + {site.lost_us})"
+    spread = rows.withColumn("b", F.explode(F.expr(f"sequence(ts_us div {TICK}, {ends} div {TICK})")))
+    asked = grid.select(*KEY, "k", "tick_us", "t0", "c", F.expr(f"c.ts_us div {TICK}").alias("b"))
     here = F.struct("ts_us", "event_id")
     return (
-        spread.join(asked, "b")
-        .where((here <= F.col("c")) & (F.col("next").isNull() | (F.col("next") > F.col("c"))))
+        spread.join(asked, [*KEY, "b"])
+        .where((here <= F.col("c")) & (F.col("until").isNull() | (F.col("until") > F.col("c"))))
         .where(F.col("c.ts_us") - F.col("ts_us") <= site.lost_us)
-        .drop("b", "next", "t0", "c")
+        .drop("b", "c", "until")
     )
 
 
-def tick_counts(states: DataFrame, grid: DataFrame, zones) -> DataFrame:
-    """n of each zone at each tick, zeros included: k, zone, n."""
-    sums = [F.sum(F.expr(f"CASE WHEN {inside('x', 'y', z.polygon)} THEN 1 ELSE 0 END")).alias(z.name) for z in zones]
-    wide = grid.select("k").join(states.groupBy("k").agg(*sums), "k", "left")
-    pairs = F.array(*[F.struct(F.lit(z.name).alias("zone"), F.coalesce(F.col(z.name), F.lit(0)).alias("n")) for z in zones])
-    return wide.select("k", F.explode(pairs).alias("z")).select("k", "z.zone", "z.n")
+def tick_counts(states: DataFrame, grid: DataFrame, site: Site, zones) -> DataFrame:
+    """n of each zone at each tick, zeros included: KEY, k, tick_us, t0, dt, zone, n."""
+    return counted(states, grid.drop("c"), site, zones, [*KEY, "k"])
+
+
+def with_density(counts: DataFrame, site: Site) -> DataFrame:
+    return counted_density(counts, site, site.bottlenecks)
+
+
+def counted_density(counts: DataFrame, site: Site, zones) -> DataFrame:
+    return counts.withColumn("rho", F.col("n") / constant(zones, "zone", lambda z: num(site.area_m2(z))))
 
 
 def congestion(counts: DataFrame, site: Site, rho_scale: float = 1.0) -> DataFrame:
     """CBS of each bottleneck: what the density held from the tick before is
-    over the critical one, weighted, summed over seconds; share of the worst
-    gives the risk."""
+    over the critical one, weighted, times the seconds between; share of the
+    session's worst gives the risk."""
     zones = site.bottlenecks
-    dense = counts.withColumns(
+    dense = with_density(counts, site).withColumns(
         {
-            "rho": F.col("n") / constant(zones, "zone", lambda z: num(site.area_m2(z))),
             "crit": constant(zones, "zone", lambda z: num(z.rho_crit * rho_scale)),
             "weight": constant(zones, "zone", lambda z: num(z.weight)),
         }
     )
-    held = dense.withColumn("held", F.lag("rho").over(Window.partitionBy("zone").orderBy("k")))
-    out = held.groupBy("zone").agg(
-        F.round(F.sum(F.greatest(F.coalesce(F.col("held") - F.col("crit"), F.lit(0.0)), F.lit(0.0)) * F.col("weight")), 6).alias("cbs"),
-        F.sum(F.when(F.col("held") > F.col("crit"), 1).otherwise(0)).alias("over_sec"),
+    held = dense.withColumn("held", F.lag("rho").over(Window.partitionBy(*KEY, "zone").orderBy("k")))
+    return ranked_congestion(held)
+
+
+def ranked_congestion(held: DataFrame, *more: str) -> DataFrame:
+    over = F.greatest(F.coalesce(F.col("held") - F.col("crit"), F.lit(0.0)), F.lit(0.0))
+    out = held.groupBy(*more, *KEY, "zone").agg(
+        F.round(F.sum(over * F.col("weight") * F.col("dt")), 6).alias("cbs"),
+        F.round(F.sum(F.when(F.col("held") > F.col("crit"), F.col("dt")).otherwise(0.0)), 6).alias("over_sec"),
         F.round(F.max("rho"), 6).alias("peak"),
     )
-    top = F.max("cbs").over(Window.partitionBy(F.lit(0)))
+    top = F.max("cbs").over(Window.partitionBy(*more, *KEY))
     risk = (
         F.when((top <= 0) | (F.col("cbs") <= 0), "low")
         .when(F.col("cbs") * 3 <= top, "low")
@@ -88,15 +105,12 @@ def congestion(counts: DataFrame, site: Site, rho_scale: float = 1.0) -> DataFra
 def zone_conditions(states: DataFrame, site: Site) -> DataFrame:
     """Mean speed, mean alignment and share of movers of each zone and tick
     that has members, and whether all reach their thresholds."""
-    member = F.explode(
-        F.filter(
-            F.array(*[F.when(F.expr(inside("x", "y", z.polygon)), F.lit(z.name)) for z in site.zones]), lambda v: v.isNotNull()
-        )
-    )
+    names = on_floor(site.zones, [f"CASE WHEN {inside('x', 'y', z.polygon)} THEN '{z.name}' END" for z in site.zones])
+    member = F.explode(F.filter(F.expr(names), lambda v: v.isNotNull()))
     moves = f"CASE WHEN speed >= {num(site.v_th)} AND align >= {num(site.a_th)} THEN 1 ELSE 0 END"
     return (
         states.withColumn("zone", member)
-        .groupBy("k", "zone")
+        .groupBy(*KEY, "k", "tick_us", "t0", "zone")
         .agg(
             F.avg("speed").alias("v_e"), F.avg("align").alias("a_e"),
             (F.sum(F.expr(moves)) / F.count("*")).alias("r_e"), F.count("*").alias("n"),
@@ -109,15 +123,20 @@ def zone_conditions(states: DataFrame, site: Site) -> DataFrame:
 
 
 def onset(conditions: DataFrame, site: Site) -> DataFrame:
-    """First tick of each zone's first run of ticks that holds long enough."""
-    on = conditions.where("holds")
-    run = on.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("zone").orderBy("k")))
+    """Start of each zone's first run of samples that holds for dt_hold, and
+    the share of movers when that was reached: KEY, zone, start_us, delay_sec,
+    participants."""
+    by = Window.partitionBy(*KEY, "zone")
+    run = conditions.where("holds").withColumn("run", F.col("k") - F.row_number().over(by.orderBy("k")))
+    since = run.withColumn("start_us", F.min("tick_us").over(Window.partitionBy(*KEY, "zone", "run")))
     return (
-        run.groupBy("zone", "run")
-        .agg(F.min("k").alias("start_k"), F.max("k").alias("last_k"))
-        .where(F.col("last_k") - F.col("start_k") >= int(site.dt_hold))
-        .groupBy("zone")
-        .agg(F.min("start_k").alias("start_k"))
+        since.where((F.col("tick_us") - F.col("start_us")) / F.lit(1e6) >= float(site.dt_hold))
+        .groupBy(*KEY, "zone")
+        .agg(F.min(F.struct("k", "start_us", "t0", "r_e")).alias("x"))
+        .select(
+            *KEY, "zone", "x.start_us", ((F.col("x.start_us") - F.col("x.t0")) / F.lit(1e6)).alias("delay_sec"),
+            F.round("x.r_e", 6).alias("participants"),
+        )
     )
 
 
@@ -156,16 +175,19 @@ def zone_distances(spark, site: Site) -> DataFrame:
     return cells.agg(F.array(*items).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def response(starts: DataFrame, distances: DataFrame) -> DataFrame:
-    """IDR of each zone: distance over delay, averaged over origins; null for
-    zones without a start."""
+def response(starts: DataFrame, distances: DataFrame, base: DataFrame, site: Site) -> DataFrame:
+    """IDR of each zone of each session and floor (``base``): distance over
+    delay, averaged over origins; null for zones without a start."""
+    floors = " ".join(f"WHEN '{z.name}' THEN '{z.floor}'" for z in site.zones)
+    rows = distances.withColumn("floor_id", F.expr(f"CASE zone {floors} END")).join(base.select(*KEY), "floor_id")
     return (
-        distances.join(starts, "zone", "left")
-        .groupBy("zone")
+        rows.join(starts, [*KEY, "zone"], "left")
+        .groupBy(*KEY, "zone")
         .agg(
-            F.round(F.avg(F.expr("CASE WHEN start_k IS NOT NULL THEN distance / greatest(start_k, 1e-6) END")), 6).alias("idr"),
-            F.max("start_k").alias("delay_sec"),
+            F.round(F.avg(F.expr("CASE WHEN delay_sec IS NOT NULL THEN distance / greatest(delay_sec, 1e-6) END")), 6).alias("idr"),
+            F.round(F.max("delay_sec"), 6).alias("delay_sec"),
             F.round(F.avg("distance"), 6).alias("mean_distance"),
+            F.max("participants").alias("participants"),
         )
         .withColumn("status", F.when(F.col("delay_sec").isNull(), "not_started").otherwise("started"))
     )
@@ -180,41 +202,48 @@ def deviations(seen: DataFrame, site: Site) -> DataFrame:
         parts = [segment_distance2("x", "y", a, b) for _, n, _, a, b in route_segments(site) if n == r]
         least = parts[0] if len(parts) == 1 else f"least({', '.join(parts)})"
         by_route.append(f"WHEN {r} THEN sqrt({least})")
-    cases = " ".join(by_route)
-    return seen.withColumn("route", first).withColumn("d", F.expr(f"(CASE route {cases} END) * {num(site.m_per_px)}"))
+    cases = f"CASE route {' '.join(by_route)} END" if by_route else num(None)
+    return seen.withColumn("route", first).withColumn("d", F.expr(f"({cases}) * {num(site.m_per_px)}"))
 
 
-def fidelity(dev: DataFrame, site: Site, d_allow: float | None = None) -> DataFrame:
-    """EPFI of each object: trapezoid of deviation over time against what is
-    allowed; null under two seconds."""
-    allow = site.d_allow if d_allow is None else d_allow
-    steps = dev.withColumns(
-        {"d0": F.lag("d").over(by_object()), "dt": F.expr("(ts_us - lag(ts_us) OVER (PARTITION BY gid ORDER BY ts_us, event_id)) / 1e6")}
-    )
+def paths(dev: DataFrame) -> DataFrame:
+    """Of each object: area between its path and its route over time (a
+    trapezoid from row to row, over gaps too), duration, mean and largest
+    deviation."""
+    steps = dev.withColumns({"d0": F.lag("d").over(by_object()), "t_before": F.lag("ts_us").over(by_object())})
     return (
-        steps.groupBy("gid", "route")
+        steps.groupBy(*KEY, "gid", "route")
         .agg(
-            F.sum(F.expr("5e-1 * (d + d0) * dt")).alias("area"),
+            F.sum(F.expr("5e-1 * (d + d0) * ((ts_us - t_before) / 1e6)")).alias("area"),
             F.expr("(max(ts_us) - min(ts_us)) / 1e6").alias("duration"),
             F.round(F.max("d"), 6).alias("max_deviation"),
         )
-        .select(
-            "gid", "route", F.round("duration", 6).alias("duration"), "max_deviation",
-            F.expr(f"CASE WHEN duration >= 2e0 THEN round(greatest(0e0, 1e0 - area / (duration * {num(allow)})) * 1e2, 6) END").alias("epfi"),
-        )
     )
 
 
-def exit_counts(seen: DataFrame, site: Site) -> DataFrame:
-    """Objects that passed each exit, once per direction: exit_id, n_in,
-    n_out, all exits included."""
-    passed = all_crossings(seen, site).groupBy("exit_id").agg(
-        F.countDistinct(F.expr("CASE WHEN direction = 'in' THEN gid END")).alias("i"),
-        F.countDistinct(F.expr("CASE WHEN direction = 'out' THEN gid END")).alias("o"),
+def epfi(allow: str) -> str:
+    return f"CASE WHEN duration >= 2e0 AND area IS NOT NULL THEN round(greatest(0e0, 1e0 - area / (duration * {allow})) * 1e2, 6) END"
+
+
+def fidelity(dev: DataFrame, site: Site, d_allow: float | None = None) -> DataFrame:
+    """EPFI of each object: deviation over time against what is allowed; null
+    under two seconds, without a route or without a scale."""
+    allow = site.d_allow if d_allow is None else d_allow
+    return paths(dev).select(
+        *KEY, "gid", "route", F.round("duration", 6).alias("duration"), "max_deviation", F.expr(epfi(num(allow))).alias("epfi")
     )
-    names = seen.sparkSession.range(1).select(F.explode(F.array(*[F.lit(e.name) for e in site.exits])).alias("exit_id"))
-    return names.join(passed, "exit_id", "left").select(
-        "exit_id", F.coalesce("i", F.lit(0)).alias("n_in"), F.coalesce("o", F.lit(0)).alias("n_out")
+
+
+def exit_counts(seen: DataFrame, base: DataFrame, site: Site) -> DataFrame:
+    """Objects that passed each exit, once per direction: KEY, exit_id, n_in,
+    n_out, all exits of all sessions and floors (``base``) included."""
+    each = all_crossings(seen, site).groupBy(*KEY, "exit_id", "gid").agg(
+        F.max(F.expr("CAST(direction = 'in' AS BIGINT)")).alias("i"), F.max(F.expr("CAST(direction = 'out' AS BIGINT)")).alias("o")
+    )
+    passed = each.groupBy(*KEY, "exit_id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    names = base.select(*KEY, F.explode(F.expr(on_floor(site.exits, [f"'{e.name}'" for e in site.exits]))).alias("exit_id"))
+    return names.join(passed, [*KEY, "exit_id"], "left").select(
+        *KEY, "exit_id", F.coalesce("i", F.lit(0)).alias("n_in"), F.coalesce("o", F.lit(0)).alias("n_out")
     )
 
 
@@ -222,7 +251,7 @@ def exit_shares(counts: DataFrame, site: Site) -> DataFrame:
     """Actual and design share of exits that have a capacity."""
     cases = " ".join(f"WHEN '{e.name}' THEN {e.capacity if e.capacity is not None else 'CAST(NULL AS INT)'}" for e in site.exits)
     known = counts.withColumn("capacity", F.expr(f"CASE exit_id {cases} END")).where("capacity IS NOT NULL")
-    whole = Window.partitionBy(F.lit(0))
+    whole = Window.partitionBy(*KEY)
     return known.withColumns(
         {
             "actual": F.expr("n_out") / F.nullif(F.sum("n_out").over(whole), F.lit(0)),
@@ -233,10 +262,30 @@ def exit_shares(counts: DataFrame, site: Site) -> DataFrame:
 
 def exit_balance(shares: DataFrame) -> DataFrame:
     """SEI; null without passages or capacities."""
-    return shares.agg(F.round((1 - F.sum(F.abs(F.col("actual") - F.col("design"))) / 2) * 100, 6).alias("sei"))
+    return shares.groupBy(*KEY).agg(F.round((1 - F.sum(F.abs(F.col("actual") - F.col("design"))) / 2) * 100, 6).alias("sei"))
 
 
 def with_motion(seen: DataFrame, site: Site) -> DataFrame:
-    from .observations import aligned
-
     return aligned(kinematics(seen, site), site)
+
+
+def quality(tracks: DataFrame, site: Site) -> DataFrame:
+    """Of each session and floor: points taken, dropped (unmapped or outside
+    the ROI) and their share, objects, cameras and warnings."""
+    rows = routed(tracks, site)
+    names = [c.name for c in site.cameras]
+    unmapped = rows.groupBy(*KEY).agg(F.sum((~F.col("cam_id").isin(names)).cast("long")).alias("unmapped"))
+    taken = project(confident(rows, site), site).groupBy(*KEY).agg(
+        F.sum((~F.col("in_roi")).cast("long")).alias("outside"), F.sum(F.col("in_roi").cast("long")).alias("points"),
+        F.countDistinct(F.expr("CASE WHEN in_roi THEN gid END")).alias("tracks"),
+        F.array_join(F.array_sort(F.collect_set(F.expr("CASE WHEN in_roi THEN cam_id END"))), ",").alias("cameras"),
+    )
+    zero = F.lit(0)
+    both = unmapped.join(taken, KEY, "left").withColumns({c: F.coalesce(c, zero) for c in ("outside", "points", "tracks")})
+    dropped = F.col("unmapped") + F.col("outside")
+    ratio = F.coalesce(dropped / F.nullif(dropped + F.col("points"), zero), F.lit(0.0))
+    warning = "" if site.m_per_px is not None else "no_map_scale"
+    return both.select(
+        *KEY, "points", dropped.alias("dropped"), "tracks", F.coalesce("cameras", F.lit("")).alias("cameras"),
+        F.round(ratio, 4).alias("dropped_ratio"), F.lit(warning).alias("warnings"),
+    )

@@ -26,21 +26,9 @@ def index_quartiles(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     )
 
 
-def surges(series: DataFrame) -> DataFrame:
-    """Of each zone's series (zone, k, rho): the peak, when it is first
-    reached, first and last time above zero, and seconds above zero."""
-    up = F.expr("CASE WHEN rho > 0e0 THEN k END")
-    out = series.groupBy("zone").agg(
-        F.round(F.max("rho"), 3).alias("peak"),
-        F.min_by("k", F.struct((-F.col("rho")).alias("a"), "k")).alias("peak_at"),
-        F.min(up).alias("first_on"), F.max(up).alias("last_on"), F.count(up).alias("on_sec"),
-    )
-    return out.withColumn("peak_at", F.expr("CASE WHEN peak > 0e0 THEN peak_at END"))
-
-
-def thin(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows evenly spaced by position: those at int(i * count / n)."""
-    w = Window.partitionBy(F.lit(0))
+def thin(rows: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
+    """n rows of each key evenly spaced by position: those at int(i * count / n)."""
+    w = Window.partitionBy(*key)
     placed = rows.withColumns({"p": F.row_number().over(w.orderBy(order)) - 1, "total": F.count("*").over(w)})
     wanted = F.exists(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("total") / F.lit(n)) == F.col("p"))
     return placed.where((F.col("total") <= n) | wanted).drop("p", "total")
@@ -56,25 +44,6 @@ def histogram(rows: DataFrame, value: str, bins: int = 10, top: float = 100.0) -
     )
 
 
-def entity_values(rows: DataFrame, kind: str, name: str, columns: list[str]) -> DataFrame:
-    """Long form kind, id, k, v of numeric columns."""
-    pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
-    return rows.select(F.lit(kind).alias("kind"), F.col(name).cast("string").alias("id"), F.expr(f"stack({len(columns)}, {pairs}) AS (k, v)"))
-
-
-def visits(rows: DataFrame, key: str, lost_us: int) -> DataFrame:
-    """Sessions of each object that end where it is unseen for longer than the
-    lost timeout: first, last and number of rows."""
-    w = Window.partitionBy(key).orderBy("ts_us", "event_id")
-    fresh = F.when(F.col("ts_us") - F.lag("ts_us").over(w) > lost_us, 1).otherwise(0)
-    return (
-        rows.withColumn("fresh", fresh)
-        .withColumn("visit", F.sum("fresh").over(w))
-        .groupBy(key, "visit")
-        .agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count("*").alias("n"))
-    )
-
-
 def frame_rate(rows: DataFrame, key: str, frames: int = 25) -> DataFrame:
     """Rate over each row's last ``frames`` rows: (n - 1) over their span."""
     w = Window.partitionBy(key).orderBy("ts_us", "event_id").rowsBetween(-(frames - 1), 0)

@@ -1,23 +1,18 @@
-"""Registered queries over the driver's tables, and the same in SQL.
+"""Registered queries on boxes, re-identification vectors and track streams,
+and the same in SQL.
 
-``events`` gives the track observations, ``embeddings`` the re-identification
-vectors; boxes and frames are integer functions of ``events`` ids.
+``embeddings`` gives the re-identification vectors; boxes and frames are integer
+functions of ``events`` ids.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import homography, inside, iou, line_distance, line_part, num, segment_distance2
-from ..operators import assignment, observations as obs, ranking, session, summary
-from ..operators.observations import route_segments
+from ..functions.geometry import iou, num
+from ..operators import assignment, ranking, summary
 from ..sources.tracks import TRACKS_SQL, from_events
-from .site import SITE
-
-S = SITE
 
 
 def _read(spark, d, name):
@@ -28,250 +23,9 @@ def _tracks(spark, d):
     return from_events(_read(spark, d, "events"))
 
 
-def _seen(spark, d):
-    return obs.observed(_tracks(spark, d), S)
-
-
-def _calls(spark, d):
-    return _tracks(spark, d).where(F.col("cam_id").isin([c.name for c in S.cameras]))
-
-
-def _clock(spark, d):
-    return _calls(spark, d).agg(F.max("ts_us").alias("now_us"))
-
-
-def _states(spark, d):
-    grid = session.ticks(_calls(spark, d))
-    moving = session.with_motion(_seen(spark, d), S).select("gid", "ts_us", "event_id", "x", "y", "speed", "align")
-    return grid, session.tick_states(moving, grid, S)
-
-
 # ---- queries -------------------------------------------------------------
 
 
-def zone_occupancy(spark, d):
-    n = obs.counted(obs.snapshot(_seen(spark, d), S, _clock(spark, d)), S, S.zones)
-    return n.withColumn("density", F.round(F.col("n") / obs.constant(S.zones, "zone", lambda z: num(S.area_m2(z))), 3))
-
-
-def bottleneck_state(spark, d):
-    z = S.bottlenecks
-    n = obs.counted(obs.snapshot(_seen(spark, d), S, _clock(spark, d)), S, z)
-    dense = n.withColumn("density", F.round(F.col("n") / obs.constant(z, "zone", lambda b: num(S.area_m2(b))), 3))
-    return dense.withColumn("over", F.col("density") > obs.constant(z, "zone", lambda b: num(b.rho_crit)))
-
-
-def min_conf_filter(spark, d):
-    return obs.confident(_tracks(spark, d), S).groupBy("cam_id").agg(F.count("*").alias("n"))
-
-
-def roi_filter(spark, d):
-    p = obs.project(_tracks(spark, d), S)
-    return p.groupBy("cam_id").agg(
-        F.sum(F.col("in_roi").cast("long")).alias("n_in"), F.sum((~F.col("in_roi")).cast("long")).alias("n_out")
-    )
-
-
-def homography_project(spark, d):
-    p = obs.project(_tracks(spark, d), S)
-    return p.select("event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "in_map")
-
-
-def window_speed(spark, d):
-    k = obs.kinematics(_seen(spark, d), S)
-    return k.select("event_id", "gid", "seg", *(F.round(c, 6).alias(c) for c in ("speed", "hx", "hy")))
-
-
-def route_alignment(spark, d):
-    a = session.with_motion(_seen(spark, d), S)
-    return a.select("event_id", F.col("near.r").alias("route"), F.col("near.k").alias("piece"), F.round("align", 6).alias("align"))
-
-
-def dwell_time(spark, d):
-    return obs.with_segments(_seen(spark, d), S).groupBy("gid", "seg").agg((F.max("ts_us") - F.min("ts_us")).alias("dwell_us"))
-
-
-def acceleration(spark, d):
-    k = obs.kinematics(_seen(spark, d), S)
-    w = Window.partitionBy("gid", "seg").orderBy("ts_us", "event_id")
-    dt = (F.col("ts_us") - F.lag("ts_us").over(w)) / F.lit(1e6)
-    return k.select(
-        "event_id", F.round(F.when(dt > 0, F.abs(F.col("speed") - F.lag("speed").over(w)) / dt), 6).alias("acceleration")
-    )
-
-
-def exit_crossings(spark, d):
-    return obs.all_crossings(_seen(spark, d), S).select("exit_id", "gid", "event_id", "direction")
-
-
-def exit_counts_debounced(spark, d):
-    return session.exit_counts(_seen(spark, d), S)
-
-
-def occupancy_counter(spark, d):
-    c = obs.all_crossings(_seen(spark, d), S).groupBy("exit_id").agg(
-        F.sum((F.col("direction") == "in").cast("long")).alias("n_in"), F.sum((F.col("direction") == "out").cast("long")).alias("n_out")
-    )
-    return c.withColumn("occupancy", F.lit(10) + F.col("n_in") - F.col("n_out")).withColumn("alert", F.col("occupancy") < 0)
-
-
-def exit_share(spark, d):
-    s = session.exit_shares(session.exit_counts(_seen(spark, d), S), S)
-    return s.select("exit_id", F.round("actual", 9).alias("actual"), F.round("design", 9).alias("design"))
-
-
-def sei_score(spark, d):
-    return session.exit_balance(session.exit_shares(session.exit_counts(_seen(spark, d), S), S))
-
-
-def route_deviation(spark, d):
-    return session.deviations(_seen(spark, d), S).select("event_id", "route", F.round("d", 6).alias("deviation"))
-
-
-def _epfi(spark, d, allow=None):
-    return session.fidelity(session.deviations(_seen(spark, d), S), S, allow)
-
-
-def epfi_person(spark, d):
-    return _epfi(spark, d)
-
-
-def epfi_avg(spark, d):
-    return _epfi(spark, d).agg(F.round(F.avg("epfi"), 6).alias("epfi_avg"), F.count("epfi").alias("n"))
-
-
-def tick_density(spark, d):
-    grid, states = _states(spark, d)
-    n = session.tick_counts(states, grid, S.bottlenecks)
-    return n.withColumn("rho", F.round(F.col("n") / obs.constant(S.bottlenecks, "zone", lambda b: num(S.area_m2(b))), 6))
-
-
-def cbs_bottleneck(spark, d):
-    grid, states = _states(spark, d)
-    return session.congestion(session.tick_counts(states, grid, S.bottlenecks), S)
-
-
-def zone_conditions(spark, d):
-    _, states = _states(spark, d)
-    c = session.zone_conditions(states, S)
-    return c.select("k", "zone", *(F.round(v, 6).alias(v) for v in ("v_e", "a_e", "r_e")), "n", "holds")
-
-
-#: Scattered positions hold no direction; these thresholds let runs occur.
-LOOSE = replace(S, v_th=0.5, a_th=-0.6, r_th=0.05, dt_hold=2.0)
-
-
-def _onset(spark, d):
-    _, states = _states(spark, d)
-    return session.onset(session.zone_conditions(states, LOOSE), LOOSE)
-
-
-def zone_onset_hold(spark, d):
-    return _onset(spark, d)
-
-
-def idr_zone(spark, d):
-    return session.response(_onset(spark, d), session.zone_distances(spark, S))
-
-
-def grid_zone_distance(spark, d):
-    return session.zone_distances(spark, S).select("zone", "origin", F.round("distance", 6).alias("distance"))
-
-
-def session_timeline(spark, d):
-    grid, states = _states(spark, d)
-    n = session.tick_counts(states, grid, S.bottlenecks)
-    return n.groupBy("k").agg(
-        *(F.max(F.expr(f"CASE WHEN zone = '{b.name}' THEN round(n / {num(S.area_m2(b))}, 4) END")).alias(b.name) for b in S.bottlenecks),
-        F.sum("n").alias("people"),
-    )
-
-
-def session_quality(spark, d):
-    mapped = [c.name for c in S.cameras]
-    t = _tracks(spark, d)
-    unmapped = t.where(~F.col("cam_id").isin(mapped)).agg(F.count("*").alias("unmapped"))
-    p = obs.project(obs.confident(t, S), S).agg(
-        F.sum((~F.col("in_roi")).cast("long")).alias("outside"), F.sum(F.col("in_roi").cast("long")).alias("points"),
-        F.countDistinct(F.expr("CASE WHEN in_roi THEN gid END")).alias("tracks"),
-        F.array_join(F.array_sort(F.collect_set(F.expr("CASE WHEN in_roi THEN cam_id END"))), ",").alias("cameras"),
-    )
-    ratio = (F.col("unmapped") + F.col("outside")) / (F.col("unmapped") + F.col("outside") + F.col("points"))
-    return unmapped.crossJoin(p).select("points", "tracks", "cameras", F.round(ratio, 6).alias("dropped_ratio"))
-
-
-def replay_sweep_dallow(spark, d):
-    """One pass over deviations; each variant only rescales what is allowed."""
-    dev = session.deviations(_seen(spark, d), S)
-    out = None
-    for allow in (0.5, 1.0, 2.0, 4.0):
-        one = session.fidelity(dev, S, allow).agg(F.lit(allow).alias("d_allow"), F.round(F.avg("epfi"), 6).alias("epfi_avg"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def replay_sweep_rhocrit(spark, d):
-    grid, states = _states(spark, d)
-    n = session.tick_counts(states, grid, S.bottlenecks)
-    out = None
-    for scale in (0.5, 1.0, 2.0):
-        one = session.congestion(n, S, scale).agg(F.lit(scale).alias("scale"), F.round(F.sum("cbs"), 6).alias("cbs_total"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def drill_rollup(spark, d):
-    dev = session.deviations(_seen(spark, d), S)
-    person = session.fidelity(dev, S)
-    floor = _seen(spark, d).groupBy("gid").agg(F.min("floor_id").alias("floor_id"))
-    return (
-        person.join(floor, "gid")
-        .rollup("floor_id")
-        .agg(F.round(F.avg("epfi"), 6).alias("epfi_avg"), F.count("*").alias("persons"))
-        .withColumn("floor_id", F.coalesce("floor_id", F.lit("building")))
-    )
-
-
-def drill_common_sessions(spark, d):
-    t = _tracks(spark, d).select("floor_id", F.expr("ts_us div 3000000").alias("session"))
-    floors = t.select("floor_id").distinct().agg(F.count("*").alias("floors"))
-    return (
-        t.groupBy("session").agg(F.countDistinct("floor_id").alias("f"), F.count("*").alias("n"))
-        .join(F.broadcast(floors), F.col("f") == F.col("floors")).select("session", "n")
-    )
-
-
-def metrics_eav_export(spark, d):
-    grid, states = _states(spark, d)
-    c = session.congestion(session.tick_counts(states, grid, S.bottlenecks), S)
-    p = _epfi(spark, d)
-    return summary.entity_values(c, "bottleneck", "zone", ["cbs", "over_sec", "peak"]).unionByName(
-        summary.entity_values(p, "person", "gid", ["duration", "max_deviation", "epfi"])
-    )
-
-
-def digest_quartiles(spark, d):
-    return summary.index_quartiles(_epfi(spark, d), ["route"], "epfi")
-
-
-def digest_surges(spark, d):
-    grid, states = _states(spark, d)
-    n = session.tick_counts(states, grid, S.bottlenecks)
-    return summary.surges(n.withColumn("rho", F.col("n") / obs.constant(S.bottlenecks, "zone", lambda b: num(S.area_m2(b)))))
-
-
-def worst_epfi_topk(spark, d):
-    return _epfi(spark, d).where("epfi IS NOT NULL").select("gid", "epfi").orderBy("epfi", "gid").limit(8)
-
-
-def timeline_thin(spark, d):
-    return summary.thin(session_timeline(spark, d), "k", 10)
-
-
-def epfi_histogram(spark, d):
-    return summary.histogram(_epfi(spark, d), "epfi")
-
-
 def _boxes(spark, d):
     e = _read(spark, d, "events")
     return e.selectExpr(
@@ -374,10 +128,6 @@ def dice_match_rate(spark, d):
     ).crossJoin(n).withColumn("dice", F.round(2 * F.col("matched") / F.col("n"), 6))
 
 
-def lost_timeout_sessions(spark, d):
-    return summary.visits(_seen(spark, d), "gid", S.lost_us)
-
-
 def rate_window_fps(spark, d):
     return summary.frame_rate(_tracks(spark, d), "cam_id").select("event_id", "fps")
 
@@ -406,135 +156,6 @@ def tracker_run(spark, d):
 
 # ---- the same in SQL -----------------------------------------------------
 
-_CAMS = [c.name for c in S.cameras]
-
-
-def _case(value):
-    return "CASE cam_id " + " ".join(f"WHEN '{c.name}' THEN {value(c)}" for c in S.cameras) + " END"
-
-
-def _in(x):
-    return ", ".join(f"'{v}'" for v in x)
-
-
-PROJ = f"""{TRACKS_SQL}, proj AS (
-  SELECT *, {_case(lambda c: homography('u', 'v', c.h)[0])} AS x, {_case(lambda c: homography('u', 'v', c.h)[1])} AS y,
-         {_case(lambda c: inside('u', 'v', c.roi))} AS in_roi,
-         coalesce({_case(lambda c: num(S.min_conf if c.min_conf is None else c.min_conf))}, {num(S.min_conf)}) AS least
-  FROM tracks WHERE cam_id IN ({_in(_CAMS)}))"""
-SEEN = PROJ + ", seen AS (SELECT * FROM proj WHERE conf >= least AND in_roi)"
-SEG = SEEN + f""", g AS (SELECT *, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY gid ORDER BY ts_us, event_id) > {S.lost_us} THEN 1 ELSE 0 END AS fresh FROM seen),
-seg AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY gid ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM g)"""
-_SIZE = "sqrt(dx * dx + dy * dy)"
-KIN = SEG + f""", k0 AS (SELECT *, min({{'t': ts_us, 'e': event_id, 'x': x, 'y': y}}) OVER (PARTITION BY gid, seg ORDER BY ts_us RANGE BETWEEN {S.window_us} PRECEDING AND CURRENT ROW) AS f FROM seg),
-k1 AS (SELECT *, x - f.x AS dx, y - f.y AS dy, (ts_us - f.t) / 1e6 AS dt FROM k0),
-kin AS (SELECT *, CASE WHEN dt <= 0 OR {_SIZE} * {num(S.m_per_px)} < {num(S.min_move_m)} THEN 0e0 ELSE {_SIZE} * {num(S.m_per_px)} / dt END AS speed,
-  CASE WHEN {_SIZE} > 1e-9 THEN dx / {_SIZE} ELSE 0e0 END AS hx, CASE WHEN {_SIZE} > 1e-9 THEN dy / {_SIZE} ELSE 0e0 END AS hy FROM k1)"""
-
-
-def _near_sql():
-    parts = []
-    for _, r, k, a, b in route_segments(S):
-        dx, dy = b[0] - a[0], b[1] - a[1]
-        n = (dx * dx + dy * dy) ** 0.5
-        parts.append(f"{{'d2': {segment_distance2('x', 'y', a, b)}, 'r': {r}, 'k': {k}, 'tx': {num(dx / n)}, 'ty': {num(dy / n)}}}")
-    return f"list_min([{', '.join(parts)}])"
-
-
-ALIGN = KIN + f""", al0 AS (SELECT *, {_near_sql()} AS near FROM kin),
-al AS (SELECT *, CASE WHEN hx = 0 AND hy = 0 THEN NULL ELSE hx * near.tx + hy * near.ty END AS align FROM al0)"""
-CALLS = f"calls AS (SELECT ts_us, event_id FROM tracks WHERE cam_id IN ({_in(_CAMS)}))"
-TICKS = f"""{CALLS}, sp AS (SELECT min(ts_us) AS t0, max(ts_us) AS t1 FROM calls),
-tk AS (SELECT CAST(unnest(range(1, (t1 - t0) // 1000000 + 1)) AS INTEGER) AS k, t0 FROM sp),
-tick AS (SELECT k, any_value(t0) AS t0, min({{'t': ts_us, 'e': event_id}}) AS c FROM tk JOIN calls ON calls.ts_us >= tk.t0 + CAST(tk.k AS BIGINT) * 1000000 GROUP BY k)"""
-STATES = ALIGN + f""", {TICKS}, st0 AS (SELECT k, gid, c, max({{'t': ts_us, 'e': event_id, 'x': x, 'y': y, 's': speed, 'a': align}}) AS m
-  FROM tick JOIN al ON ts_us < c.t OR (ts_us = c.t AND event_id <= c.e) GROUP BY k, gid, c),
-st AS (SELECT k, gid, m.x AS x, m.y AS y, m.s AS speed, m.a AS align FROM st0 WHERE c.t - m.t <= {S.lost_us})"""
-
-
-def _zones_sql(zones):
-    rows = ", ".join(f"('{z.name}', {num(S.area_m2(z))}, {num(z.rho_crit)}, {num(z.weight)})" for z in zones)
-    return f"(VALUES {rows}) AS zz(zone, area, crit, weight)"
-
-
-def _inside_sql(zones):
-    return "CASE zone " + " ".join(f"WHEN '{z.name}' THEN {inside('x', 'y', z.polygon)}" for z in zones) + " END"
-
-
-SNAP = SEEN + f""", {CALLS}, sn0 AS (SELECT gid, max({{'t': ts_us, 'e': event_id, 'x': x, 'y': y}}) AS m FROM seen GROUP BY gid),
-sn AS (SELECT gid, m.x AS x, m.y AS y FROM sn0 WHERE (SELECT max(ts_us) FROM calls) - m.t <= {S.lost_us})"""
-COUNTS = STATES + f""", cn AS (SELECT tick.k, zone, area, crit, weight, CAST(count(*) FILTER (WHERE {_inside_sql(S.bottlenecks)}) AS BIGINT) AS n
-  FROM tick CROSS JOIN {_zones_sql(S.bottlenecks)} LEFT JOIN st USING (k) GROUP BY ALL)"""
-
-
-def _cbs_sql(scale="1e0"):
-    return f"""held AS (SELECT *, n / area AS rho, lag(n / area) OVER (PARTITION BY zone ORDER BY k) AS held FROM cn),
-cbs0 AS (SELECT zone, round(sum(greatest(coalesce(held - crit * {scale}, 0e0), 0e0) * weight), 6) AS cbs,
-  CAST(sum(CASE WHEN held > crit * {scale} THEN 1 ELSE 0 END) AS BIGINT) AS over_sec, round(max(rho), 6) AS peak FROM held GROUP BY zone),
-cbs AS (SELECT *, CASE WHEN cbs <= 0 OR cbs * 3 <= max(cbs) OVER () THEN 'low' WHEN cbs * 3 <= max(cbs) OVER () * 2 THEN 'mid' ELSE 'high' END AS risk FROM cbs0)"""
-
-
-def _cross_sql():
-    parts = []
-    for e in S.exits:
-        parts.append(
-            f"""SELECT '{e.name}' AS exit_id, gid, event_id, ts_us, CASE WHEN side = 1 THEN 'in' ELSE 'out' END AS direction FROM (
-  SELECT *, lag(side) OVER (PARTITION BY gid, seg ORDER BY ts_us, event_id) AS before FROM (
-    SELECT *, CASE WHEN d > 0 THEN 1 ELSE -1 END AS side FROM (SELECT *, {line_distance('x', 'y', e.a, e.b, e.within)} AS d, {line_part('x', 'y', e.a, e.b)} AS t FROM seg) WHERE abs(d) >= {num(S.margin)}))
-WHERE before <> side AND t BETWEEN -6e-2 AND 1.06e0"""
-        )
-    return "cr AS (" + " UNION ALL ".join(parts) + ")"
-
-
-_EXITS = ", ".join(f"('{e.name}', {e.capacity if e.capacity is not None else 'NULL'})" for e in S.exits)
-EXITS = f"""{SEG}, {_cross_sql()}, ex AS (SELECT exit_id, CAST(count(DISTINCT CASE WHEN direction = 'in' THEN gid END) AS BIGINT) AS n_in,
-  CAST(count(DISTINCT CASE WHEN direction = 'out' THEN gid END) AS BIGINT) AS n_out, any_value(capacity) AS capacity
-  FROM (VALUES {_EXITS}) AS e(exit_id, capacity) LEFT JOIN cr USING (exit_id) GROUP BY exit_id),
-sh AS (SELECT exit_id, n_out / nullif(sum(n_out) OVER (), 0) AS actual, capacity / nullif(sum(capacity) OVER (), 0) AS design FROM ex WHERE capacity IS NOT NULL)"""
-
-
-def _dev_sql():
-    by = []
-    for r in range(len(S.routes)):
-        parts = [segment_distance2("x", "y", a, b) for _, n, _, a, b in route_segments(S) if n == r]
-        by.append(f"WHEN {r} THEN sqrt({parts[0] if len(parts) == 1 else 'least(' + ', '.join(parts) + ')'})")
-    return f"""dv0 AS (SELECT *, first_value({_near_sql()}.r) OVER (PARTITION BY gid ORDER BY ts_us, event_id) AS route FROM seen),
-dv AS (SELECT *, (CASE route {' '.join(by)} END) * {num(S.m_per_px)} AS d FROM dv0)"""
-
-
-def _epfi_sql(allow=S.d_allow):
-    return f"""ep0 AS (SELECT *, lag(d) OVER (PARTITION BY gid ORDER BY ts_us, event_id) AS d0, (ts_us - lag(ts_us) OVER (PARTITION BY gid ORDER BY ts_us, event_id)) / 1e6 AS dt FROM dv),
-ep1 AS (SELECT gid, route, sum(5e-1 * (d + d0) * dt) AS area, (max(ts_us) - min(ts_us)) / 1e6 AS duration, round(max(d), 6) AS max_deviation FROM ep0 GROUP BY gid, route),
-ep AS (SELECT gid, route, round(duration, 6) AS duration, max_deviation, CASE WHEN duration >= 2 THEN round(greatest(0e0, 1e0 - area / (duration * {num(allow)})) * 1e2, 6) END AS epfi FROM ep1)"""
-
-
-EPFI = f"{SEEN}, {_dev_sql()}, {_epfi_sql()}"
-COND = STATES + ", " + (
-    f"""zc0 AS (SELECT k, zone, avg(speed) AS v_e, avg(align) AS a_e, sum(CASE WHEN speed >= {{v}} AND align >= {{a}} THEN 1 ELSE 0 END) / count(*) AS r_e, count(*) AS n
-  FROM st CROSS JOIN {_zones_sql(S.zones)} WHERE {_inside_sql(S.zones)} GROUP BY k, zone),
-zc AS (SELECT *, coalesce(v_e >= {{v}} AND a_e >= {{a}} AND r_e >= {{r}}, false) AS holds FROM zc0)"""
-)
-
-
-def _cond(site):
-    return COND.replace("{v}", num(site.v_th)).replace("{a}", num(site.a_th)).replace("{r}", num(site.r_th))
-
-
-ONSET = _cond(LOOSE) + f""", ru AS (SELECT *, k - row_number() OVER (PARTITION BY zone ORDER BY k) AS run FROM zc WHERE holds),
-os AS (SELECT zone, min(s) AS start_k FROM (SELECT zone, run, min(k) AS s, max(k) AS l FROM ru GROUP BY zone, run) WHERE l - s >= {int(LOOSE.dt_hold)} GROUP BY zone)"""
-
-
-def _distance_sql():
-    rows, cols, size = session.grid_cells(S)
-    parts = [
-        f"SELECT '{z.name}' AS zone, {o} AS origin, {session.origin_distance(S, z, p)} AS distance FROM cells"
-        for z in S.zones
-        for o, p in enumerate(S.origins)
-    ]
-    return f"""cells AS (SELECT CAST(i // {cols} AS INTEGER) AS r, CAST(i % {cols} AS INTEGER) AS c, (i % {cols} + 5e-1) * {num(size)} AS cx, (i // {cols} + 5e-1) * {num(size)} AS cy FROM range({rows * cols}) AS t(i)),
-zd AS ({' UNION ALL '.join(parts)})"""
-
-
 BOXES = """boxes AS (SELECT event_id // 12 AS frame, event_id AS det_id, CAST((event_id * 7919) % 800 AS DOUBLE) AS x1, CAST((event_id * 104729) % 800 AS DOUBLE) AS y1,
   CAST((event_id * 7919) % 800 + 100 + (event_id * 31) % 150 AS DOUBLE) AS x2, CAST((event_id * 104729) % 800 + 150 + (event_id * 17) % 200 AS DOUBLE) AS y2, value / (value + 25e0) AS conf FROM events)"""
 _DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
@@ -547,61 +168,7 @@ rs AS (SELECT q, min(rank) AS first_rank, round(avg(nth / rank), 9) AS ap, round
 MOT = """mt0 AS (SELECT 's' || CAST(user_id % 2 AS VARCHAR) AS seq, user_id AS id, epoch_us(ts) // 21600000000 AS frame, min(event_id) AS e FROM events GROUP BY ALL),
 mt AS (SELECT seq, id, frame, CAST((e * 7919) % 1000 AS DOUBLE) AS x, CAST((e * 104729) % 1000 AS DOUBLE) AS y, CAST(50 + (e * 31) % 150 AS DOUBLE) AS w, CAST(80 + (e * 17) % 200 AS DOUBLE) AS h FROM mt0)"""
 _LINE = ", ".join(f"round(p.{c} + (f - p.frame) * ({c} - p.{c}) / (frame - p.frame), 6) AS {c}" for c in "xywh")
-_TL = ", ".join(f"max(CASE WHEN zone = '{b.name}' THEN round(n / area, 4) END) AS {b.name}" for b in S.bottlenecks)
-TIMELINE = COUNTS + f", tl AS (SELECT k, {_TL}, CAST(sum(n) AS BIGINT) AS people FROM cn GROUP BY k)"
-
-
-def _replays():
-    parts = []
-    for i, allow in enumerate((0.5, 1.0, 2.0, 4.0)):
-        e = f"CASE WHEN duration >= 2 THEN round(greatest(0e0, 1e0 - area / (duration * {num(allow)})) * 1e2, 6) END"
-        parts.append(f"SELECT {num(allow)} AS d_allow, round(avg({e}), 6) AS epfi_avg FROM ep1")
-    return " UNION ALL ".join(parts)
-
-
-def _rhos():
-    parts = []
-    for scale in ("5e-1", "1e0", "2e0"):
-        parts.append(f"SELECT {scale} AS scale, round(sum(cbs), 6) AS cbs_total FROM (SELECT zone, round(sum(greatest(coalesce(held - crit * {scale}, 0e0), 0e0) * weight), 6) AS cbs FROM held GROUP BY zone)")
-    return " UNION ALL ".join(parts)
-
-
 ORACLE = {
-    "zone_occupancy": f"WITH {SNAP} SELECT zone, n, round(n / area, 3) AS density FROM (SELECT zone, any_value(area) AS area, CAST(count(*) FILTER (WHERE {_inside_sql(S.zones)}) AS BIGINT) AS n FROM {_zones_sql(S.zones)} LEFT JOIN sn ON true GROUP BY zone)",
-    "bottleneck_state": f"WITH {SNAP} SELECT zone, n, round(n / area, 3) AS density, round(n / area, 3) > crit AS over FROM (SELECT zone, any_value(area) AS area, any_value(crit) AS crit, CAST(count(*) FILTER (WHERE {_inside_sql(S.bottlenecks)}) AS BIGINT) AS n FROM {_zones_sql(S.bottlenecks)} LEFT JOIN sn ON true GROUP BY zone)",
-    "min_conf_filter": f"WITH {TRACKS_SQL} SELECT cam_id, count(*) AS n FROM tracks WHERE conf >= coalesce({_case(lambda c: num(S.min_conf if c.min_conf is None else c.min_conf))}, {num(S.min_conf)}) GROUP BY cam_id",
-    "roi_filter": f"WITH {PROJ} SELECT cam_id, count(*) FILTER (WHERE in_roi) AS n_in, count(*) FILTER (WHERE NOT in_roi) AS n_out FROM proj GROUP BY cam_id",
-    "homography_project": f"WITH {PROJ} SELECT event_id, round(x, 6) AS x, round(y, 6) AS y, x BETWEEN 0 AND {num(S.width)} AND y BETWEEN 0 AND {num(S.height)} AS in_map FROM proj",
-    "window_speed": f"WITH {KIN} SELECT event_id, gid, seg, round(speed, 6) AS speed, round(hx, 6) AS hx, round(hy, 6) AS hy FROM kin",
-    "route_alignment": f"WITH {ALIGN} SELECT event_id, near.r AS route, near.k AS piece, round(align, 6) AS align FROM al",
-    "dwell_time": f"WITH {SEG} SELECT gid, seg, max(ts_us) - min(ts_us) AS dwell_us FROM seg GROUP BY gid, seg",
-    "acceleration": f"WITH {KIN}, ac AS (SELECT *, lag(speed) OVER w AS s0, (ts_us - lag(ts_us) OVER w) / 1e6 AS d0 FROM kin WINDOW w AS (PARTITION BY gid, seg ORDER BY ts_us, event_id)) SELECT event_id, round(CASE WHEN d0 > 0 THEN abs(speed - s0) / d0 END, 6) AS acceleration FROM ac",
-    "exit_crossings": f"WITH {SEG}, {_cross_sql()} SELECT exit_id, gid, event_id, direction FROM cr",
-    "exit_counts_debounced": f"WITH {EXITS} SELECT exit_id, n_in, n_out FROM ex",
-    "occupancy_counter": f"WITH {SEG}, {_cross_sql()}, oc AS (SELECT exit_id, count(*) FILTER (WHERE direction = 'in') AS n_in, count(*) FILTER (WHERE direction = 'out') AS n_out FROM cr GROUP BY exit_id) SELECT *, 10 + n_in - n_out AS occupancy, 10 + n_in - n_out < 0 AS alert FROM oc",
-    "exit_share": f"WITH {EXITS} SELECT exit_id, round(actual, 9) AS actual, round(design, 9) AS design FROM sh",
-    "sei_score": f"WITH {EXITS} SELECT round((1 - sum(abs(actual - design)) / 2) * 100, 6) AS sei FROM sh",
-    "route_deviation": f"WITH {SEEN}, {_dev_sql()} SELECT event_id, route, round(d, 6) AS deviation FROM dv",
-    "epfi_person": f"WITH {EPFI} SELECT * FROM ep",
-    "epfi_avg": f"WITH {EPFI} SELECT round(avg(epfi), 6) AS epfi_avg, count(epfi) AS n FROM ep",
-    "tick_density": f"WITH {COUNTS} SELECT k, zone, n, round(n / area, 6) AS rho FROM cn",
-    "cbs_bottleneck": f"WITH {COUNTS}, {_cbs_sql()} SELECT * FROM cbs",
-    "zone_conditions": f"WITH {_cond(S)} SELECT k, zone, round(v_e, 6) AS v_e, round(a_e, 6) AS a_e, round(r_e, 6) AS r_e, n, holds FROM zc",
-    "zone_onset_hold": f"WITH {ONSET} SELECT zone, start_k FROM os",
-    "idr_zone": f"WITH {ONSET}, {_distance_sql()} SELECT zone, round(avg(CASE WHEN start_k IS NOT NULL THEN distance / greatest(start_k, 1e-6) END), 6) AS idr, max(start_k) AS delay_sec, round(avg(distance), 6) AS mean_distance, CASE WHEN max(start_k) IS NULL THEN 'not_started' ELSE 'started' END AS status FROM zd LEFT JOIN os USING (zone) GROUP BY zone",
-    "grid_zone_distance": f"WITH {_distance_sql()} SELECT zone, origin, round(distance, 6) AS distance FROM zd",
-    "session_timeline": f"WITH {TIMELINE} SELECT * FROM tl",
-    "session_quality": f"WITH {PROJ}, pq AS (SELECT count(*) FILTER (WHERE NOT in_roi) AS outside, count(*) FILTER (WHERE in_roi) AS points, count(DISTINCT CASE WHEN in_roi THEN gid END) AS tracks, string_agg(DISTINCT CASE WHEN in_roi THEN cam_id END, ',' ORDER BY CASE WHEN in_roi THEN cam_id END) AS cameras FROM proj WHERE conf >= least), un AS (SELECT count(*) AS unmapped FROM tracks WHERE cam_id NOT IN ({_in(_CAMS)})) SELECT points, tracks, cameras, round((unmapped + outside) / (unmapped + outside + points), 6) AS dropped_ratio FROM pq, un",
-    "replay_sweep_dallow": f"WITH {EPFI} {_replays()}",
-    "replay_sweep_rhocrit": f"WITH {COUNTS}, {_cbs_sql()} {_rhos()}",
-    "drill_rollup": f"WITH {EPFI}, fl AS (SELECT gid, min(floor_id) AS floor_id FROM seen GROUP BY gid) SELECT coalesce(floor_id, 'building') AS floor_id, round(avg(epfi), 6) AS epfi_avg, count(*) AS persons FROM ep JOIN fl USING (gid) GROUP BY ROLLUP (floor_id)",
-    "drill_common_sessions": f"WITH {TRACKS_SQL} SELECT ts_us // 3000000 AS session, count(*) AS n FROM tracks GROUP BY 1 HAVING count(DISTINCT floor_id) = (SELECT count(DISTINCT floor_id) FROM tracks)",
-    "metrics_eav_export": f"WITH {COUNTS}, {_cbs_sql()}, {_dev_sql()}, {_epfi_sql()} " + " UNION ALL ".join([f"SELECT 'bottleneck' AS kind, zone AS id, '{c}' AS k, CAST({c} AS DOUBLE) AS v FROM cbs" for c in ("cbs", "over_sec", "peak")] + [f"SELECT 'person', gid, '{c}', CAST({c} AS DOUBLE) FROM ep" for c in ("duration", "max_deviation", "epfi")]),
-    "digest_quartiles": f"WITH {EPFI}, qs AS (SELECT route, list(epfi ORDER BY epfi) AS s FROM ep WHERE epfi IS NOT NULL GROUP BY route) SELECT route, CAST(len(s) AS BIGINT) AS n, round(s[1], 2) AS least, round(s[len(s) // 4 + 1], 2) AS p25, round((s[(len(s) - 1) // 2 + 1] + s[len(s) // 2 + 1]) / 2, 2) AS median, round(s[(3 * len(s)) // 4 + 1], 2) AS p75, round(s[len(s)], 2) AS largest, round(list_avg(s), 2) AS mean FROM qs",
-    "digest_surges": f"WITH {COUNTS}, {_cbs_sql()}, su AS (SELECT zone, round(max(rho), 3) AS peak, arg_min(k, {{'a': -rho, 'k': k}}) AS pk, min(CASE WHEN rho > 0 THEN k END) AS first_on, max(CASE WHEN rho > 0 THEN k END) AS last_on, count(CASE WHEN rho > 0 THEN k END) AS on_sec FROM held GROUP BY zone) SELECT zone, peak, CASE WHEN peak > 0 THEN pk END AS peak_at, first_on, last_on, on_sec FROM su",
-    "worst_epfi_topk": f"WITH {EPFI} SELECT gid, epfi FROM ep WHERE epfi IS NOT NULL ORDER BY epfi, gid LIMIT 8",
-    "timeline_thin": f"WITH {TIMELINE}, th AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS p, count(*) OVER () AS total FROM tl) SELECT * EXCLUDE (p, total) FROM th WHERE total <= 10 OR p IN (SELECT floor(i * (SELECT max(total) FROM th) / 10) FROM range(10) AS t(i))",
-    "epfi_histogram": f"WITH {EPFI}, hb AS (SELECT greatest(0, least(9, CAST(floor(epfi / 1e1) AS INTEGER))) AS bin, count(*) AS n FROM ep WHERE epfi IS NOT NULL GROUP BY 1) SELECT CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(10) AS t(i) LEFT JOIN hb ON hb.bin = i",
     "box_similarity": f"WITH {BOXES} SELECT a.frame AS frame, a.det_id AS a_id, b.det_id AS b_id, round({iou('a', 'b')}, 9) AS iou, round({ranking.soft_iou_sql()}, 9) AS soft, round({ranking.shape_sql('v1')}, 9) AS shape1, round({ranking.shape_sql('v2')}, 9) AS shape2 FROM boxes a JOIN boxes b ON a.frame = b.frame AND a.det_id < b.det_id",
     "mahalanobis_softmax": f"WITH {BOXES}, mp AS (SELECT frame, det_id % 3 AS trk_id, det_id, (x1 + y1) / 4e1 AS d2 FROM boxes) SELECT frame, trk_id, det_id, round(CASE WHEN d2 > {num(ranking.LIMIT)} THEN 0e0 ELSE exp({num(ranking.LIMIT)} - least(d2, {num(ranking.LIMIT)})) / sum(exp({num(ranking.LIMIT)} - least(d2, {num(ranking.LIMIT)}))) OVER (PARTITION BY frame, trk_id) END, 9) AS similarity FROM mp",
     "best_detection_match": f"WITH {BOXES}, bp AS (SELECT a.frame AS frame, a.det_id AS trk_id, b.det_id AS det_id, b.conf AS conf, {iou('a', 'b')} AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a LEFT JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.frame = b.frame) SELECT frame, trk_id, round(coalesce(max(CASE WHEN o >= 1e-1 THEN {{'o': o, 'k': -det_id, 'conf': conf}} END).conf, 0e0), 9) AS score FROM bp GROUP BY frame, trk_id",
@@ -613,7 +180,6 @@ ORACLE = {
     "coco_half_split": f"WITH {MOT}, hs AS (SELECT *, min(frame) OVER (PARTITION BY seq) AS f0, max(frame) OVER (PARTITION BY seq) AS f1 FROM mt), hm AS (SELECT *, f0 + (f1 - f0 + 1) // 2 AS mid FROM hs) SELECT seq, id, CASE WHEN frame < mid THEN 'train' ELSE 'val' END AS part, CASE WHEN frame < mid THEN frame - f0 ELSE frame - mid END AS frame FROM hm",
     "id_jaccard": f"WITH {BOXES} SELECT frame, CAST(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1) AS INTEGER) AS either, round(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) / nullif(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1), 0), 6) AS jaccard FROM boxes GROUP BY frame",
     "dice_match_rate": f"WITH {BOXES}, dm AS (SELECT a.det_id AS i, max({iou('a', 'b')}) AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.frame = b.frame GROUP BY 1) SELECT count(*) FILTER (WHERE o > 1e-1) AS matched, round(avg(o), 6) AS iou_mean, round(quantile_cont(o, 0.05), 6) AS iou_p5, (SELECT count(*) FROM boxes) AS n, round(2 * count(*) FILTER (WHERE o > 1e-1) / (SELECT count(*) FROM boxes), 6) AS dice FROM dm",
-    "lost_timeout_sessions": f"WITH {SEG} SELECT gid, seg AS visit, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS n FROM seg GROUP BY gid, seg",
     "rate_window_fps": f"WITH {TRACKS_SQL}, fp AS (SELECT event_id, count(*) OVER w AS n, (ts_us - min(ts_us) OVER w) / 1e6 AS span FROM tracks WINDOW w AS (PARTITION BY cam_id ORDER BY ts_us, event_id ROWS 24 PRECEDING)) SELECT event_id, round(CASE WHEN span > 0 THEN (n - 1) / span ELSE 0e0 END, 6) AS fps FROM fp",
     "drop_oldest_counts": f"WITH {TRACKS_SQL} SELECT cam_id, ts_us // 1000000 AS batch, count(*) AS n, greatest(count(*) - 64, 0) AS dropped FROM tracks GROUP BY 1, 2",
     "ingest_window_stats": f"WITH {TRACKS_SQL} SELECT cam_id, ts_us // 5000000 AS w, count(*) AS n, round(avg(conf), 6) AS conf FROM tracks GROUP BY 1, 2",
@@ -622,13 +188,8 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        zone_occupancy, bottleneck_state, min_conf_filter, roi_filter, homography_project, window_speed, route_alignment,
-        dwell_time, acceleration, exit_crossings, exit_counts_debounced, occupancy_counter, exit_share, sei_score,
-        route_deviation, epfi_person, epfi_avg, tick_density, cbs_bottleneck, zone_conditions, zone_onset_hold, idr_zone,
-        grid_zone_distance, session_timeline, session_quality, replay_sweep_dallow, replay_sweep_rhocrit, drill_rollup,
-        drill_common_sessions, metrics_eav_export, digest_quartiles, digest_surges, worst_epfi_topk, timeline_thin,
-        epfi_histogram, box_similarity, mahalanobis_softmax, best_detection_match, embedding_cosine_topk, reid_queries,
-        reid_map, reid_roc_pairs, track_gap_interp, coco_half_split, id_jaccard, dice_match_rate, lost_timeout_sessions,
-        rate_window_fps, drop_oldest_counts, ingest_window_stats, lap_assignment, nms, tracker_run,
+        box_similarity, mahalanobis_softmax, best_detection_match, embedding_cosine_topk, reid_queries, reid_map, reid_roc_pairs,
+        track_gap_interp, coco_half_split, id_jaccard, dice_match_rate, rate_window_fps, drop_oldest_counts, ingest_window_stats,
+        lap_assignment, nms, tracker_run,
     )
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import building, evaluation
+from .plans import building, crowd, evaluation
 
 
 def queries() -> dict:
-    return evaluation.QUERIES | building.QUERIES
+    return crowd.QUERIES | evaluation.QUERIES | building.QUERIES
 
 
 def oracle_sql() -> dict:
-    return evaluation.ORACLE | building.ORACLE
+    return crowd.ORACLE | evaluation.ORACLE | building.ORACLE

@@ -17,7 +17,7 @@ MOT = "frame int, id int, x double, y double, w double, h double, conf double, a
 
 #: The same adapter for a SQL engine over the ``events`` table.
 TRACKS_SQL = """tracks AS (
-  SELECT event_id, epoch_us(ts) // 86400 AS ts_us, 'cam' || CAST(user_id % 4 AS VARCHAR) AS cam_id,
+  SELECT event_id, epoch_us(ts) // 86400 AS ts_us, 's' || CAST(epoch_us(ts) // 864000000000 AS VARCHAR) AS session_id, 'cam' || CAST(user_id % 4 AS VARCHAR) AS cam_id,
          'f' || CAST(user_id % 2 AS VARCHAR) AS floor_id,
          'cam' || CAST(user_id % 4 AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS gid,
          CAST((event_id * 7919) % 1000 AS DOUBLE) AS u, CAST((event_id * 104729) % 1000 AS DOUBLE) AS v,
@@ -26,12 +26,15 @@ TRACKS_SQL = """tracks AS (
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """event_id, ts_us, cam_id, floor_id, gid, u, v and conf."""
+    """event_id, ts_us, session_id (ten days of events, ten seconds of tracks),
+    cam_id, floor_id, gid, u, v and conf."""
     user = F.col("user_id").cast("bigint")
     cam = F.concat(F.lit("cam"), (user % 4).cast("string"))
+    since = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
     return events.select(
         "event_id",
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 86400").alias("ts_us"),
+        F.expr(f"{since} div 86400").alias("ts_us"),
+        F.expr(f"concat('s', {since} div 864000000000)").alias("session_id"),
         cam.alias("cam_id"),
         F.concat(F.lit("f"), (user % 2).cast("string")).alias("floor_id"),
         F.concat_ws(":", cam, user.cast("string")).alias("gid"),
