@@ -63,7 +63,3 @@ def dropped_oldest(rows: DataFrame, key: str, size: int, batch: Column) -> DataF
     )
 
 
-def merge_routes(old: DataFrame, new: DataFrame, replace: bool = False, prefix: str = "auto-evac-") -> DataFrame:
-    """New routes in place of all old ones, or of those named by the prefix."""
-    kept = old.limit(0) if replace else old.where(~F.col("route_id").startswith(prefix))
-    return kept.unionByName(new)

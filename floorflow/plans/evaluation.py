@@ -29,7 +29,7 @@ def _tracks(spark, d):
 def _boxes(spark, d):
     e = _read(spark, d, "events")
     return e.selectExpr(
-        "event_id div 12 AS frame", "event_id AS det_id", "concat('cam', user_id % 4) AS cam_id",
+        "event_id div 48 AS frame", "event_id AS det_id", "concat('cam', event_id % 4) AS cam_id",
         "CAST((event_id * 7919) % 800 AS DOUBLE) AS x1", "CAST((event_id * 104729) % 800 AS DOUBLE) AS y1",
         "CAST((event_id * 7919) % 800 + 100 + (event_id * 31) % 150 AS DOUBLE) AS x2",
         "CAST((event_id * 104729) % 800 + 150 + (event_id * 17) % 200 AS DOUBLE) AS y2",
@@ -98,9 +98,9 @@ def track_gap_interp(spark, d):
 
 
 def coco_half_split(spark, d):
-    w = Window.partitionBy("seq")
-    m = _mot(spark, d).withColumns({"f0": F.min("frame").over(w), "f1": F.max("frame").over(w)})
-    half = m.withColumn("mid", F.expr("f0 + (f1 - f0 + 1) div 2"))
+    m = _mot(spark, d)
+    ends = m.groupBy("seq").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+    half = m.join(F.broadcast(ends), "seq").withColumn("mid", F.expr("f0 + (f1 - f0 + 1) div 2"))
     return half.selectExpr(
         "seq", "id", "CASE WHEN frame < mid THEN 'train' ELSE 'val' END AS part", "CASE WHEN frame < mid THEN frame - f0 ELSE frame - mid END AS frame"
     )
@@ -119,7 +119,7 @@ def id_jaccard(spark, d):
 
 def dice_match_rate(spark, d):
     b = _boxes(spark, d)
-    p = b.where("det_id % 3 = 0").alias("a").join(b.where("det_id % 3 <> 0").alias("b"), F.expr("a.frame = b.frame"))
+    p = b.where("det_id % 3 = 0").alias("a").join(b.where("det_id % 3 <> 0").alias("b"), F.expr("a.cam_id = b.cam_id AND a.frame = b.frame"))
     best = p.select(F.col("a.det_id").alias("i"), F.expr(iou("a", "b")).alias("o")).groupBy("i").agg(F.max("o").alias("o"))
     n = b.agg(F.count("*").alias("n"))
     return best.agg(
@@ -147,7 +147,15 @@ def lap_assignment(spark, d):
 
 
 def nms(spark, d):
-    return assignment.suppress(_boxes(spark, d), 0.2).select("frame", "det_id")
+    return assignment.suppress(_boxes(spark, d), 0.2, 0.1).select("cam_id", "frame", "det_id")
+
+
+def greedy_agreement(spark, d):
+    """How well two detectors agree: counts, matches and differences."""
+    b = _boxes(spark, d)
+    one, two = b.where("det_id % 3 = 0"), b.where("det_id % 3 <> 0")
+    pairs = assignment.greedy_matches(one, two, 0.1)
+    return pairs.groupBy("cam_id").agg(F.count("*").alias("matched"), F.round(F.avg("iou"), 6).alias("iou"))
 
 
 def tracker_run(spark, d):
@@ -156,7 +164,7 @@ def tracker_run(spark, d):
 
 # ---- the same in SQL -----------------------------------------------------
 
-BOXES = """boxes AS (SELECT event_id // 12 AS frame, event_id AS det_id, CAST((event_id * 7919) % 800 AS DOUBLE) AS x1, CAST((event_id * 104729) % 800 AS DOUBLE) AS y1,
+BOXES = """boxes AS (SELECT 'cam' || CAST(event_id % 4 AS VARCHAR) AS cam_id, event_id // 48 AS frame, event_id AS det_id, CAST((event_id * 7919) % 800 AS DOUBLE) AS x1, CAST((event_id * 104729) % 800 AS DOUBLE) AS y1,
   CAST((event_id * 7919) % 800 + 100 + (event_id * 31) % 150 AS DOUBLE) AS x2, CAST((event_id * 104729) % 800 + 150 + (event_id * 17) % 200 AS DOUBLE) AS y2, value / (value + 25e0) AS conf FROM events)"""
 _DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 _COS = f"{_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')}))"
@@ -169,9 +177,9 @@ MOT = """mt0 AS (SELECT 's' || CAST(user_id % 2 AS VARCHAR) AS seq, user_id AS i
 mt AS (SELECT seq, id, frame, CAST((e * 7919) % 1000 AS DOUBLE) AS x, CAST((e * 104729) % 1000 AS DOUBLE) AS y, CAST(50 + (e * 31) % 150 AS DOUBLE) AS w, CAST(80 + (e * 17) % 200 AS DOUBLE) AS h FROM mt0)"""
 _LINE = ", ".join(f"round(p.{c} + (f - p.frame) * ({c} - p.{c}) / (frame - p.frame), 6) AS {c}" for c in "xywh")
 ORACLE = {
-    "box_similarity": f"WITH {BOXES} SELECT a.frame AS frame, a.det_id AS a_id, b.det_id AS b_id, round({iou('a', 'b')}, 9) AS iou, round({ranking.soft_iou_sql()}, 9) AS soft, round({ranking.shape_sql('v1')}, 9) AS shape1, round({ranking.shape_sql('v2')}, 9) AS shape2 FROM boxes a JOIN boxes b ON a.frame = b.frame AND a.det_id < b.det_id",
+    "box_similarity": f"WITH {BOXES} SELECT a.frame AS frame, a.det_id AS a_id, b.det_id AS b_id, round({iou('a', 'b')}, 9) AS iou, round({ranking.soft_iou_sql()}, 9) AS soft, round({ranking.shape_sql('v1')}, 9) AS shape1, round({ranking.shape_sql('v2')}, 9) AS shape2 FROM boxes a JOIN boxes b ON a.cam_id = b.cam_id AND a.frame = b.frame AND a.det_id < b.det_id",
     "mahalanobis_softmax": f"WITH {BOXES}, mp AS (SELECT frame, det_id % 3 AS trk_id, det_id, (x1 + y1) / 4e1 AS d2 FROM boxes) SELECT frame, trk_id, det_id, round(CASE WHEN d2 > {num(ranking.LIMIT)} THEN 0e0 ELSE exp({num(ranking.LIMIT)} - least(d2, {num(ranking.LIMIT)})) / sum(exp({num(ranking.LIMIT)} - least(d2, {num(ranking.LIMIT)}))) OVER (PARTITION BY frame, trk_id) END, 9) AS similarity FROM mp",
-    "best_detection_match": f"WITH {BOXES}, bp AS (SELECT a.frame AS frame, a.det_id AS trk_id, b.det_id AS det_id, b.conf AS conf, {iou('a', 'b')} AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a LEFT JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.frame = b.frame) SELECT frame, trk_id, round(coalesce(max(CASE WHEN o >= 1e-1 THEN {{'o': o, 'k': -det_id, 'conf': conf}} END).conf, 0e0), 9) AS score FROM bp GROUP BY frame, trk_id",
+    "best_detection_match": f"WITH {BOXES}, bp AS (SELECT a.cam_id AS cam_id, a.frame AS frame, a.det_id AS trk_id, b.det_id AS det_id, b.conf AS conf, {iou('a', 'b')} AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a LEFT JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.cam_id = b.cam_id AND a.frame = b.frame) SELECT cam_id, frame, trk_id, round(coalesce(max(CASE WHEN o >= 1e-1 THEN {{'o': o, 'k': -det_id, 'conf': conf}} END).conf, 0e0), 9) AS score FROM bp GROUP BY cam_id, frame, trk_id",
     "embedding_cosine_topk": f"WITH {RANKED} SELECT q, vec_id, CAST(rank AS INTEGER) AS rank, round(cos, 6) AS cos FROM rk WHERE rank <= 5",
     "reid_queries": f"WITH {RANKED} SELECT q, CAST(first_rank AS INTEGER) AS first_rank, ap, inp FROM rs",
     "reid_map": f"WITH {RANKED} SELECT round(avg(ap), 6) AS map, round(avg(inp), 6) AS minp, " + ", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS cmc{k}" for k in (1, 5, 10)) + " FROM rs",
@@ -179,7 +187,7 @@ ORACLE = {
     "track_gap_interp": f"WITH {MOT}, mg AS (SELECT *, count(*) OVER (PARTITION BY seq, id) AS n, lag({{'frame': frame, 'x': x, 'y': y, 'w': w, 'h': h}}) OVER (PARTITION BY seq, id ORDER BY frame) AS p FROM mt), mf AS (SELECT *, unnest(range(p.frame + 1, frame)) AS f FROM mg WHERE n > 5 AND frame - p.frame > 1 AND frame - p.frame < 20) SELECT seq, frame, id, x, y, w, h, false AS made FROM mt UNION ALL SELECT seq, f, id, {_LINE}, true FROM mf",
     "coco_half_split": f"WITH {MOT}, hs AS (SELECT *, min(frame) OVER (PARTITION BY seq) AS f0, max(frame) OVER (PARTITION BY seq) AS f1 FROM mt), hm AS (SELECT *, f0 + (f1 - f0 + 1) // 2 AS mid FROM hs) SELECT seq, id, CASE WHEN frame < mid THEN 'train' ELSE 'val' END AS part, CASE WHEN frame < mid THEN frame - f0 ELSE frame - mid END AS frame FROM hm",
     "id_jaccard": f"WITH {BOXES} SELECT frame, CAST(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1) AS INTEGER) AS either, round(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) / nullif(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1), 0), 6) AS jaccard FROM boxes GROUP BY frame",
-    "dice_match_rate": f"WITH {BOXES}, dm AS (SELECT a.det_id AS i, max({iou('a', 'b')}) AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.frame = b.frame GROUP BY 1) SELECT count(*) FILTER (WHERE o > 1e-1) AS matched, round(avg(o), 6) AS iou_mean, round(quantile_cont(o, 0.05), 6) AS iou_p5, (SELECT count(*) FROM boxes) AS n, round(2 * count(*) FILTER (WHERE o > 1e-1) / (SELECT count(*) FROM boxes), 6) AS dice FROM dm",
+    "dice_match_rate": f"WITH {BOXES}, dm AS (SELECT a.det_id AS i, max({iou('a', 'b')}) AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.cam_id = b.cam_id AND a.frame = b.frame GROUP BY 1) SELECT count(*) FILTER (WHERE o > 1e-1) AS matched, round(avg(o), 6) AS iou_mean, round(quantile_cont(o, 0.05), 6) AS iou_p5, (SELECT count(*) FROM boxes) AS n, round(2 * count(*) FILTER (WHERE o > 1e-1) / (SELECT count(*) FROM boxes), 6) AS dice FROM dm",
     "rate_window_fps": f"WITH {TRACKS_SQL}, fp AS (SELECT event_id, count(*) OVER w AS n, (ts_us - min(ts_us) OVER w) / 1e6 AS span FROM tracks WINDOW w AS (PARTITION BY cam_id ORDER BY ts_us, event_id ROWS 24 PRECEDING)) SELECT event_id, round(CASE WHEN span > 0 THEN (n - 1) / span ELSE 0e0 END, 6) AS fps FROM fp",
     "drop_oldest_counts": f"WITH {TRACKS_SQL} SELECT cam_id, ts_us // 1000000 AS batch, count(*) AS n, greatest(count(*) - 64, 0) AS dropped FROM tracks GROUP BY 1, 2",
     "ingest_window_stats": f"WITH {TRACKS_SQL} SELECT cam_id, ts_us // 5000000 AS w, count(*) AS n, round(avg(conf), 6) AS conf FROM tracks GROUP BY 1, 2",
@@ -190,6 +198,6 @@ QUERIES = {
     for f in (
         box_similarity, mahalanobis_softmax, best_detection_match, embedding_cosine_topk, reid_queries, reid_map, reid_roc_pairs,
         track_gap_interp, coco_half_split, id_jaccard, dice_match_rate, rate_window_fps, drop_oldest_counts, ingest_window_stats,
-        lap_assignment, nms, tracker_run,
+        lap_assignment, nms, greedy_agreement, tracker_run,
     )
 }

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import building, crowd, evaluation
+from .plans import agreement, building, config, crowd, evaluation
 
 
 def queries() -> dict:
-    return crowd.QUERIES | evaluation.QUERIES | building.QUERIES
+    return agreement.QUERIES | config.QUERIES | crowd.QUERIES | evaluation.QUERIES | building.QUERIES
 
 
 def oracle_sql() -> dict:
-    return crowd.ORACLE | evaluation.ORACLE | building.ORACLE
+    return agreement.ORACLE | config.ORACLE | crowd.ORACLE | evaluation.ORACLE | building.ORACLE

@@ -40,14 +40,89 @@ def test_walls_block_and_exits_stay_free(spark):
     rows = routing.obstacle_grid(walls, exits, 5, 5, 10.0, 4.0).collect()
     assert len(rows) == 25 and {(r.r, r.c) for r in rows if r.blocked} == {(2, 0), (2, 1), (2, 3), (2, 4)}
     shapes = spark.createDataFrame(
-        [("open", 0.0, 0.0, 20.0, 50.0), ("block", 0.0, 40.0, 10.0, 50.0)], "kind string, x1 double, y1 double, x2 double, y2 double"
-    )
+        [("open", "rect", [0.0, 0.0, 15.0, 45.0], None), ("block", "rect", [0.0, 41.0, 5.0, 49.0], None), ("block", "line", [5.0, 5.0, 5.0, 5.0], 8.0),
+         ("block", "poly", [20.0, 0.0, 40.0, 0.0, 40.0, 20.0, 20.0, 20.0], None), ("block", "poly", [0.0, 0.0], None), ("block", "star", [1.0] * 9, None)],
+        "op string, kind string, pts array<double>, w double",
+    )
     cells = spark.createDataFrame(rows)
     edited = routing.apply_shapes(cells, shapes, 5, 5, 10.0).where("blocked").collect()
-    assert {(r.r, r.c) for r in edited} == {(2, 3), (2, 4), (4, 0)}
+    assert {(r.r, r.c) for r in edited} == {(2, 3), (2, 4), (4, 0), (0, 0), (0, 2), (0, 3), (1, 2), (1, 3)}
+    free = routing.apply_shapes(cells, shapes, 5, 5, 10.0, spark.createDataFrame([(5.0, 45.0)], "x double, y double"))
+    assert not free.where("r = 4 AND c = 0").first().blocked
     assert not routing.obstacle_grid(walls.limit(0), exits.limit(0), 5, 5, 10.0, 4.0).where("blocked").count()
 
 
+def _plan(rng, share=0.3):
+    blocked = rng.random((20, 20)) < share
+    start = np.zeros_like(blocked)
+    for p in ((0, 0), (13, 7)):
+        blocked[p], start[p] = False, True
+    return blocked, start, routing.walking_distance(blocked, start)
+
+
+def test_ways_out_are_as_long_as_the_distance():
+    blocked, start, dist = _plan(np.random.default_rng(5))
+    for p in map(tuple, np.argwhere(np.isfinite(dist))):
+        path = routing.way_out(dist, p)
+        assert path[0] == p and start[path[-1]] and not any(blocked[q] for q in path)
+        steps = [math.dist(a, b) for a, b in zip(path, path[1:])]
+        assert max(steps, default=0) < 1.5 and abs(sum(steps) - dist[p]) < 1e-6
+        corners = routing.pulled(blocked, path)
+        assert corners[0] == p and corners[-1] == path[-1] and all(routing.visible(blocked, a, b) for a, b in zip(corners, corners[1:]) if math.dist(a, b) > 1.5)
+        assert sum(math.dist(a, b) for a, b in zip(corners, corners[1:])) <= dist[p] + 1e-9
+
+
+def test_sight_stops_at_walls_and_closed_corners():
+    blocked = np.zeros((5, 5), bool)
+    assert routing.visible(blocked, (0, 0), (4, 3)) and routing.visible(blocked, (2, 2), (2, 2))
+    blocked[2, 2] = True
+    assert not routing.visible(blocked, (0, 0), (4, 4)) and routing.visible(blocked, (0, 4), (4, 4))
+    corner = np.zeros((2, 2), bool)
+    corner[0, 1] = True
+    assert routing.visible(corner, (0, 0), (1, 1))
+    corner[1, 0] = True
+    assert not routing.visible(corner, (0, 0), (1, 1))
+
+
+def test_starts_in_walls_move_to_the_nearest_open_cell():
+    blocked, _, dist = _plan(np.random.default_rng(6))
+    for p in map(tuple, np.argwhere(blocked)):
+        got = routing.nearest_open(blocked, dist, p, 3)
+        near = [q for q in map(tuple, np.argwhere(np.isfinite(dist))) if max(abs(q[0] - p[0]), abs(q[1] - p[1])) <= 3]
+        rings = [max(abs(q[0] - p[0]), abs(q[1] - p[1])) for q in near]
+        assert (got is None) == (not near) and (got is None or max(abs(got[0] - p[0]), abs(got[1] - p[1])) == min(rings))
+
+
+def test_worst_cells_are_far_and_apart():
+    blocked, _, dist = _plan(np.random.default_rng(7), 0.1)
+    got = routing.worst_cells(blocked, dist, 4, 6.0, 1.0)
+    assert len(got) == 4 and dist[got[0]] == dist[np.isfinite(dist)].max()
+    assert min(math.dist(a, b) for i, a in enumerate(got) for b in got[:i]) >= 6.0 * 0.7**4
+
+
+def test_regions_of_rooms():
+    rooms = np.zeros((6, 7), bool)
+    rooms[:, 3] = True
+    assert len(np.unique(routing.regions(rooms))) == 3
+    rooms[2, 3] = False
+    got = routing.regions(rooms)
+    assert set(np.unique(got)) == {0, 1} and (got > 0).sum() == 37
+    corner = np.array([[False, True], [True, False]])
+    assert routing.regions(corner).max() == 2
+
+
+def test_paths_by_floor(spark):
+    cells = [(f, r, c, (c == 3 and not (f == "b" and r == 0)), (r, c) == (5, 6)) for f in "ab" for r in range(6) for c in range(7)]
+    frame = spark.createDataFrame(cells, "floor_id string, r int, c int, blocked boolean, start boolean")
+    starts = spark.createDataFrame([("a", 1, 5.0, 5.0), ("b", 1, 5.0, 5.0), ("b", 2, 65.0, 55.0), ("b", 3, 55.0, 55.0)], "floor_id string, start_id long, x double, y double")
+    got = {(r.floor_id, r.start_id): r for r in routing.evacuation_paths(frame, starts, 10.0, 3.0, 50.0).collect()}
+    assert [got[k].status for k in (("a", 1), ("b", 1), ("b", 2), ("b", 3))] == ["unreachable", "fail", "at_exit", "pass"]
+    assert got[("b", 1)].points[0] == (5.0, 5.0) and got[("b", 1)].points[-1] == (65.0, 55.0)
+    assert {(r.floor_id, r.regions) for r in routing.connectivity(frame).collect()} == {("a", 2), ("b", 1)}
+    route = routing.map_routes(routing.evacuation_paths(frame, starts, 10.0, 3.0, 50.0), 70.0, 60.0, 700.0, 600.0).where("route_id = 'auto-evac-1'").first()
+    assert route.points[0] == (50.0, 550.0)
+
+
 def _tracks(spark, times):
     return spark.createDataFrame([(g, "cam0", t) for g, t in times], "gid string, cam_id string, ts_us long")
 
