@@ -157,10 +157,14 @@ class WordHash(dict):
 
 WORD_HASH = WordHash()
 
+#: Caches of Python workers, emptied when a task ends.
+CACHES: list[dict] = [WORD_HASH]
+
 
 def release() -> None:
     """Give memory that a Python task no longer uses back to the system."""
-    WORD_HASH.clear()
+    for cache in CACHES:
+        cache.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_list, binary_text, chunks, crc_mod, materialize, released
+from .common import CACHES, as_list, binary_text, chunks, crc_mod, materialize, released
 
 HEAD, TAILS = 320, 64
 CLASSES = HEAD + TAILS
@@ -33,6 +33,8 @@ DIMS, NOISE, BATCH, EPOCHS, RATE = 24, 128, 256, 6, 0.2
 #: Parts in which the counts of class triples come to the driver.
 PARTS = 16
 HELD_WORDS = 300_000
+#: Tokens whose vectors a scoring task holds at once, and bytes of texts.
+SPAN, SCORE_BYTES = 1 << 15, 1 << 20
 END_WORD = b""
 
 
@@ -55,6 +57,7 @@ class _Word(dict):
 
 
 _WORDS = _Word()
+CACHES.append(_WORDS)
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -110,8 +113,11 @@ class Model:
 
     def class_log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 P(target | last class, class before it)."""
-        h = self.context[0, one] + self.context[1, two]
-        s = np.einsum("ij,ij->i", h, self.target[target]) + self.bias[target]
+        s = np.empty(len(target))
+        for k in range(0, len(target), SPAN):
+            a, b, t = one[k : k + SPAN], two[k : k + SPAN], target[k : k + SPAN]
+            h = self.context[0, a] + self.context[1, b]
+            s[k : k + SPAN] = np.einsum("ij,ij->i", h, self.target[t]) + self.bias[t]
         return (s - self.log_z[one * (CLASSES + 1) + two]) / np.log(10)
 
 
@@ -270,7 +276,7 @@ def fit(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
 def _score(model: Model):
     def run(batches):
         log_count = np.log10(model.count + 1.0)
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=SCORE_BYTES):
             cols: list[list] = [[], [], [], [], [], []]
             texts = as_list(batch, "text")
             split = [_words(t) for t in texts]
