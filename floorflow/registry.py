@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import agreement, building, calibration, config, crowd, evaluation
+from .plans import agreement, building, calibration, config, crowd, evaluation, lifecycle
 
 
 def queries() -> dict:
-    return agreement.QUERIES | calibration.QUERIES | config.QUERIES | crowd.QUERIES | evaluation.QUERIES | building.QUERIES
+    return agreement.QUERIES | calibration.QUERIES | config.QUERIES | crowd.QUERIES | evaluation.QUERIES | building.QUERIES | lifecycle.QUERIES
 
 
 def oracle_sql() -> dict:
-    return agreement.ORACLE | calibration.ORACLE | config.ORACLE | crowd.ORACLE | evaluation.ORACLE | building.ORACLE
+    return agreement.ORACLE | calibration.ORACLE | config.ORACLE | crowd.ORACLE | evaluation.ORACLE | building.ORACLE | lifecycle.ORACLE

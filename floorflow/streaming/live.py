@@ -43,12 +43,24 @@ def rates(tracks: DataFrame, seconds: int = 5, late: str = "1 hour") -> DataFram
     return n.select("cam_id", (F.unix_seconds("window.start") / seconds).cast("bigint").alias("w"), "n")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``.  Where that is unset, a
+    local session gets a temporary one, and a cluster an error."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now; its result, read back from a
-    table in the folder that the cluster shares."""
+    table in the folder that the cluster shares.  Complete mode holds every
+    group until the stream ends; append mode emits a group when the watermark
+    has passed it and frees its state."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = fresh_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that is run again overwrites its own rows
