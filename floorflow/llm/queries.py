@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, chat, language, lm, mixing, packing, quality, search, substring_dedup
+from . import anomaly, chat, language, lm, mixing, packing, quality, search, substring_dedup, urls
 from .near_dedup import near_duplicates
 
 
@@ -74,6 +74,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,10 +89,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_substring_dedup, op2_near_duplicates, op3_quality_ranking, op4_nearest_neighbours, op5_mix_sources,
-            op6_quality_rules, op7_lm_scores, op8_language, op9_packing, op10_chat_format, pipeline,
+            op6_quality_rules, op7_lm_scores, op8_language, op9_packing, op10_chat_format,
+            op12_url_filters, pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.oracle_sql()}
+    return {"op5_mix_sources": mixing.oracle_sql(), "op12_url_filters": urls.oracle_sql()}
