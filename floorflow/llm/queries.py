@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, chat, language, lm, mixing, packing, quality, search, substring_dedup, urls
+from . import anomaly, chat, divergence, language, lm, mixing, packing, quality, search, substring_dedup, urls
+from .common import bound_batches
 from .near_dedup import near_duplicates
 
 
@@ -74,6 +75,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(planted)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -90,10 +96,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_substring_dedup, op2_near_duplicates, op3_quality_ranking, op4_nearest_neighbours, op5_mix_sources,
             op6_quality_rules, op7_lm_scores, op8_language, op9_packing, op10_chat_format,
-            op12_url_filters, pipeline,
+            op11_source_divergence, op12_url_filters, pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.oracle_sql(), "op12_url_filters": urls.oracle_sql()}
+    return {
+        "op5_mix_sources": mixing.oracle_sql(),
+        "op11_source_divergence": divergence.oracle_sql(),
+        "op12_url_filters": urls.oracle_sql(),
+    }
