@@ -47,16 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     sizes are known to the planner, and a lost executor loses nothing.  The
-    shuffle files of the write, which nothing reads again, go at its end."""
+    shuffle files of the write, which nothing reads again, go at its end.
+    Columns named as ``folders`` divide the table, so that reads for one of
+    their values leave the rest alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/floorflow/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*folders).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, chat, divergence, language, lm, mixing, packing, quality, search, substring_dedup, urls
+from . import anomaly, chat, divergence, language, lexical, lm, mixing, packing, quality, search, substring_dedup, urls
 from .common import bound_batches
 from .near_dedup import near_duplicates
 
@@ -84,6 +84,11 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return lexical.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_substring_dedup, op2_near_duplicates, op3_quality_ranking, op4_nearest_neighbours, op5_mix_sources,
             op6_quality_rules, op7_lm_scores, op8_language, op9_packing, op10_chat_format,
-            op11_source_divergence, op12_url_filters, pipeline,
+            op11_source_divergence, op12_url_filters, op13_lexical_search, pipeline,
         )
     }
 
@@ -106,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mix_sources": mixing.oracle_sql(),
         "op11_source_divergence": divergence.oracle_sql(),
         "op12_url_filters": urls.oracle_sql(),
+        "op13_lexical_search": lexical.oracle_sql(),
     }
