@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from .plans import agreement, building, calibration, config, crowd, evaluation, lifecycle
+from .plans import agreement, building, calibration, config, crowd, evaluation, lifecycle, spatial
+
+PLANS = (agreement, calibration, config, crowd, evaluation, building, lifecycle, spatial)
 
 
 def queries() -> dict:
-    return agreement.QUERIES | calibration.QUERIES | config.QUERIES | crowd.QUERIES | evaluation.QUERIES | building.QUERIES | lifecycle.QUERIES
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return agreement.ORACLE | calibration.ORACLE | config.ORACLE | crowd.ORACLE | evaluation.ORACLE | building.ORACLE | lifecycle.ORACLE
+    return {name: text for plan in PLANS for name, text in plan.ORACLE.items()}
