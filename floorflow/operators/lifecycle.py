@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spatial import sent
+
 
 def decided(commands: DataFrame) -> DataFrame:
     """Commands (floor_id, at_us, n, command: start, stop or reset) with
@@ -51,24 +53,29 @@ def line_versions(versions: DataFrame) -> DataFrame:
     })
 
 
-def reloaded_crossings(seen: DataFrame, versions: DataFrame, margin: float) -> DataFrame:
-    """Crossings of the line valid at each observation: floor_id, exit_id, era,
-    gid, ts_us, direction.  ``seen``: floor_id, gid, seg, ts_us, n (order of
-    equal times), x, y.  An object's side outlives a version of the same
-    geometry and is forgotten at one of another; rows nearer to the line than
-    the margin leave it as it was.  Lines of no length are never crossed."""
-    spans = line_versions(versions).where("ax IS NOT NULL AND (ax <> bx OR ay <> by)").withColumnRenamed("floor_id", "f")
+def clear_sides(seen: DataFrame, spans: DataFrame, margin: float) -> DataFrame:
+    """Observations with the side of each line valid at their time, but for
+    those nearer to it than the margin: floor_id, exit_id, era, run, gid, seg,
+    ts_us, n, t (part of the line), side.  Lines of no length have no sides.
+    ``spans``: versions with until_us, run and era; they go to the rows if
+    their measured size allows it, and are met by floor otherwise."""
+    lines = spans.where("ax IS NOT NULL AND (ax <> bx OR ay <> by)").withColumnRenamed("floor_id", "f")
     on = "floor_id = f AND ts_us >= from_us AND (until_us IS NULL OR ts_us < until_us)"
     cross = "((bx - ax) * ({y} - ay) - (by - ay) * ({x} - ax))"
     size2 = "((bx - ax) * (bx - ax) + (by - ay) * (by - ay))"
     toward = f"CASE WHEN {cross.format(x='ix', y='iy')} >= 0e0 THEN 1e0 ELSE -1e0 END"
-    clear = (
-        seen.join(spans, F.expr(on))
+    return (
+        seen.join(sent(lines, F.lit(150)), F.expr(on))
         .withColumn("d", F.expr(f"{toward} * {cross.format(x='x', y='y')} / sqrt({size2})"))
         .withColumn("t", F.expr(f"((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / {size2}"))
         .where(F.abs("d") >= margin)
         .withColumn("side", F.expr("CASE WHEN d > 0e0 THEN 1 ELSE -1 END"))
     )
+
+
+def flips(clear: DataFrame) -> DataFrame:
+    """Where an object is on another side of the same line than before, near
+    the line: floor_id, exit_id, era, gid, ts_us, direction."""
     by = Window.partitionBy("floor_id", "exit_id", "run", "gid", "seg").orderBy("ts_us", "n")
     return (
         clear.withColumn("before", F.lag("side").over(by))
@@ -77,9 +84,43 @@ def reloaded_crossings(seen: DataFrame, versions: DataFrame, margin: float) -> D
     )
 
 
+def reloaded_crossings(seen: DataFrame, versions: DataFrame, margin: float) -> DataFrame:
+    """Crossings of the line valid at each observation.  ``seen``: floor_id,
+    gid, seg, ts_us, n (order of equal times), x, y.  An object's side outlives
+    a version of the same geometry and is forgotten at one of another; rows
+    nearer to the line than the margin leave it as it was."""
+    return flips(clear_sides(seen, line_versions(versions), margin))
+
+
 def reloaded_counts(seen: DataFrame, versions: DataFrame, margin: float) -> DataFrame:
     """Objects that passed each exit, once a direction; counts go on over new
     versions and end at a removal."""
     n = lambda way: F.sum((F.col("direction") == way).cast("bigint")).alias(f"{way}_count")
     once = reloaded_crossings(seen, versions, margin).select("floor_id", "exit_id", "era", "gid", "direction").distinct()
     return once.groupBy("floor_id", "exit_id", "era").agg(n("in"), n("out"))
+
+
+def drill_starts(requests: DataFrame, floors: list[str], spans: DataFrame) -> DataFrame:
+    """Requests to start a drill on all floors that take part, and whether they
+    pass.  ``requests``: n, at_us, alarm_us (null: at once), origins (array of
+    floors with an origin of the alarm).  ``spans``: floor_id, start_us,
+    stop_us of sessions (null: still running).  Returns n, accepted, reason
+    (``no_floors``, ``no_origin`` or ``busy``), floors (those that stand in the
+    way, in the site's order) and the shared alarm_us of those accepted."""
+    every = F.array(*map(F.lit, floors)).cast("array<string>")
+    lacking = F.filter(every, lambda f: ~F.coalesce(F.array_contains(F.coalesce("origins", F.array().cast("array<string>")), f), F.lit(False)))
+    known = requests.select("n", "at_us", F.coalesce("alarm_us", "at_us").alias("alarm_us"), lacking.alias("lacking"))
+    lasting = spans.where(F.col("floor_id").isin(floors)).withColumn("ends", F.coalesce("stop_us", F.lit(2**62)))
+    # a span meets the requests of its own stretches of time
+    stretch = 60_000_000
+    edges = known.agg(F.max("at_us").alias("last")).first().last or 0
+    spread = lasting.where(F.col("start_us") <= edges).withColumn(
+        "m", F.explode(F.sequence(F.expr(f"start_us div {stretch}"), F.expr(f"least(ends, {edges}) div {stretch}")))
+    )
+    met = known.withColumn("m", F.expr(f"at_us div {stretch}")).join(spread, "m").where("at_us >= start_us AND at_us < ends")
+    busy = met.groupBy("n").agg(F.collect_set("floor_id").alias("held"))
+    both = known.join(busy, "n", "left").withColumn("held", F.filter(every, lambda f: F.coalesce(F.array_contains("held", f), F.lit(False))))
+    reason = F.when(F.size(every) == 0, "no_floors").when(F.size("lacking") > 0, "no_origin").when(F.size("held") > 0, "busy")
+    out = both.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    way = F.when(F.col("reason") == "no_origin", F.col("lacking")).when(F.col("reason") == "busy", F.col("held"))
+    return out.select("n", "accepted", "reason", F.array_join(F.coalesce(way, F.array().cast("array<string>")), ",").alias("floors"), F.when(F.col("accepted"), F.col("alarm_us")).alias("alarm_us"))

@@ -33,22 +33,30 @@ def mapped(tracks: DataFrame, site: Site) -> DataFrame:
     return tracks.where(F.col("cam_id").isin([c.name for c in site.cameras]))
 
 
-def project(tracks: DataFrame, site: Site) -> DataFrame:
-    """Rows of mapped cameras with x, y on the plan, in_roi and in_map."""
+def placed(tracks: DataFrame, site: Site) -> DataFrame:
+    """Rows with x, y on the plan, in_roi and in_map, null for cameras that are
+    not mapped."""
     x = _by_camera(site, lambda c: homography("u", "v", c.h)[0])
     y = _by_camera(site, lambda c: homography("u", "v", c.h)[1])
     roi = _by_camera(site, lambda c: inside("u", "v", c.roi))
-    return (
-        mapped(tracks, site)
-        .withColumns({"x": F.expr(x), "y": F.expr(y), "in_roi": F.expr(roi)})
-        .withColumn("in_map", F.expr(f"x BETWEEN 0e0 AND {num(site.width)} AND y BETWEEN 0e0 AND {num(site.height)}"))
+    return tracks.withColumns({"x": F.expr(x), "y": F.expr(y), "in_roi": F.expr(roi)}).withColumn(
+        "in_map", F.expr(f"x BETWEEN 0e0 AND {num(site.width)} AND y BETWEEN 0e0 AND {num(site.height)}")
     )
 
 
+def project(tracks: DataFrame, site: Site) -> DataFrame:
+    """Rows of mapped cameras with x, y on the plan, in_roi and in_map."""
+    return placed(mapped(tracks, site), site)
+
+
+def is_confident(site: Site) -> str:
+    least = _by_camera(site, lambda c: num(site.min_conf if c.min_conf is None else c.min_conf))
+    return f"conf >= coalesce({least}, {num(site.min_conf)})"
+
+
 def confident(tracks: DataFrame, site: Site) -> DataFrame:
     """Rows at or above their camera's threshold, else the site's."""
-    least = _by_camera(site, lambda c: num(site.min_conf if c.min_conf is None else c.min_conf))
-    return tracks.where(F.expr(f"conf >= coalesce({least}, {num(site.min_conf)})"))
+    return tracks.where(F.expr(is_confident(site)))
 
 
 def sessions(tracks: DataFrame, site: Site) -> DataFrame:
