@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import num
+from .assignment import FRAME, greedy_matches, match_frames
 from .observations import SECOND
 
 
@@ -29,20 +30,124 @@ def lifetimes(rows: DataFrame, key: list[str], frame: str) -> DataFrame:
     )
 
 
-def track_agreement(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-    """Two runs by frame: Jaccard of the ids and distance of those in both, and
-    a verdict over all frames.  ``a``, ``b``: key, id, x, y."""
-    pairs = a.alias("a").join(b.alias("b"), [*key, "id"], "full")
-    off = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)
-    frames = pairs.groupBy(*key).agg(F.count(off).alias("both"), F.count("*").alias("either"), F.sum(off).alias("off"), F.max(off).alias("most"))
-    out = frames.agg(
-        F.round(F.avg(F.col("both") / F.col("either")), 6).alias("jaccard"), F.round(F.sum("off") / F.nullif(F.sum("both"), F.lit(0)), 6).alias("mean_off"),
-        F.round(F.max("most"), 6).alias("most_off"),
+def track_agreement(a: DataFrame, b: DataFrame, key: list[str], frames: DataFrame | None = None) -> DataFrame:
+    """Two runs by frame, and a verdict.  ``a``, ``b``: key, id, x1, y1, x2, y2;
+    of an id that repeats in a frame the least box counts.  ``frames``: key of
+    all frames, else those that a run has rows of.
+
+    * id_rate: mean over frames of the Jaccard index of the ids.  A frame
+      without rows in both runs counts 1; one with rows in one run only does
+      not take part.  1 without frames.
+    * coord_max, coord_mean: of each frame's largest difference of a box side
+      among common ids; 0 without common ids.
+    * count_max, count_mean: of the difference of the rows' numbers.
+    * verdict: identical (rate from 0.99, difference under 2), negligible (0.95,
+      under 5), minor (0.90) or significant.
+    """
+    box = F.min(F.struct("x1", "y1", "x2", "y2"))
+    one, two = (x.groupBy(*key, "id").agg(box.alias(n)) for x, n in ((a, "a"), (b, "b")))
+    off = F.greatest(*[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in ("x1", "y1", "x2", "y2")])
+    ids = one.join(two, [*key, "id"], "full").groupBy(*key).agg(
+        F.count("a").alias("ids_a"), F.count("b").alias("ids_b"), F.count("*").alias("either"), F.count(off).alias("both"), F.max(off).alias("off")
+    )
+    rows = [x.groupBy(*key).agg(F.count("*").alias(n)) for x, n in ((a, "n_a"), (b, "n_b"))]
+    found = ids.join(rows[0], key, "left").join(rows[1], key, "left")
+    every = found if frames is None else frames.select(*key).distinct().join(found, key, "left")
+    rate = F.when((F.col("ids_a") > 0) & (F.col("ids_b") > 0), F.col("both") / F.col("either")).when(F.col("either").isNull(), 1.0)
+    more = F.abs(F.coalesce("n_a", F.lit(0)) - F.coalesce("n_b", F.lit(0)))
+    told = lambda c, none: F.round(F.coalesce(c, F.lit(none)), 6)
+    out = every.agg(
+        told(F.avg(rate), 1.0).alias("id_rate"), told(F.max("off"), 0.0).alias("coord_max"), told(F.avg("off"), 0.0).alias("coord_mean"),
+        F.coalesce(F.max(more), F.lit(0)).alias("count_max"), told(F.avg(more), 0.0).alias("count_mean"),
     )
-    verdict = F.when(F.col("jaccard") >= 0.95, "same").when(F.col("jaccard") >= 0.8, "close").otherwise("different")
+    verdict = (
+        F.when((F.col("id_rate") >= 0.99) & (F.col("coord_max") < 2), "identical")
+        .when((F.col("id_rate") >= 0.95) & (F.col("coord_max") < 5), "negligible")
+        .when(F.col("id_rate") >= 0.9, "minor")
+        .otherwise("significant")
+    )
     return out.withColumn("verdict", verdict)
 
 
+_SIDES = ("x1", "y1", "x2", "y2")
+
+
+def _told(value: Column, none: float | None = None) -> Column:
+    return F.round(value if none is None else F.coalesce(value, F.lit(none)), 6)
+
+
+def _met(pairs: DataFrame, a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+    """Pairs (cam_id, frame, i, j, iou) with the columns of both boxes as
+    structs a and b."""
+    fields = [*_SIDES, "conf", *more]
+    one = a.select(*FRAME, F.col("det_id").alias("i"), F.struct(*fields).alias("a"))
+    two = b.select(*FRAME, F.col("det_id").alias("j"), F.struct(*fields).alias("b"))
+    return pairs.join(one, [*FRAME, "i"]).join(two, [*FRAME, "j"])
+
+
+def _by_frame(a: DataFrame, b: DataFrame, pairs: DataFrame, frames: DataFrame | None) -> DataFrame:
+    """Of each camera frame: n_a, n_b, matched and rate (matched over the
+    larger number; 1 where both are empty, null where one is)."""
+    sides = [x.groupBy(*FRAME).agg(F.count("*").alias(n)) for x, n in ((a, "n_a"), (b, "n_b"))]
+    found = sides[0].join(sides[1], FRAME, "full")
+    every = found if frames is None else frames.select(*FRAME).distinct().join(found, FRAME, "left")
+    every = every.join(pairs.groupBy(*FRAME).agg(F.count("*").alias("matched")), FRAME, "left")
+    every = every.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_a", "n_b", "matched")})
+    rate = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("matched") / F.greatest("n_a", "n_b")).when(F.greatest("n_a", "n_b") == 0, 1.0)
+    return every.withColumn("rate", rate)
+
+
+def detector_agreement(a: DataFrame, b: DataFrame, frames: DataFrame | None = None, more_than: float = 0.5) -> DataFrame:
+    """Two detectors over camera frames (cam_id, frame, det_id, box, conf), one
+    row: mean and largest difference of counts, mean share of the larger
+    number that is matched greedily (in the order of a's confidence), largest
+    and mean of the pairs' largest side difference, and mean difference of
+    confidence.  Frames that one detector has nothing in count for the counts
+    only; without frames the share is 1 and the differences 0.  ``frames``: all
+    frames, else those that a box is in."""
+    pairs = greedy_matches(a, b, more_than).withColumnsRenamed({"a_id": "i", "b_id": "j"})
+    off = F.greatest(*[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in _SIDES])
+    diffs = _met(pairs, a, b).agg(
+        _told(F.max(off), 0.0).alias("coord_max"), _told(F.avg(off), 0.0).alias("coord_mean"),
+        _told(F.avg(F.abs(F.col("a.conf") - F.col("b.conf"))), 0.0).alias("conf_mean"),
+    )
+    more = F.abs(F.col("n_a") - F.col("n_b"))
+    rates = _by_frame(a, b, pairs, frames).agg(
+        _told(F.avg(more), 0.0).alias("count_mean"), F.coalesce(F.max(more), F.lit(0)).alias("count_max"), _told(F.avg("rate"), 1.0).alias("match_rate")
+    )
+    return rates.join(F.broadcast(diffs))  # one row each
+
+
+def run_similarity(a: DataFrame, b: DataFrame, more_than: float = 0.5) -> DataFrame:
+    """Two runs over the frames that both have (cam_id, frame, det_id, box,
+    conf, embedding: a unit vector or null), one row.  Boxes are matched one to
+    one by the largest total overlap; pairs of no more than ``more_than`` part
+    again.  Overlaps, differences of confidence and cosines are over the pairs
+    and null without any; percentiles lie between neighbours."""
+    shared = a.select(*FRAME).distinct().join(b.select(*FRAME).distinct(), FRAME)
+    a, b = a.join(shared, FRAME, "left_semi"), b.join(shared, FRAME, "left_semi")
+    pairs = match_frames(a, b, more_than).withColumnsRenamed({"trk_id": "i", "det_id": "j"}).where(F.col("iou") > more_than)
+    met = _met(pairs, a, b, "embedding")
+    dot = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    conf = F.abs(F.col("a.conf") - F.col("b.conf"))
+    part = lambda c, p: F.percentile(c, F.lit(p))
+    held = met.select("iou", conf.alias("conf"), dot.alias("cos")).agg(
+        F.count("*").alias("matched"), _told(F.avg("iou")).alias("iou_mean"), _told(part("iou", 0.05)).alias("iou_p5"), _told(F.min("iou")).alias("iou_min"),
+        _told(F.avg("conf")).alias("conf_mean"), _told(F.max("conf")).alias("conf_max"), F.count("cos").alias("embedded"),
+        _told(F.avg("cos")).alias("cos_mean"), _told(part("cos", 0.05)).alias("cos_p5"), _told(part("cos", 0.01)).alias("cos_p1"), _told(F.min("cos")).alias("cos_min"),
+    )
+    frames = _by_frame(a, b, pairs, None).agg(
+        F.count("*").alias("frames"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("n_b"), F.lit(0)).alias("n_b"),
+        _told(F.avg("rate")).alias("frame_rate"),
+    )
+    out = frames.join(F.broadcast(held))  # one row each
+    dice = 2 * F.col("matched") / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1))
+    return out.withColumn("dice", F.round(dice, 6)).withColumns({
+        "detections_pass": F.coalesce((F.col("dice") > 0.95) & (F.col("iou_mean") > 0.9), F.lit(False)),
+        "embeddings_pass": F.coalesce(F.col("cos_mean") > 0.98, F.lit(False)),
+    })
+
+
 def psnr(error: Column, top: float = 255.0) -> Column:
     """Peak signal to noise of a mean squared error, infinite without one."""
     return F.when(error == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(top * top) / error))

@@ -23,9 +23,36 @@ def track_lifetimes(spark, d):
 
 
 def track_run_agreement(spark, d):
-    m = _mot(spark, d)
-    other = m.where("(id + frame) % 7 > 0").selectExpr("seq", "frame", "id", "x + id % 3 AS x", "y")
-    return agr.track_agreement(m.where("(id + frame) % 11 > 0"), other, ["seq", "frame"])
+    """Two runs with ids and whole frames missing, one moved a little; some
+    frames are empty in both."""
+    m = _mot(spark, d).selectExpr("seq", "frame", "id", "x AS x1", "y AS y1", "x + w AS x2", "y + h AS y2")
+    other = m.where("(id + frame) % 7 > 0 AND frame % 9 > 0").selectExpr("seq", "frame", "id", "x1 + id % 3 AS x1", "y1", "x2", "y2 - frame % 2 AS y2")
+    frames = m.selectExpr("seq", "explode(array(frame, -frame)) AS frame")
+    return agr.track_agreement(m.where("(id + frame) % 11 > 0"), other, ["seq", "frame"], frames)
+
+
+def _moved(spark, d):
+    """A detector's boxes, and those of another that misses some and has the
+    others a little off, with unit vectors."""
+    vectors = _read(spark, d, "embeddings").selectExpr("vec_id AS v", "embedding AS e")
+    n = vectors.count()
+    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = vectors.select("v", F.transform("e", lambda x: x / size).alias("embedding"), F.transform("e", lambda x: -x / size).alias("back"))
+    boxes = _boxes(spark, d).withColumn("v", F.col("det_id") % n).join(unit, "v")
+    b = boxes.where("det_id % 7 > 0").selectExpr(
+        "cam_id", "frame", "det_id", "x1 + det_id % 3 AS x1", "y1 - det_id % 2 AS y1", "x2 + det_id % 3 AS x2", "y2", "conf * 0.96875D AS conf",
+        "CASE WHEN det_id % 50 = 1 THEN back ELSE embedding END AS embedding",
+    )
+    return boxes.where("det_id % 11 > 0"), b
+
+
+def detector_agreement(spark, d):
+    a, b = _moved(spark, d)
+    return agr.detector_agreement(a, b, _boxes(spark, d).selectExpr("cam_id", "explode(array(frame, frame + 1000000)) AS frame"), 0.7)
+
+
+def run_similarity(spark, d):
+    return agr.run_similarity(*_moved(spark, d), 0.7)
 
 
 def reid_cmc(spark, d):
@@ -195,10 +222,42 @@ db5 AS (SELECT *, CASE WHEN dt > 0 AND far >= 5 THEN far / dt ELSE 0 END AS spee
 db6 AS (SELECT *, coalesce(abs(speed - lag(speed) OVER w) / nullif((t - lag(t) OVER w) / 1e6, 0), 0) AS accel, CASE WHEN far > 0 THEN round((u - o.u) / far * 0.6::DOUBLE + (v - o.v) / far * 0.8::DOUBLE, 3) END AS align FROM db5 WINDOW w AS (PARTITION BY cam_id, gid, isle ORDER BY f))"""
 _P = "CASE WHEN s <= 300 THEN {0} WHEN s <= 700 THEN {1} WHEN s <= 1300 THEN {2} ELSE {3} END"
 
+#: Two detectors' boxes and the pairs of one id, which overlap most.
+_MOVED = """ra AS (SELECT * FROM boxes WHERE det_id % 11 <> 0),
+rb AS (SELECT cam_id, frame, det_id, x1 + det_id % 3 AS x1, y1 - det_id % 2 AS y1, x2 + det_id % 3 AS x2, y2, conf * 0.96875e0 AS conf FROM boxes WHERE det_id % 7 <> 0),
+pq AS (SELECT ra.cam_id, ra.frame, ra.det_id, greatest(0, least(ra.x2, rb.x2) - greatest(ra.x1, rb.x1)) * greatest(0, least(ra.y2, rb.y2) - greatest(ra.y1, rb.y1)) AS inter,
+  (ra.x2 - ra.x1) * (ra.y2 - ra.y1) AS one, (rb.x2 - rb.x1) * (rb.y2 - rb.y1) AS two, greatest(abs(ra.x1 - rb.x1), abs(ra.y1 - rb.y1), abs(ra.x2 - rb.x2), abs(ra.y2 - rb.y2)) AS off,
+  abs(ra.conf - rb.conf) AS dc FROM ra JOIN rb USING (cam_id, frame, det_id)),
+pr AS (SELECT *, inter / (one + two - inter) AS o FROM pq WHERE inter / (one + two - inter) > 0.7e0)"""
+
 ORACLE = {
     "run_sequences": f"WITH {BOXES}, o AS (SELECT DISTINCT cam_id, frame FROM boxes WHERE det_id % 5 < 3 AND frame % 3 > 0), t AS (SELECT DISTINCT cam_id, frame FROM boxes WHERE det_id % 5 > 1 AND frame % 4 > 0) SELECT (SELECT count(*) FROM (FROM o INTERSECT FROM t)) AS shared, (SELECT count(*) FROM (FROM o EXCEPT FROM t)) AS first_only, (SELECT count(*) FROM (FROM t EXCEPT FROM o)) AS second_only",
     "track_lifetimes": f"WITH {MOT}, l AS (SELECT max(frame) - min(frame) + 1 AS n FROM mt GROUP BY seq, id) SELECT count(*) AS tracks, round(avg(n), 6) AS mean, round(median(n), 6) AS median, max(n) AS longest FROM l",
-    "track_run_agreement": f"WITH {MOT}, a AS (SELECT * FROM mt WHERE (id + frame) % 11 > 0), b AS (SELECT seq, frame, id, x + id % 3 AS x, y FROM mt WHERE (id + frame) % 7 > 0), p AS (SELECT seq, frame, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS o FROM a FULL JOIN b USING (seq, frame, id)), f AS (SELECT seq, frame, count(o) AS n, count(*) AS e, sum(o) AS s, max(o) AS m FROM p GROUP BY ALL), r AS (SELECT round(avg(n / e), 6) AS jaccard, round(sum(s) / nullif(sum(n), 0), 6) AS mean_off, round(max(m), 6) AS most_off FROM f) SELECT *, CASE WHEN jaccard >= 0.95 THEN 'same' WHEN jaccard >= 0.8 THEN 'close' ELSE 'different' END AS verdict FROM r",
+    "track_run_agreement": f"""WITH {MOT},
+a AS (SELECT seq, frame, id, x, y, x + w AS p, y + h AS q FROM mt WHERE (id + frame) % 11 <> 0),
+b AS (SELECT seq, frame, id, x + id % 3 AS x, y, x + w AS p, y + h - frame % 2 AS q FROM mt WHERE (id + frame) % 7 <> 0 AND frame % 9 <> 0),
+fr AS (SELECT DISTINCT seq, frame FROM mt UNION SELECT seq, -frame FROM mt),
+sz AS (SELECT seq, frame, (SELECT count(*) FROM a WHERE a.seq = fr.seq AND a.frame = fr.frame) AS n, (SELECT count(*) FROM b WHERE b.seq = fr.seq AND b.frame = fr.frame) AS m FROM fr),
+cm AS (SELECT a.seq, a.frame, count(*) AS c, max(greatest(abs(a.x - b.x), abs(a.y - b.y), abs(a.p - b.p), abs(a.q - b.q))) AS off FROM a JOIN b USING (seq, frame, id) GROUP BY a.seq, a.frame),
+al AS (SELECT *, abs(n - m) AS more, CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n > 0 AND m > 0 THEN coalesce(c, 0) / (n + m - coalesce(c, 0)) END AS rate FROM sz LEFT JOIN cm USING (seq, frame)),
+r AS (SELECT round(avg(rate), 6) AS id_rate, round(max(off), 6) AS coord_max, round(avg(off), 6) AS coord_mean, max(more) AS count_max, round(avg(more), 6) AS count_mean FROM al)
+SELECT *, CASE WHEN id_rate >= 0.99 AND coord_max < 2 THEN 'identical' WHEN id_rate >= 0.95 AND coord_max < 5 THEN 'negligible' WHEN id_rate >= 0.9 THEN 'minor' ELSE 'significant' END AS verdict FROM r""",
+    "detector_agreement": f"""WITH {BOXES}, {_MOVED},
+al AS (SELECT DISTINCT cam_id, frame FROM boxes UNION SELECT cam_id, frame + 1000000 FROM boxes),
+sz AS (SELECT *, (SELECT count(*) FROM ra WHERE ra.cam_id = al.cam_id AND ra.frame = al.frame) AS n, (SELECT count(*) FROM rb WHERE rb.cam_id = al.cam_id AND rb.frame = al.frame) AS m,
+  (SELECT count(*) FROM pr WHERE pr.cam_id = al.cam_id AND pr.frame = al.frame) AS c FROM al)
+SELECT (SELECT round(max(off), 6) FROM pr) AS coord_max, (SELECT round(avg(off), 6) FROM pr) AS coord_mean, (SELECT round(avg(dc), 6) FROM pr) AS conf_mean, round(avg(abs(n - m)), 6) AS count_mean,
+  max(abs(n - m)) AS count_max, round(avg(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n > 0 AND m > 0 THEN c / greatest(n, m) END), 6) AS match_rate FROM sz""",
+    "run_similarity": f"""WITH {BOXES}, {_MOVED},
+vn AS (SELECT vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS sq, (SELECT count(*) FROM embeddings) AS total FROM embeddings),
+sh AS (SELECT cam_id, frame FROM ra INTERSECT SELECT cam_id, frame FROM rb),
+sz AS (SELECT *, (SELECT count(*) FROM ra WHERE ra.cam_id = sh.cam_id AND ra.frame = sh.frame) AS n, (SELECT count(*) FROM rb WHERE rb.cam_id = sh.cam_id AND rb.frame = sh.frame) AS m,
+  (SELECT count(*) FROM pr WHERE pr.cam_id = sh.cam_id AND pr.frame = sh.frame) AS c FROM sh),
+pc AS (SELECT pr.*, CASE WHEN sq > 0 THEN CASE WHEN det_id % 50 = 1 THEN -1e0 ELSE 1e0 END END AS cos FROM pr JOIN vn ON vec_id = det_id % total),
+ps AS (SELECT count(*) AS matched, round(avg(o), 6) AS iou_mean, round(quantile_cont(o, 0.05), 6) AS iou_p5, round(min(o), 6) AS iou_min, round(avg(dc), 6) AS conf_mean, round(max(dc), 6) AS conf_max,
+  count(cos) AS embedded, round(avg(cos), 6) AS cos_mean, round(quantile_cont(cos, 0.05), 6) AS cos_p5, round(quantile_cont(cos, 0.01), 6) AS cos_p1, round(min(cos), 6) AS cos_min FROM pc),
+ss AS (SELECT count(*) AS frames, CAST(sum(n) AS BIGINT) AS n_a, CAST(sum(m) AS BIGINT) AS n_b, round(avg(c / greatest(n, m)), 6) AS frame_rate FROM sz)
+SELECT ss.*, ps.*, round(2 * matched / (n_a + n_b), 6) AS dice, 2 * matched / (n_a + n_b) > 0.95 AND iou_mean > 0.9 AS detections_pass, cos_mean > 0.98 AS embeddings_pass FROM ss, ps""",
     "reid_cmc": f"WITH {RANKED}, f AS (SELECT q, min(rank) AS first FROM rk WHERE hit GROUP BY q) SELECT CAST(r AS INTEGER) AS rank, round(avg(CASE WHEN first <= r THEN 1e0 ELSE 0e0 END), 6) AS cmc FROM f, range(1, 11) AS t(r) GROUP BY r",
     "reid_scores_labels": f"WITH {RANKED} SELECT q, vec_id, round(cos, 5) AS score, CAST(hit AS INTEGER) AS label FROM rk",
     "reid_random_gallery": f"WITH {RANKED}, tr AS (SELECT t, q, label AS pid, vec_id, hit, cos, row_number() OVER (PARTITION BY t, q, label ORDER BY md5('0:' || CAST(t AS VARCHAR) || ':' || CAST(vec_id AS VARCHAR)), vec_id) AS nth FROM rk JOIN embeddings USING (vec_id), range(10) AS z(t)), pk AS (SELECT * FROM tr WHERE nth = 1), tp AS (SELECT t, q, max(cos) AS top FROM pk WHERE hit GROUP BY ALL), rn AS (SELECT tp.t, tp.q, count(pk.cos) + 1 AS rank FROM tp LEFT JOIN pk ON pk.t = tp.t AND pk.q = tp.q AND NOT pk.hit AND pk.cos > top GROUP BY tp.t, tp.q) SELECT "
@@ -229,7 +288,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        run_sequences, track_lifetimes, track_run_agreement, reid_cmc, reid_scores_labels, reid_random_gallery, image_psnr, unit_vectors,
+        run_sequences, track_lifetimes, track_run_agreement, detector_agreement, run_similarity, reid_cmc, reid_scores_labels, reid_random_gallery, image_psnr, unit_vectors,
         track_confidence, diagonal_distance, annotation_classes, annotation_tracks, annotation_boxes, crowd_annotations, mot_file_lines,
         coco_document, foot_points, truth_onset, truth_crossings, truth_density, live_dashboard, density_units, objects_by_speed,
         route_positions, segment_crossings, positions_between, lite_frames,

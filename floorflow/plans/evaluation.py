@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.sql.window import Window
 
 from ..functions.geometry import iou, num
 from ..operators import assignment, ranking, summary
@@ -42,7 +43,7 @@ def box_similarity(spark, d):
 
 
 def mahalanobis_softmax(spark, d):
-    p = _boxes(spark, d).selectExpr("frame", "det_id % 3 AS trk_id", "det_id", "(x1 + y1) / 4e1 AS d2")
+    p = _boxes(spark, d).selectExpr("cam_id", "frame", "det_id % 3 AS trk_id", "det_id", "(x1 + y1) / 4e1 AS d2")
     return ranking.distance_softmax(p)
 
 
@@ -118,14 +119,16 @@ def id_jaccard(spark, d):
 
 
 def dice_match_rate(spark, d):
+    """Pairs of two detectors that are each other's best, as a Dice rate."""
     b = _boxes(spark, d)
     p = b.where("det_id % 3 = 0").alias("a").join(b.where("det_id % 3 <> 0").alias("b"), F.expr("a.cam_id = b.cam_id AND a.frame = b.frame"))
-    best = p.select(F.col("a.det_id").alias("i"), F.expr(iou("a", "b")).alias("o")).groupBy("i").agg(F.max("o").alias("o"))
-    n = b.agg(F.count("*").alias("n"))
-    return best.agg(
-        F.sum(F.expr("CASE WHEN o > 1e-1 THEN 1 ELSE 0 END")).alias("matched"), F.round(F.avg("o"), 6).alias("iou_mean"),
-        F.round(F.percentile("o", F.lit(0.05)), 6).alias("iou_p5"),
-    ).crossJoin(n).withColumn("dice", F.round(2 * F.col("matched") / F.col("n"), 6))
+    near = p.select(F.col("a.det_id").alias("i"), F.col("b.det_id").alias("j"), F.expr(iou("a", "b")).alias("o")).where("o > 1e-1")
+    first = lambda one, two: F.row_number().over(Window.partitionBy(one).orderBy(F.desc("o"), two))
+    mutual = near.withColumns({"p": first("i", "j"), "q": first("j", "i")}).where("p = 1 AND q = 1")
+    found = mutual.agg(
+        F.count("*").alias("matched"), F.round(F.avg("o"), 6).alias("iou_mean"), F.round(F.percentile("o", F.lit(0.05)), 6).alias("iou_p5")
+    )
+    return found.join(F.broadcast(b.agg(F.count("*").alias("n")))).withColumn("dice", F.round(2 * F.col("matched") / F.col("n"), 6))
 
 
 def rate_window_fps(spark, d):
@@ -176,10 +179,30 @@ rs AS (SELECT q, min(rank) AS first_rank, round(avg(nth / rank), 9) AS ap, round
 MOT = """mt0 AS (SELECT 's' || CAST(user_id % 2 AS VARCHAR) AS seq, user_id AS id, epoch_us(ts) // 21600000000 AS frame, min(event_id) AS e FROM events GROUP BY ALL),
 mt AS (SELECT seq, id, frame, CAST((e * 7919) % 1000 AS DOUBLE) AS x, CAST((e * 104729) % 1000 AS DOUBLE) AS y, CAST(50 + (e * 31) % 150 AS DOUBLE) AS w, CAST(80 + (e * 17) % 200 AS DOUBLE) AS h FROM mt0)"""
 _LINE = ", ".join(f"round(p.{c} + (f - p.frame) * ({c} - p.{c}) / (frame - p.frame), 6) AS {c}" for c in "xywh")
+
+
+def _span(a1, a2, b1, b2):
+    """What two intervals share: their lengths less the length of both together."""
+    return f"greatest(0, ({a2}) - ({a1}) + ({b2}) - ({b1}) - (greatest({a2}, {b2}) - least({a1}, {b1})))"
+
+
+_ONE_TWO = f"""ov0 AS (SELECT cam_id, frame, a.det_id AS i, b.det_id AS j, b.conf, {_span('a.x1', 'a.x2', 'b.x1', 'b.x2')} * {_span('a.y1', 'a.y2', 'b.y1', 'b.y2')} AS shared,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas FROM boxes a JOIN boxes b USING (cam_id, frame) WHERE a.det_id % 3 = 0 AND b.det_id % 3 > 0),
+ov AS (SELECT i, j, conf, shared / (areas - shared) AS o FROM ov0)"""
 ORACLE = {
-    "box_similarity": f"WITH {BOXES} SELECT a.frame AS frame, a.det_id AS a_id, b.det_id AS b_id, round({iou('a', 'b')}, 9) AS iou, round({ranking.soft_iou_sql()}, 9) AS soft, round({ranking.shape_sql('v1')}, 9) AS shape1, round({ranking.shape_sql('v2')}, 9) AS shape2 FROM boxes a JOIN boxes b ON a.cam_id = b.cam_id AND a.frame = b.frame AND a.det_id < b.det_id",
-    "mahalanobis_softmax": f"WITH {BOXES}, mp AS (SELECT frame, det_id % 3 AS trk_id, det_id, (x1 + y1) / 4e1 AS d2 FROM boxes) SELECT frame, trk_id, det_id, round(CASE WHEN d2 > {num(ranking.LIMIT)} THEN 0e0 ELSE exp({num(ranking.LIMIT)} - least(d2, {num(ranking.LIMIT)})) / sum(exp({num(ranking.LIMIT)} - least(d2, {num(ranking.LIMIT)}))) OVER (PARTITION BY frame, trk_id) END, 9) AS similarity FROM mp",
-    "best_detection_match": f"WITH {BOXES}, bp AS (SELECT a.cam_id AS cam_id, a.frame AS frame, a.det_id AS trk_id, b.det_id AS det_id, b.conf AS conf, {iou('a', 'b')} AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a LEFT JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.cam_id = b.cam_id AND a.frame = b.frame) SELECT cam_id, frame, trk_id, round(coalesce(max(CASE WHEN o >= 1e-1 THEN {{'o': o, 'k': -det_id, 'conf': conf}} END).conf, 0e0), 9) AS score FROM bp GROUP BY cam_id, frame, trk_id",
+    "box_similarity": f"""WITH {BOXES},
+g0 AS (SELECT a.frame AS frame, a.det_id AS a_id, b.det_id AS b_id, 1 - b.conf AS doubt, a.x2 - a.x1 AS wa, a.y2 - a.y1 AS ha, b.x2 - b.x1 AS wb, b.y2 - b.y1 AS hb,
+  a.x1 AS ax, a.x2 AS aw, a.y1 AS ay, a.y2 AS az, b.x1 AS bx, b.x2 AS bw, b.y1 AS bq, b.y2 AS bz FROM boxes a JOIN boxes b USING (cam_id, frame) WHERE a.det_id < b.det_id),
+g1 AS (SELECT *, wa * doubt / 4 AS sa, ha * doubt / 4 AS ta, wb * doubt / 2 AS sb, hb * doubt / 2 AS tb FROM g0),
+g2 AS (SELECT *, {_span('ax', 'aw', 'bx', 'bw')} * {_span('ay', 'az', 'bq', 'bz')} AS shared,
+  {_span('ax - sa', 'aw + sa', 'bx - sb', 'bw + sb')} * {_span('ay - ta', 'az + ta', 'bq - tb', 'bz + tb')} AS softly, (wa + 2 * sa) * (ha + 2 * ta) + (wb + 2 * sb) * (hb + 2 * tb) AS areas FROM g1)
+SELECT frame, a_id, b_id, round(shared / (wa * ha + wb * hb - shared), 9) AS iou, round(softly / (areas - softly), 9) AS soft,
+  round(exp(0 - (greatest(wa, wb) - least(wa, wb) + greatest(ha, hb) - least(ha, hb)) / greatest(wa, wb)), 9) AS shape1,
+  round(exp(least(wa, wb) / greatest(wa, wb) - 1 + least(ha, hb) / greatest(ha, hb) - 1), 9) AS shape2 FROM g2""",
+    "mahalanobis_softmax": f"WITH {BOXES}, mp AS (SELECT cam_id, frame, det_id % 3 AS trk_id, det_id, (x1 + y1) / 4e1 AS d2 FROM boxes) SELECT cam_id, frame, trk_id, det_id, round(CASE WHEN d2 > 13.2767e0 THEN 0e0 ELSE exp(13.2767e0 - least(d2, 13.2767e0)) / sum(exp(13.2767e0 - least(d2, 13.2767e0))) OVER (PARTITION BY cam_id, frame, trk_id) END, 9) AS similarity FROM mp",
+    "best_detection_match": f"""WITH {BOXES}, {_ONE_TWO}
+SELECT cam_id, frame, t.det_id AS trk_id, round(coalesce(p.conf, 0), 9) AS score
+FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) t LEFT JOIN (SELECT i, arg_max(conf, {{'o': o, 'k': 0 - j}}) AS conf FROM ov WHERE o >= 0.1e0 GROUP BY i) p ON p.i = t.det_id""",
     "embedding_cosine_topk": f"WITH {RANKED} SELECT q, vec_id, CAST(rank AS INTEGER) AS rank, round(cos, 6) AS cos FROM rk WHERE rank <= 5",
     "reid_queries": f"WITH {RANKED} SELECT q, CAST(first_rank AS INTEGER) AS first_rank, ap, inp FROM rs",
     "reid_map": f"WITH {RANKED} SELECT round(avg(ap), 6) AS map, round(avg(inp), 6) AS minp, " + ", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS cmc{k}" for k in (1, 5, 10)) + " FROM rs",
@@ -187,7 +210,9 @@ ORACLE = {
     "track_gap_interp": f"WITH {MOT}, mg AS (SELECT *, count(*) OVER (PARTITION BY seq, id) AS n, lag({{'frame': frame, 'x': x, 'y': y, 'w': w, 'h': h}}) OVER (PARTITION BY seq, id ORDER BY frame) AS p FROM mt), mf AS (SELECT *, unnest(range(p.frame + 1, frame)) AS f FROM mg WHERE n > 5 AND frame - p.frame > 1 AND frame - p.frame < 20) SELECT seq, frame, id, x, y, w, h, false AS made FROM mt UNION ALL SELECT seq, f, id, {_LINE}, true FROM mf",
     "coco_half_split": f"WITH {MOT}, hs AS (SELECT *, min(frame) OVER (PARTITION BY seq) AS f0, max(frame) OVER (PARTITION BY seq) AS f1 FROM mt), hm AS (SELECT *, f0 + (f1 - f0 + 1) // 2 AS mid FROM hs) SELECT seq, id, CASE WHEN frame < mid THEN 'train' ELSE 'val' END AS part, CASE WHEN frame < mid THEN frame - f0 ELSE frame - mid END AS frame FROM hm",
     "id_jaccard": f"WITH {BOXES} SELECT frame, CAST(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1) AS INTEGER) AS either, round(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) / nullif(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1), 0), 6) AS jaccard FROM boxes GROUP BY frame",
-    "dice_match_rate": f"WITH {BOXES}, dm AS (SELECT a.det_id AS i, max({iou('a', 'b')}) AS o FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) a JOIN (SELECT * FROM boxes WHERE det_id % 3 <> 0) b ON a.cam_id = b.cam_id AND a.frame = b.frame GROUP BY 1) SELECT count(*) FILTER (WHERE o > 1e-1) AS matched, round(avg(o), 6) AS iou_mean, round(quantile_cont(o, 0.05), 6) AS iou_p5, (SELECT count(*) FROM boxes) AS n, round(2 * count(*) FILTER (WHERE o > 1e-1) / (SELECT count(*) FROM boxes), 6) AS dice FROM dm",
+    "dice_match_rate": f"""WITH {BOXES}, {_ONE_TWO},
+rk AS (SELECT o, row_number() OVER (PARTITION BY i ORDER BY o DESC, j) AS p, row_number() OVER (PARTITION BY j ORDER BY o DESC, i) AS q FROM ov WHERE o > 0.1e0)
+SELECT count(*) AS matched, round(avg(o), 6) AS iou_mean, round(quantile_cont(o, 0.05), 6) AS iou_p5, (SELECT count(*) FROM boxes) AS n, round(2 * count(*) / (SELECT count(*) FROM boxes), 6) AS dice FROM rk WHERE p = 1 AND q = 1""",
     "rate_window_fps": f"WITH {TRACKS_SQL}, fp AS (SELECT event_id, count(*) OVER w AS n, (ts_us - min(ts_us) OVER w) / 1e6 AS span FROM tracks WINDOW w AS (PARTITION BY cam_id ORDER BY ts_us, event_id ROWS 24 PRECEDING)) SELECT event_id, round(CASE WHEN span > 0 THEN (n - 1) / span ELSE 0e0 END, 6) AS fps FROM fp",
     "drop_oldest_counts": f"WITH {TRACKS_SQL} SELECT cam_id, ts_us // 1000000 AS batch, count(*) AS n, greatest(count(*) - 64, 0) AS dropped FROM tracks GROUP BY 1, 2",
     "ingest_window_stats": f"WITH {TRACKS_SQL} SELECT cam_id, ts_us // 5000000 AS w, count(*) AS n, round(avg(conf), 6) AS conf FROM tracks GROUP BY 1, 2",
