@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spatial import sent
+from .tables import sent
 
 
 def decided(commands: DataFrame) -> DataFrame:

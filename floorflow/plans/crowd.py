@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.geometry import area, num
 from ..operators import digest, observations as obs, session, summary
 from ..operators.observations import KEY
+from ..operators.tables import written_together
 from ..sources.tracks import TRACKS_SQL, from_events
 from .site import SITE
 
@@ -243,16 +244,24 @@ def replay_sweep_rhocrit(spark, d):
 
 
 def _facts(spark, d):
+    """What sessions are told by, each fact written once: positions and the
+    objects at each sample are drawn once and shared."""
     tracks = _tracks(spark, d)
-    exits = _exit_counts(spark, d)
-    return {
-        "base": obs.sessions(tracks, S),
-        "persons": _epfi(spark, d),
-        "bottlenecks": session.congestion(_counts(spark, d), S),
-        "exits": exits,
-        "zones": _idr(spark, d),
-        "quality": session.quality(tracks, S),
-    }
+    first = written_together(
+        base=obs.sessions(tracks, S), grid=session.ticks(tracks, S), seen=obs.observed(tracks, S), quality=session.quality(tracks, S)
+    )
+    base, grid, seen = first["base"], first["grid"], first["seen"]
+    moving = session.with_motion(seen, S).select(*KEY, "gid", "ts_us", "event_id", "until", "x", "y", "speed", "align")
+    second = written_together(
+        states=session.tick_states(moving, grid, S), persons=session.fidelity(session.deviations(seen, S), S), exits=session.exit_counts(seen, base, S)
+    )
+    states = second["states"]
+    starts = session.onset(session.zone_conditions(states, LOOSE), LOOSE)
+    third = written_together(
+        bottlenecks=session.congestion(session.tick_counts(states, grid, S, S.bottlenecks), S),
+        zones=session.response(starts, session.zone_distances(spark, S), base, S),
+    )
+    return first | second | third
 
 
 def session_list(spark, d):
