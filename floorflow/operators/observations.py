@@ -38,7 +38,7 @@ def placed(tracks: DataFrame, site: Site) -> DataFrame:
     not mapped."""
     x = _by_camera(site, lambda c: homography("u", "v", c.h)[0])
     y = _by_camera(site, lambda c: homography("u", "v", c.h)[1])
-    roi = _by_camera(site, lambda c: inside("u", "v", c.roi))
+    roi = _by_camera(site, lambda c: inside("u", "v", c.region))
     return tracks.withColumns({"x": F.expr(x), "y": F.expr(y), "in_roi": F.expr(roi)}).withColumn(
         "in_map", F.expr(f"x BETWEEN 0e0 AND {num(site.width)} AND y BETWEEN 0e0 AND {num(site.height)}")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from ..functions.geometry import Point, area
+from ..functions.geometry import Point, area, convex_hull
 
 
 @dataclass(frozen=True)
@@ -30,9 +30,15 @@ class Exit:
 class Camera:
     name: str
     h: tuple[float, ...]
+    #: Empty: the hull of the calibration points is the camera's region.
     roi: tuple[Point, ...]
     min_conf: float | None = None
     floor: str | None = "f0"
+    points: tuple[Point, ...] = ()
+
+    @property
+    def region(self) -> tuple[Point, ...]:
+        return self.roi or tuple(convex_hull(self.points))
 
 
 @dataclass(frozen=True)

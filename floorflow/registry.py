@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .plans import agreement, building, calibration, config, crowd, evaluation, lifecycle, spatial
 
-PLANS = (agreement, calibration, config, crowd, evaluation, building, lifecycle, spatial, streams)
+PLANS = (agreement, calibration, config, crowd, evaluation, building, ground, lifecycle, spatial, streams)
 
 
 def queries() -> dict:
