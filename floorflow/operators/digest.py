@@ -6,14 +6,16 @@ base (t0, t1), persons, bottlenecks, exits, zones and quality.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import line_distance, line_part, num
+from ..functions.geometry import inside, line_distance, line_part, num
 from ..plans.site import Site
-from .observations import KEY, SECOND, constant
-from .session import exit_balance, exit_shares, ranked_congestion, with_density
+from .observations import KEY, SECOND, constant, on_floor
+from .session import epfi, exit_balance, exit_shares, onset, ranked_congestion, with_density
 
 
 def _overridden(elements, variants: dict, kind: str, field: str, common: str | None = None) -> str:
@@ -61,6 +63,74 @@ def replays(counts: DataFrame, exits: DataFrame, site: Site, variants: dict) ->
     return total.join(sei, ["variant", *KEY], "left").select("variant", *KEY, "cbs_total", "sei")
 
 
+#: Thresholds that a replay may change without a new pass over the tracks.
+THRESHOLDS = ("v_th", "a_th", "r_th", "dt_hold", "d_allow")
+
+
+def _threshold(variants: dict, site: Site, field: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {num((change.get('thresholds') or {}).get(field, getattr(site, field)))}" for name, change in variants.items())
+    return f"CASE variant {cases} END"
+
+
+def condition_variants(states: DataFrame, site: Site, variants: dict) -> DataFrame:
+    """``zone_conditions`` under each variant's thresholds, in one pass over
+    the sampled objects: movers are counted once a variant in the same group."""
+    sites = [replace(site, **{k: v for k, v in (c.get("thresholds") or {}).items() if k in THRESHOLDS and v is not None}) for c in variants.values()]
+    names = on_floor(site.zones, [f"CASE WHEN {inside('x', 'y', z.polygon)} THEN '{z.name}' END" for z in site.zones])
+    moves = [F.sum(F.expr(f"CASE WHEN speed >= {num(v.v_th)} AND align >= {num(v.a_th)} THEN 1 ELSE 0 END")).alias(f"m{i}") for i, v in enumerate(sites)]
+    counted_ = (
+        states.withColumn("zone", F.explode(F.filter(F.expr(names), lambda v: v.isNotNull())))
+        .groupBy(*KEY, "k", "tick_us", "t0", "zone")
+        .agg(F.avg("speed").alias("v_e"), F.avg("align").alias("a_e"), F.count("*").alias("n"), *moves)
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), (F.col(f"m{i}") / F.col("n")).alias("r_e")) for i, name in enumerate(variants)])).alias("x")
+    rows = counted_.select(*KEY, "k", "tick_us", "t0", "zone", "v_e", "a_e", each).select("*", "x.*").drop("x")
+    holds = " AND ".join(f"{c} >= {_threshold(variants, site, t)}" for c, t in (("v_e", "v_th"), ("a_e", "a_th"), ("r_e", "r_th")))
+    return rows.withColumns({"holds": F.expr(f"coalesce({holds}, false)"), "dt_hold": F.expr(_threshold(variants, site, "dt_hold"))})
+
+
+def whole_replays(facts: dict[str, DataFrame], site: Site, variants: dict) -> DataFrame:
+    """Every total of each session and floor under each variant's thresholds,
+    critical densities, weights and capacities: variant, KEY, zones_started,
+    idr_avg, epfi_avg, cbs_total, sei, and for roll-ups e and m (sum and number
+    of EPFIs).  ``facts``: base, states, counts (of bottlenecks), exits, paths
+    and distances.  Tracks are not read again: thresholds only decide what the
+    same samples mean."""
+    starts = onset(condition_variants(facts["states"], site, variants), site, "variant")
+    floors = " ".join(f"WHEN '{z.name}' THEN '{z.floor}'" for z in site.zones)
+    every = _each(facts["base"].select(*KEY), variants, "floor_id").drop("element")
+    far = facts["distances"].withColumn("floor_id", F.expr(f"CASE zone {floors} END"))
+    zones = every.join(far, "floor_id").join(starts, ["variant", *KEY, "zone"], "left").groupBy("variant", *KEY, "zone").agg(
+        F.round(F.avg(F.expr("CASE WHEN delay_sec IS NOT NULL THEN distance / greatest(delay_sec, 1e-6) END")), 6).alias("idr")
+    )
+    idr = zones.groupBy("variant", *KEY).agg(F.count("idr").alias("zones_started"), F.round(F.avg("idr"), 6).alias("idr_avg"))
+    score = epfi(_threshold(variants, site, "d_allow"))
+    persons = _each(facts["paths"], variants, "gid").withColumn("epfi", F.expr(score)).groupBy("variant", *KEY).agg(
+        F.round(F.avg("epfi"), 6).alias("epfi_avg"), F.sum("epfi").alias("e"), F.count("epfi").alias("m")
+    )
+    rest = replays(facts["counts"], facts["exits"], site, variants)
+    key = ["variant", *KEY]
+    out = every.join(idr, key, "left").join(persons, key, "left").join(rest, key, "left")
+    return out.withColumn("zones_started", F.coalesce("zones_started", F.lit(0)))
+
+
+def drill_replays(facts: dict[str, DataFrame], site: Site, variants: dict) -> DataFrame:
+    """``whole_replays`` of the floors that take part, rolled up to one row for
+    each variant and session: EPFI over all persons, CBS summed, SEI over the
+    exits of all floors that have a capacity (0 counts as none), zones started."""
+    part = F.col("floor_id").isin(site.taking_part())
+    floors = whole_replays(facts, site, variants).where(part)
+    each = _each(facts["exits"].where(part), variants, "exit_id").withColumn("capacity", F.expr(_overridden(site.exits, variants, "exits", "capacity"))).where("capacity <> 0e0")
+    whole = Window.partitionBy("variant", "session_id")
+    meant = each.withColumns({"sn": F.sum("n_out").over(whole), "sc": F.sum("capacity").over(whole)})
+    off = F.abs(F.col("n_out") / F.nullif("sn", F.lit(0)) - F.col("capacity") / F.nullif("sc", F.lit(0.0)))
+    sei = meant.groupBy("variant", "session_id").agg(F.round((1 - F.sum(off) / 2) * 100, 6).alias("sei"))
+    return floors.groupBy("variant", "session_id").agg(
+        F.count("*").alias("floors"), F.sum("zones_started").alias("zones_started"), F.round(F.sum("e") / F.nullif(F.sum("m"), F.lit(0)), 6).alias("epfi_avg"),
+        F.round(F.sum("cbs_total"), 4).alias("cbs_total"),
+    ).join(sei, ["variant", "session_id"], "left")
+
+
 def exit_deviations(exits: DataFrame, site: Site) -> DataFrame:
     """Exits with actual less designed share, farthest first (without a share
     last), and those that nobody used though they were meant to be."""

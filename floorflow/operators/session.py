@@ -122,19 +122,21 @@ def zone_conditions(states: DataFrame, site: Site) -> DataFrame:
     )
 
 
-def onset(conditions: DataFrame, site: Site) -> DataFrame:
+def onset(conditions: DataFrame, site: Site, *more: str) -> DataFrame:
     """Start of each zone's first run of samples that holds for dt_hold, and
     the share of movers when that was reached: KEY, zone, start_us, delay_sec,
-    participants."""
-    by = Window.partitionBy(*KEY, "zone")
-    run = conditions.where("holds").withColumn("run", F.col("k") - F.row_number().over(by.orderBy("k")))
-    since = run.withColumn("start_us", F.min("tick_us").over(Window.partitionBy(*KEY, "zone", "run")))
+    participants.  With ``more`` columns (such as a variant's name) each of
+    their values has runs of its own, and a column dt_hold says how long."""
+    key = [*more, *KEY, "zone"]
+    run = conditions.where("holds").withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*key).orderBy("k")))
+    since = run.withColumn("start_us", F.min("tick_us").over(Window.partitionBy(*key, "run")))
+    least = F.col("dt_hold") if more else F.lit(float(site.dt_hold))
     return (
-        since.where((F.col("tick_us") - F.col("start_us")) / F.lit(1e6) >= float(site.dt_hold))
-        .groupBy(*KEY, "zone")
+        since.where((F.col("tick_us") - F.col("start_us")) / F.lit(1e6) >= least)
+        .groupBy(*key)
         .agg(F.min(F.struct("k", "start_us", "t0", "r_e")).alias("x"))
         .select(
-            *KEY, "zone", "x.start_us", ((F.col("x.start_us") - F.col("x.t0")) / F.lit(1e6)).alias("delay_sec"),
+            *key, "x.start_us", ((F.col("x.start_us") - F.col("x.t0")) / F.lit(1e6)).alias("delay_sec"),
             F.round("x.r_e", 6).alias("participants"),
         )
     )
@@ -228,8 +230,13 @@ def epfi(allow: str) -> str:
 def fidelity(dev: DataFrame, site: Site, d_allow: float | None = None) -> DataFrame:
     """EPFI of each object: deviation over time against what is allowed; null
     under two seconds, without a route or without a scale."""
+    return told(paths(dev), site, d_allow)
+
+
+def told(each: DataFrame, site: Site, d_allow: float | None = None) -> DataFrame:
+    """``fidelity`` of ``paths``."""
     allow = site.d_allow if d_allow is None else d_allow
-    return paths(dev).select(
+    return each.select(
         *KEY, "gid", "route", F.round("duration", 6).alias("duration"), "max_deviation", F.expr(epfi(num(allow))).alias("epfi")
     )
 

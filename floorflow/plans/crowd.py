@@ -237,31 +237,60 @@ def replay_overrides(spark, d):
     return digest.replays(_counts(spark, d), _exit_counts(spark, d), S, OVERRIDES)
 
 
+#: The same with thresholds, which the tracks are not read again for.
+REPLAYS = {
+    "as_is": {},
+    "slow": {"thresholds": {"v_th": 0.1, "dt_hold": 1.0, "d_allow": 4.0}},
+    "strict": {"thresholds": {"a_th": -0.5, "r_th": 0.3, "d_allow": 1.0}, "rho_crit": 0.25},
+    "mixed": {"thresholds": {"v_th": 0.15, "dt_hold": 0.5}, "bottlenecks": {"b1": {"rho_crit": 0.5, "weight": 4.0}}, "exits": {"e2": 80, "e3": 10}},
+}
+
+
+def _replayed(spark, d):
+    facts = _drawn(spark, d)
+    counts = session.tick_counts(facts["states"], facts["grid"], S, S.bottlenecks)
+    return facts | {"counts": counts, "distances": session.zone_distances(spark, S)}
+
+
+def replay_thresholds(spark, d):
+    return digest.whole_replays(_replayed(spark, d), LOOSE, REPLAYS).drop("e", "m")
+
+
+def drill_replay(spark, d):
+    return digest.drill_replays(_replayed(spark, d), LOOSE, REPLAYS)
+
+
 def replay_sweep_rhocrit(spark, d):
     sweep = {str(r): {"rho_crit": r} for r in (0.125, 0.25, 0.5, 1.0)}
     out = digest.congestion_variants(_counts(spark, d), S, sweep)
     return out.groupBy("variant", *KEY).agg(F.round(F.sum("cbs"), 6).alias("cbs_total"))
 
 
-def _facts(spark, d):
-    """What sessions are told by, each fact written once: positions and the
-    objects at each sample are drawn once and shared."""
+def _drawn(spark, d):
+    """What facts are drawn from: sessions, samples, positions, the objects at
+    each sample; each once."""
     tracks = _tracks(spark, d)
     first = written_together(
         base=obs.sessions(tracks, S), grid=session.ticks(tracks, S), seen=obs.observed(tracks, S), quality=session.quality(tracks, S)
     )
-    base, grid, seen = first["base"], first["grid"], first["seen"]
+    seen = first["seen"]
     moving = session.with_motion(seen, S).select(*KEY, "gid", "ts_us", "event_id", "until", "x", "y", "speed", "align")
     second = written_together(
-        states=session.tick_states(moving, grid, S), persons=session.fidelity(session.deviations(seen, S), S), exits=session.exit_counts(seen, base, S)
+        states=session.tick_states(moving, first["grid"], S), paths=session.paths(session.deviations(seen, S)),
+        exits=session.exit_counts(seen, first["base"], S),
     )
-    states = second["states"]
+    return first | second
+
+
+def _facts(spark, d):
+    """What sessions are told by, each fact written once."""
+    facts = _drawn(spark, d)
+    states = facts["states"]
     starts = session.onset(session.zone_conditions(states, LOOSE), LOOSE)
-    third = written_together(
-        bottlenecks=session.congestion(session.tick_counts(states, grid, S, S.bottlenecks), S),
-        zones=session.response(starts, session.zone_distances(spark, S), base, S),
+    return facts | {"persons": session.told(facts["paths"], S)} | written_together(
+        bottlenecks=session.congestion(session.tick_counts(states, facts["grid"], S, S.bottlenecks), S),
+        zones=session.response(starts, session.zone_distances(spark, S), facts["base"], S),
     )
-    return first | second | third
 
 
 def session_list(spark, d):
@@ -448,11 +477,15 @@ zc0 AS (SELECT session_id, floor_id, k, tick_us, t0, zone, avg(speed) AS v_e, av
 zc AS (SELECT *, coalesce(v_e >= {num(site.v_th)} AND a_e >= {num(site.a_th)} AND r_e >= {num(site.r_th)}, false) AS holds FROM zc0)"""
 
 
-ONSET = f"""{_cond(LOOSE)},
+def _onset_sql(site):
+    return f"""{_cond(site)},
 ru AS (SELECT *, k - row_number() OVER (PARTITION BY session_id, floor_id, zone ORDER BY k) AS run FROM zc WHERE holds),
 rv AS (SELECT *, min(tick_us) OVER (PARTITION BY session_id, floor_id, zone, run) AS start_us FROM ru),
 os AS (SELECT session_id, floor_id, zone, start_us, (start_us - t0) / 1e6 AS delay_sec, round(r_e, 6) AS participants
-  FROM (SELECT *, row_number() OVER (PARTITION BY session_id, floor_id, zone ORDER BY k) AS nth FROM rv WHERE (tick_us - start_us) / 1e6 >= {LOOSE.dt_hold}) WHERE nth = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY session_id, floor_id, zone ORDER BY k) AS nth FROM rv WHERE (tick_us - start_us) / 1e6 >= {site.dt_hold}) WHERE nth = 1)"""
+
+
+ONSET = _onset_sql(LOOSE)
 _N = int(-(-S.height // S.cell))
 _ORIGINS = _values([(i, *p) for i, p in enumerate(S.origins)], "origin, ox, oy")
 DIST = f"""ga AS (SELECT i // {_N} AS row, i % {_N} AS col, (i % {_N} + 0.5::DOUBLE) * {num(S.cell)} AS cx, (i // {_N} + 0.5::DOUBLE) * {num(S.cell)} AS cy FROM range({_N * _N}) AS t(i)),
@@ -520,6 +553,28 @@ LEFT JOIN (SELECT session_id, floor_id, round((1 - sum(abs(actual - design)) / 2
 
 
 _FRAME = "cf AS (SELECT cam_id, ts_us // 1000000 AS frame, gid, max({'t': ts_us, 'e': event_id, 'u': u, 'v': v}) AS m FROM tracks GROUP BY ALL), ci AS (SELECT cam_id, frame, row_number() OVER (PARTITION BY cam_id ORDER BY frame) AS f FROM (SELECT DISTINCT cam_id, frame FROM cf))"
+def _thresholds_sql(pooled):
+    """Each variant evaluated by itself; ``pooled``: rolled up by session."""
+    parts = []
+    for name, change in REPLAYS.items():
+        v = replace(LOOSE, **change.get("thresholds", {}))
+        crit = num(change["rho_crit"]) if "rho_crit" in change else "CASE zone WHEN 'b1' THEN 5e-1 ELSE crit END" if name == "mixed" else "crit"
+        weight = "CASE zone WHEN 'b1' THEN 4e0 ELSE weight END" if name == "mixed" else "weight"
+        cap = "CASE exit_id WHEN 'e2' THEN 80 WHEN 'e3' THEN 10 ELSE capacity END" if name == "mixed" else "capacity"
+        over, none = ("session_id", "nullif({cap}, 0)") if pooled else ("session_id, floor_id", "{cap}")
+        here = " AND ".join(f"q.{c.strip()} = s.{c.strip()}" for c in over.split(","))
+        parts.append(f"""SELECT * FROM (WITH {FACTS.replace(_COND_ONLY, _onset_sql(v)[len(MOVE) + 2 :])},
+vp AS (SELECT *, CASE WHEN duration >= 2 THEN round(greatest(0e0, 1e0 - area / (duration * {num(v.d_allow)})) * 100, 6) END AS score FROM ep1),
+vc AS (SELECT session_id, floor_id, zone, round(sum(greatest(coalesce(held - {crit}, 0e0), 0e0) * {weight} * dt), 6) AS cbs FROM held GROUP BY ALL),
+vx AS (SELECT *, {none.format(cap=cap)} AS cap FROM ex),
+vs AS (SELECT session_id, floor_id, n_out / nullif(sum(n_out) OVER w, 0) AS actual, cap / nullif(sum(cap) OVER w, 0) AS design FROM vx WHERE cap IS NOT NULL WINDOW w AS (PARTITION BY {over}))
+SELECT '{name}' AS variant, {over}, {'count(*) AS floors,' if pooled else ''} (SELECT count(*) FROM ir q WHERE status = 'started' AND {here}) AS zones_started,
+  {'' if pooled else f'(SELECT round(avg(idr), 6) FROM ir q WHERE {here}) AS idr_avg,'} (SELECT round(avg(score), 6) FROM vp q WHERE {here}) AS epfi_avg,
+  (SELECT round(sum(cbs), {4 if pooled else 6}) FROM vc q WHERE {here}) AS cbs_total, (SELECT round((1 - sum(abs(actual - design)) / 2) * 100, 6) FROM vs q WHERE {here}) AS sei
+FROM sess s GROUP BY ALL)""")
+    return " UNION ALL ".join(parts)
+
+
 COUNTER = f"""{TRACKS_SQL}, {_FRAME},
 cg AS (SELECT cam_id, gid, f, 500 - m.u AS d, m.v / 1000 AS t, f - lag(f) OVER (PARTITION BY cam_id, gid ORDER BY f) AS gap FROM cf JOIN ci USING (cam_id, frame)),
 ch AS (SELECT *, sum(CASE WHEN gap > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY cam_id, gid ORDER BY f ROWS UNBOUNDED PRECEDING) AS isle FROM cg),
@@ -562,6 +617,8 @@ ORACLE = {
     "replay_sweep_dallow": f"WITH {EPFI} SELECT session_id, floor_id, d_allow, round(avg(CASE WHEN duration >= 2 THEN round(greatest(0e0, 1e0 - area / (duration * d_allow)) * 100, 6) END), 6) AS epfi_avg FROM ep1, (SELECT unnest([0.5::DOUBLE, 1, 2, 4]) AS d_allow) GROUP BY ALL",
     "replay_sweep_rhocrit": f"WITH {COUNTS} SELECT variant, session_id, floor_id, round(sum(cbs), 6) AS cbs_total FROM (SELECT variant, session_id, floor_id, zone, round(sum(greatest(coalesce(held - CAST(variant AS DOUBLE), 0e0), 0e0) * weight * dt), 6) AS cbs FROM held, (SELECT unnest(['0.125', '0.25', '0.5', '1.0']) AS variant) GROUP BY ALL) GROUP BY ALL",
     "replay_overrides": f"WITH {COUNTS}, {_EXITS_ONLY} {_replay_sql()}",
+    "replay_thresholds": _thresholds_sql(False),
+    "drill_replay": _thresholds_sql(True),
     "session_list": f"WITH {FACTS} SELECT session_id, floor_id, t0 AS alarm_us, (t1 - t0) / 1e6 AS elapsed_sec, epfi_avg, cbs_total, sei, zones_started, zones_total, persons, CAST(passed AS BIGINT) AS passed, row_number() OVER (PARTITION BY floor_id ORDER BY t0 DESC) AS newest FROM fa",
     "session_digest": f"WITH {FACTS} SELECT session_id, floor_id, CASE WHEN dropped_ratio >= 0.30 OR tracks < 10 THEN 'insufficient' WHEN dropped_ratio >= 0.15 OR (t1 - t0) / 1e6 < 30 THEN 'caution' ELSE 'ok' END AS verdict, dropped_ratio, tracks, cameras, (t1 - t0) / 1e6 AS duration FROM fa JOIN qu USING (session_id, floor_id)",
     "drill_rollup": f"WITH {BUILDING} SELECT * FROM bu UNION ALL SELECT session_id, floor_id, epfi_avg, round(cbs_total, 4), sei, CAST(passed AS BIGINT), persons, NULL, first_start FROM fa",
@@ -590,7 +647,7 @@ QUERIES = {
         route_alignment, dwell_time, lost_timeout_sessions, acceleration, exit_crossings, exit_counts_debounced, occupancy_counter,
         exit_share, sei_score, exit_deviation, route_deviation, epfi_person, epfi_avg, tick_density, cbs_bottleneck, zone_conditions,
         zone_onset_hold, idr_zone, idr_average, grid_zone_distance, session_timeline, session_quality, replay_sweep_dallow,
-        replay_sweep_rhocrit, replay_overrides, session_list, session_digest, drill_rollup, drill_list, drill_common_sessions,
+        replay_sweep_rhocrit, replay_overrides, replay_thresholds, drill_replay, session_list, session_digest, drill_rollup, drill_list, drill_common_sessions,
         metrics_eav_export, digest_quartiles, digest_surges, bottleneck_ranks, worst_epfi_topk, timeline_thin, epfi_histogram,
         person_series,
     )
