@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import agreement, building, calibration, config, crowd, curves, evaluation, lifecycle, spatial
+from .plans import agreement, building, calibration, config, crowd, curves, evaluation, ground, lifecycle, messages, spatial, streams
 
-PLANS = (agreement, calibration, config, crowd, evaluation, building, curves, ground, lifecycle, spatial, streams)
+PLANS = (agreement, calibration, config, crowd, evaluation, building, curves, ground, lifecycle, messages, spatial, streams)
 
 
 def queries() -> dict:
