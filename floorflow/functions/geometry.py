@@ -35,6 +35,16 @@ def even_odd(x: str, y: str, polygon: Sequence[Point]) -> str:
     return f"((({' + '.join(hits) or '0'}) % 2) = 1)"
 
 
+def guarded(x: str, y: str, polygon: Sequence[Point]) -> str:
+    """Inside by crossing parity as the simulations' truth has it: half open,
+    edges lengthened by a hair upwards so that level ones divide by it."""
+    hits = [
+        f"CASE WHEN (({num(y1)} > {y}) <> ({num(y2)} > {y})) AND {x} < ({num(x2 - x1)} * ({y} - {num(y1)}) / {num(y2 - y1 + 1e-12)} + {num(x1)}) THEN 1 ELSE 0 END"
+        for (x2, y2), (x1, y1) in _edges(polygon)
+    ]
+    return f"((({' + '.join(hits)}) % 2) = 1)"
+
+
 def on_edge(x: str, y: str, polygon: Sequence[Point]) -> str:
     tests = []
     for (x1, y1), (x2, y2) in _edges(polygon):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import num
+from ..functions.geometry import guarded, num
 from .assignment import FRAME, greedy_matches, match_frames
 from .observations import SECOND
 
@@ -212,6 +212,27 @@ def first_crossing(rows: DataFrame, key: str, a, b) -> DataFrame:
     return sided.where((F.col("p") * F.col("s") < 0) & F.col("t").between(-0.1, 1.1)).groupBy(key).agg(F.min("frame").alias("frame"))
 
 
+def truth_counts(rows: DataFrame, polygon, area_m2: float) -> DataFrame:
+    """Of each frame of a simulation: agents in a zone, their density and mean
+    speed (null without any).  ``rows``: agent, frame, x, y, speed; an agent
+    without a place is not in the zone, but its frame counts."""
+    here = F.expr(guarded("x", "y", polygon))
+    return rows.groupBy("frame").agg(
+        F.count(F.when(here, 1)).alias("n"), (F.count(F.when(here, 1)) / F.lit(float(area_m2))).alias("density"), F.avg(F.when(here, F.col("speed"))).alias("speed")
+    )
+
+
+def truth_summary(rows: DataFrame, polygon, area_m2: float, line) -> DataFrame:
+    """One row: peak_speed (largest mean speed in the zone; null if it is never
+    entered), peak_count, peak_density and unique_exits (agents that crossed
+    the line, either way)."""
+    peaks = truth_counts(rows, polygon, area_m2).agg(
+        F.round(F.max("speed"), 3).alias("peak_speed"), F.max("n").alias("peak_count"), F.round(F.max("density"), 3).alias("peak_density")
+    )
+    exits = first_crossing(rows.where("x IS NOT NULL AND y IS NOT NULL"), "agent", *line).agg(F.count("*").alias("unique_exits"))
+    return peaks.join(F.broadcast(exits))  # one row each
+
+
 def dashboard(tracks: DataFrame, window_us: int, least_px: float, moving: float, area: Column, ref: tuple[float, float]) -> DataFrame:
     """Each camera's last frame (a frame a second): objects, cumulative ones,
     speeds (px/s over the window), acceleration, movers, dwell, density and

@@ -160,3 +160,43 @@ def graph_or_straight(trips: DataFrame, nodes: DataFrame, edges: DataFrame, m_pe
     straight = F.hypot(F.col("ox") - F.col("zx"), F.col("oy") - F.col("zy"))
     metres = F.coalesce("distance", straight) * F.lit(m_per_px).cast("double")
     return routes.join(far, ["graph_id", "source", "node_id"], "left").select(*trips.columns, metres.alias("metres"), F.col("distance").isNotNull().alias("by_graph"))
+
+
+def _on_ground(u: str, v: str, h: str) -> tuple[str, str]:
+    row = lambda i: f"({h}[{3 * i}] * {u} + {h}[{3 * i + 1}] * {v} + {h}[{3 * i + 2}])"
+    return f"{row(0)} / {row(2)}", f"{row(1)} / {row(2)}"
+
+
+def real_speeds(moves: DataFrame) -> DataFrame:
+    """``moves`` with speed and unit.  A move is the first and last pixel of a
+    window (u0, v0, u1, v1; dt seconds) with its camera's calibration: h (array
+    of nine, row by row; null: none), units_per_px of what it projects to (null:
+    1), px_per_m, and least_px, below which nothing moves.  By the projection,
+    else by the scale, in km/h; else in px/s."""
+    (x0, y0), (x1, y1) = _on_ground("u0", "v0", "h"), _on_ground("u1", "v1", "h")
+    px = "sqrt((u1 - u0) * (u1 - u0) + (v1 - v0) * (v1 - v0))"
+    metres = f"sqrt(pow({x1} - ({x0}), 2) + pow({y1} - ({y0}), 2)) * coalesce(units_per_px, 1D)"
+    speed = (
+        f"CASE WHEN dt IS NULL OR dt <= 0 OR {px} < least_px THEN 0D WHEN h IS NOT NULL THEN {metres} / dt * 3.6D"
+        f" WHEN px_per_m > 0 THEN {px} / px_per_m / dt * 3.6D ELSE {px} / dt END"
+    )
+    unit = F.when(F.col("h").isNotNull() | (F.coalesce("px_per_m", F.lit(0.0)) > 0), "km/h").otherwise("px/s")
+    return moves.withColumns({"speed": F.expr(speed), "unit": unit})
+
+
+def map_bounds(cameras: DataFrame) -> DataFrame:
+    """cam_id and the rectangle x0, y0, x1, y1 that a camera's map shows: the
+    map's size (map_w, map_h) if it has one, else its ROI (array of (u, v)) on
+    the ground, nothing with a projection alone, and else its image (width,
+    height)."""
+    ground = "transform(roi, p -> named_struct('x', {}, 'y', {}))".format(*_on_ground("p.u", "p.v", "h"))
+    shape = F.when(F.col("map_w").isNull() & F.col("h").isNotNull() & (F.size("roi") > 0), F.expr(ground))
+    side = lambda ends, axis, low, image: (
+        F.when(F.col("map_w").isNotNull(), F.lit(0.0) if low else F.col(f"map_{'w' if axis == 'x' else 'h'}").cast("double"))
+        .when(F.col("shape").isNotNull(), ends(F.col(f"shape.{axis}")))
+        .when(F.col("h").isNull(), F.lit(0.0) if low else F.col(image).cast("double"))
+    )
+    return cameras.withColumn("shape", shape).select(
+        "cam_id", side(F.array_min, "x", True, "width").alias("x0"), side(F.array_min, "y", True, "height").alias("y0"),
+        side(F.array_max, "x", False, "width").alias("x1"), side(F.array_max, "y", False, "height").alias("y1"),
+    )

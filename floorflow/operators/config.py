@@ -197,3 +197,32 @@ def sampled(frames: DataFrame, key: str, step_us: int) -> DataFrame:
         return keep
 
     return _sequential(frames, key, step_us - 1, run)
+
+
+#: What the automatic routes' ids begin with.
+AUTO = "auto-evac-"
+
+
+def floor_reset(
+    elements: DataFrame, floor: str, routes: DataFrame | None = None, exits: DataFrame | None = None, replace: str = "auto",
+    clear_zones: bool = False, clear_bottlenecks: bool = False,
+) -> DataFrame:
+    """Elements (floor_id, kind: route, exit, zone or bottleneck; id, body) with
+    one floor set anew from a drawing: its automatic routes (``replace`` auto)
+    or all of them are replaced by ``routes``, its exits by ``exits`` (id, body;
+    None: left as they are), zones and bottlenecks cleared on demand.  Other
+    floors are not touched."""
+    if replace not in ("auto", "all"):
+        raise ValueError("replace is auto or all")
+    here, kind = F.col("floor_id") == floor, F.col("kind")
+    goes = F.lit(False)
+    if routes is not None:
+        goes = goes | ((kind == "route") & (F.lit(replace == "all") | F.col("id").startswith(AUTO)))
+    for name, on in (("exit", exits is not None), ("zone", clear_zones), ("bottleneck", clear_bottlenecks)):
+        if on:
+            goes = goes | (kind == name)
+    out = elements.where(~(here & goes)).select("floor_id", "kind", "id", "body")
+    for name, rows in (("route", routes), ("exit", exits)):
+        if rows is not None:
+            out = out.unionByName(rows.select(F.lit(floor).alias("floor_id"), F.lit(name).alias("kind"), "id", "body"))
+    return out

@@ -63,3 +63,24 @@ def dropped_oldest(rows: DataFrame, key: str, size: int, batch: Column) -> DataF
     )
 
 
+
+
+#: Logarithm of a visitor sketch's registers.
+REGISTERS = 12
+
+
+def sketch_error(registers: int = REGISTERS) -> float:
+    """One standard error of an estimate, as a share of it."""
+    return 1.04 / 2 ** (registers / 2)
+
+
+def visitor_sketches(rows: DataFrame, by: list[str], who: str, registers: int = REGISTERS) -> DataFrame:
+    """``by`` (such as floor and window) and a sketch of those seen there: a few
+    kilobytes, however many they are.  Null names are nobody."""
+    return rows.groupBy(*by).agg(F.hll_sketch_agg(who, F.lit(registers)).alias("seen"))
+
+
+def visitors(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and visitors: how many different ones the merged sketches have
+    seen, each counted once over all windows and floors."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("seen")).alias("visitors"))

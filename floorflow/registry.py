@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import agreement, building, calibration, config, crowd, curves, evaluation, ground, lifecycle, messages, recordings, spatial, streams
+from .plans import agreement, building, calibration, config, crowd, curves, evaluation, ground, lifecycle, messages, recordings, results, spatial, store, streams
 
-PLANS = (agreement, calibration, config, crowd, evaluation, building, curves, ground, lifecycle, messages, recordings, spatial, streams)
+PLANS = (agreement, calibration, config, crowd, evaluation, building, curves, ground, lifecycle, messages, recordings, results, spatial, store, streams)
 
 
 def queries() -> dict:
