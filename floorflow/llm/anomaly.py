@@ -14,8 +14,9 @@ TREES, DEPTH, LEAF_ROWS = 100, 8, 256
 #: Bound of the rows that the trees are grown on (LEAF_ROWS for each tree, as
 #: the method has it), those with the smallest id hash.
 SAMPLE_ROWS = TREES * LEAF_ROWS
-#: Part of the rows labelled good that the threshold may fail.
-GOOD_LOST = 0.002
+#: How much more a good row lost weighs than a bad row caught, as shares of
+#: the labelled rows of either kind.
+GOOD_WEIGHT = 10.0
 BINS = 4096
 #: The length of a text is no anomaly by itself.
 USED = [k for k, name in enumerate(FEATURES) if name not in ("log_words", "dup_line_ratio", "line_words")]
@@ -97,12 +98,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed (fewer than 20 words, or more than 30 % of them in repeated
     8-word windows), kept and anomaly (0 to 1).  ``labels``: doc_id, quality.
-    The threshold is the anomaly that best parts rows labelled 0 and 1 among
-    those that fail GOOD_LOST of the latter at most; it takes all labelled
-    rows.  Without labels of both kinds nothing but the base rule fails.
+    The threshold is the anomaly at which the share of rows labelled 0 that
+    fail, less GOOD_WEIGHT times that of rows labelled 1, is largest; it takes
+    all labelled rows, and one row more or less moves it no farther in a small
+    table than its share of the rows.  Without labels of both kinds nothing but
+    the base rule fails.
 
     Null and empty texts have no words and fail the base rule; equal texts get
-    equal verdicts, and of equally good thresholds the lowest holds; a null
+    equal verdicts, and of neighbouring thresholds that are equally good the middle
+    one holds; a null
     doc_id stays (and has no label); repeated rows count as rows; of several
     labels of one id the lower counts; texts of any length are read whole; an
     empty table gives no rows; extra columns are not looked at.
@@ -133,6 +137,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _threshold(known) -> float:
+    """The cut for counts of bad and good rows by bin: rows from it on fail."""
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for r in known:
         good[r.bin], bad[r.bin] = r.good, r.bad
@@ -140,6 +145,10 @@ def _threshold(known) -> float:
         return 2.0
     lost = np.cumsum(good[::-1])[::-1] / good.sum()
     caught = np.cumsum(bad[::-1])[::-1] / bad.sum()
-    gain = np.where(lost <= GOOD_LOST, caught - lost, -1)
-    best = int(gain.argmax())
-    return best / BINS if gain[best] > 0 else 2.0
+    gain = caught - GOOD_WEIGHT * lost
+    first = last = int(gain.argmax())
+    if gain[first] <= 0:
+        return 2.0
+    while last < BINS and gain[last + 1] == gain[first]:
+        last += 1
+    return (first + last) / 2 / BINS
