@@ -52,6 +52,27 @@ def frame_rate(rows: DataFrame, key: str, frames: int = 25) -> DataFrame:
     return rows.withColumn("fps", F.round(F.when(span > 0, (n - 1) / span).otherwise(F.lit(0.0)), 6))
 
 
+def latest_rates(rows: DataFrame, key: str, now_us: Column, frames: int = 25, stale_us: int = 10_000_000) -> DataFrame:
+    """``frame_rate`` of each key's last row as it is told at ``now_us`` (a
+    column of the rows): 0 if that row is older than ``stale_us``, is the only
+    one, or no time lies between."""
+    recent = rows.withColumn("now_us", now_us).where(F.col("ts_us") <= F.col("now_us"))
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts_us"), F.desc("event_id")))
+    held = recent.withColumn("back", back).where(F.col("back") <= frames).groupBy(key).agg(
+        F.count("*").alias("n"), F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.max("now_us").alias("now_us")
+    )
+    span = (F.col("last") - F.col("first")) / F.lit(1e6)
+    live = (F.col("now_us") - F.col("last") <= stale_us) & (span > 0)
+    return held.select(key, F.round(F.when(live, (F.col("n") - 1) / span).otherwise(0.0), 6).alias("fps"))
+
+
+def windowed_rates(rows: DataFrame, key: str, now_us: int, window_us: int = 10_000_000) -> DataFrame:
+    """key, last_us and fps: rows of the last ten seconds before ``now_us``, a
+    second; keys without any have a rate of 0."""
+    recent = F.count(F.when((F.col("ts_us") <= now_us) & (F.lit(now_us) - F.col("ts_us") <= window_us), 1))
+    return rows.groupBy(key).agg(F.max("ts_us").alias("last_us"), F.round(recent / F.lit(window_us / 1e6), 6).alias("fps"))
+
+
 def dropped_oldest(rows: DataFrame, key: str, size: int, batch: Column) -> DataFrame:
     """What a bounded queue that drops its oldest rows keeps of each batch."""
     queued = rows.withColumn("batch", batch)
@@ -63,8 +84,6 @@ def dropped_oldest(rows: DataFrame, key: str, size: int, batch: Column) -> DataF
     )
 
 
-
-
 #: Logarithm of a visitor sketch's registers.
 REGISTERS = 12
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import config
+from ..operators import config, summary
 from ..sources import tracks as src
 from ..sources.tracks import TRACKS_SQL, from_events
 
@@ -41,10 +41,9 @@ def camera_patch_rejected(spark, d):
 
 
 def _last_seen(spark, d):
-    t = from_events(_read(spark, d, "events"))
-    return t.groupBy(F.expr("concat('cam', lpad(event_id % 97, 2, '0'))").alias("cam_id")).agg(
-        F.max("ts_us").alias("last_us"), F.round(F.count("*") / F.lit(10.0), 6).alias("fps")
-    )
+    t = from_events(_read(spark, d, "events")).withColumn("cam_id", F.expr("concat('cam', lpad(event_id % 97, 2, '0'))"))
+    now = t.agg(F.max("ts_us").alias("now")).first().now or 0
+    return summary.windowed_rates(t, "cam_id", now)
 
 
 def camera_states(spark, d):
@@ -207,7 +206,7 @@ def recorded_calls(spark, d):
 
 
 _CAM = "cams AS (SELECT 'cam' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(2, len(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS cam_id, 'f' || CAST(c_nationkey % 7 AS VARCHAR) AS floor_id, CAST(1 + c_custkey % 25 AS DOUBLE) AS fps, c_acctbal > 0 AS enabled, c_custkey % 3 <> 0 AS mapped, c_custkey AS n FROM customer)"
-_SEEN = f"{TRACKS_SQL}, ls AS (SELECT 'cam' || lpad(CAST(event_id % 97 AS VARCHAR), 2, '0') AS cam_id, max(ts_us) AS last_us, round(count(*) / 10, 6) AS fps FROM tracks GROUP BY 1)"
+_SEEN = f"{TRACKS_SQL}, ls AS (SELECT 'cam' || lpad(CAST(event_id % 97 AS VARCHAR), 2, '0') AS cam_id, max(ts_us) AS last_us, round(count(*) FILTER (WHERE ts_us >= (SELECT max(ts_us) FROM tracks) - 10000000) / 10, 6) AS fps FROM tracks GROUP BY 1)"
 _RT = "rts AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'auto-evac-' ELSE 'r' END || CAST(s_suppkey AS VARCHAR) AS route_id, 'f' || CAST(s_nationkey % 3 AS VARCHAR) AS floor_id, s_acctbal AS length FROM supplier), nw AS (SELECT 'auto-evac-' || CAST(n_nationkey AS VARCHAR) AS route_id, 'f1' AS floor_id, CAST(n_regionkey AS DOUBLE) AS length FROM nation)"
 
 ORACLE = {

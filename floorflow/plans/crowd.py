@@ -55,6 +55,15 @@ def zone_occupancy(spark, d):
     return _now(spark, d, S.zones)
 
 
+def floor_view_zones(spark, d):
+    """Occupancy by one floor's view of the site, which has its elements only."""
+    view = S.floor_view("f1")
+    tracks = _tracks(spark, d)
+    base = obs.sessions(obs.mapped(tracks, view), view).select(*KEY)
+    n = obs.counted(obs.snapshot(tracks, view), base, view, view.zones, KEY)
+    return n.withColumn("cameras", F.lit(",".join(c.name for c in view.cameras)))
+
+
 def bottleneck_state(spark, d):
     z = S.bottlenecks
     return _now(spark, d, z).withColumn("over", F.col("density") > obs.constant(z, "zone", lambda b: num(b.rho_crit)))
@@ -585,6 +594,7 @@ TIMELINE = f"{COUNTS}, tl AS (SELECT session_id, floor_id, k, {_DENSITY} AS dens
 
 ORACLE = {
     "zone_occupancy": _occupied("z"),
+    "floor_view_zones": f"SELECT session_id, floor_id, zone, n, 'cam1' AS cameras FROM ({_occupied('z')}) WHERE floor_id = 'f1'",
     "bottleneck_state": _occupied("b", ", round(n / area, 3) > crit AS over"),
     "object_labels": f"WITH {SNAP} SELECT session_id, floor_id, gid, event_id, (SELECT arg_min(zone, ord) FROM sz WHERE sz.event_id = sn.event_id AND kind = 'z') AS zone, round(x, 6) AS x, round(y, 6) AS y, x >= 0 AND x <= 1000 AND y >= 0 AND y <= 1000 AS in_map FROM sn",
     "floor_routing": f"WITH {TRK} SELECT cam_id, floor_id, count(*) AS n FROM trk GROUP BY ALL",
@@ -643,7 +653,7 @@ ORACLE = {
 QUERIES = {
     f.__name__: f
     for f in (
-        zone_occupancy, bottleneck_state, object_labels, floor_routing, min_conf_filter, roi_filter, homography_project, window_speed,
+        zone_occupancy, floor_view_zones, bottleneck_state, object_labels, floor_routing, min_conf_filter, roi_filter, homography_project, window_speed,
         route_alignment, dwell_time, lost_timeout_sessions, acceleration, exit_crossings, exit_counts_debounced, occupancy_counter,
         exit_share, sei_score, exit_deviation, route_deviation, epfi_person, epfi_avg, tick_density, cbs_bottleneck, zone_conditions,
         zone_onset_hold, idr_zone, idr_average, grid_zone_distance, session_timeline, session_quality, replay_sweep_dallow,

@@ -135,6 +135,19 @@ def rate_window_fps(spark, d):
     return summary.frame_rate(_tracks(spark, d), "cam_id").select("event_id", "fps")
 
 
+def latest_fps(spark, d):
+    """Rates of cameras as told at a moment by when some had stopped."""
+    t = _tracks(spark, d).withColumn("cam_id", F.concat(F.lit("c"), (F.col("event_id") % 997).cast("string")))
+    span = F.col("b") - F.expr("(b - a) div 4")
+    ends = t.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+    return summary.latest_rates(t.join(F.broadcast(ends)), "cam_id", span, stale_us=300_000)
+
+
+def track_linear_interp(spark, d):
+    """Every gap under 20 frames filled on the line, however short the track."""
+    return ranking.fill_gaps(_mot(spark, d), 0, 20)
+
+
 def drop_oldest_counts(spark, d):
     return summary.dropped_oldest(_tracks(spark, d), "cam_id", 64, F.expr("ts_us div 1000000"))
 
@@ -208,6 +221,10 @@ FROM (SELECT * FROM boxes WHERE det_id % 3 = 0) t LEFT JOIN (SELECT i, arg_max(c
     "reid_map": f"WITH {RANKED} SELECT round(avg(ap), 6) AS map, round(avg(inp), 6) AS minp, " + ", ".join(f"round(avg(CASE WHEN first_rank <= {k} THEN 1e0 ELSE 0e0 END), 6) AS cmc{k}" for k in (1, 5, 10)) + " FROM rs",
     "reid_roc_pairs": f"WITH {RANKED} SELECT CAST(floor((cos + 1) * 10) AS INTEGER) AS bin, count(*) FILTER (WHERE hit) AS same, count(*) FILTER (WHERE NOT hit) AS other FROM rk GROUP BY 1",
     "track_gap_interp": f"WITH {MOT}, mg AS (SELECT *, count(*) OVER (PARTITION BY seq, id) AS n, lag({{'frame': frame, 'x': x, 'y': y, 'w': w, 'h': h}}) OVER (PARTITION BY seq, id ORDER BY frame) AS p FROM mt), mf AS (SELECT *, unnest(range(p.frame + 1, frame)) AS f FROM mg WHERE n > 5 AND frame - p.frame > 1 AND frame - p.frame < 20) SELECT seq, frame, id, x, y, w, h, false AS made FROM mt UNION ALL SELECT seq, f, id, {_LINE}, true FROM mf",
+    "track_linear_interp": f"WITH {MOT}, mg AS (SELECT *, count(*) OVER (PARTITION BY seq, id) AS n, lag({{'frame': frame, 'x': x, 'y': y, 'w': w, 'h': h}}) OVER (PARTITION BY seq, id ORDER BY frame) AS p FROM mt), mf AS (SELECT *, unnest(range(p.frame + 1, frame)) AS f FROM mg WHERE frame - p.frame > 1 AND frame - p.frame < 20) SELECT seq, frame, id, x, y, w, h, false AS made FROM mt UNION ALL SELECT seq, f, id, {_LINE}, true FROM mf",
+    "latest_fps": f"""WITH {TRACKS_SQL}, en AS (SELECT max(ts_us) - (max(ts_us) - min(ts_us)) // 4 AS now FROM tracks),
+lr AS (SELECT event_id % 997 AS c, ts_us, now, row_number() OVER (PARTITION BY event_id % 997 ORDER BY ts_us DESC, event_id DESC) AS back FROM tracks, en WHERE ts_us <= now)
+SELECT 'c' || c AS cam_id, round(CASE WHEN max(now) - max(ts_us) <= 300000 AND max(ts_us) > min(ts_us) THEN (count(*) - 1) / ((max(ts_us) - min(ts_us)) / 1e6) ELSE 0 END, 6) AS fps FROM lr WHERE back <= 25 GROUP BY c""",
     "coco_half_split": f"WITH {MOT}, hs AS (SELECT *, min(frame) OVER (PARTITION BY seq) AS f0, max(frame) OVER (PARTITION BY seq) AS f1 FROM mt), hm AS (SELECT *, f0 + (f1 - f0 + 1) // 2 AS mid FROM hs) SELECT seq, id, CASE WHEN frame < mid THEN 'train' ELSE 'val' END AS part, CASE WHEN frame < mid THEN frame - f0 ELSE frame - mid END AS frame FROM hm",
     "id_jaccard": f"WITH {BOXES} SELECT frame, CAST(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) AS INTEGER) AS both, CAST(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1) AS INTEGER) AS either, round(count(*) FILTER (WHERE conf > 5e-1 AND conf < 8e-1) / nullif(count(*) FILTER (WHERE conf > 5e-1 OR conf < 8e-1), 0), 6) AS jaccard FROM boxes GROUP BY frame",
     "dice_match_rate": f"""WITH {BOXES}, {_ONE_TWO},
@@ -222,7 +239,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         box_similarity, mahalanobis_softmax, best_detection_match, embedding_cosine_topk, reid_queries, reid_map, reid_roc_pairs,
-        track_gap_interp, coco_half_split, id_jaccard, dice_match_rate, rate_window_fps, drop_oldest_counts, ingest_window_stats,
+        track_gap_interp, coco_half_split, id_jaccard, dice_match_rate, rate_window_fps, latest_fps, track_linear_interp, drop_oldest_counts, ingest_window_stats,
         lap_assignment, nms, greedy_agreement, tracker_run,
     )
 }

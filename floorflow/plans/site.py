@@ -71,10 +71,16 @@ class Site:
     window_us: int = 1_000_000
     min_move_m: float = 0.05
     lost_us: int = 3_000_000
-    margin: float = 10.0
+    #: Metres from an exit's line within which an object is on neither side.
+    margin_m: float = 0.1
     cell: float = 200.0
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
+    @property
+    def margin(self) -> float:
+        """``margin_m`` on the plan; 0 without a scale."""
+        return self.margin_m / self.m_per_px if self.m_per_px else 0.0
+
     def area_m2(self, zone: Zone) -> float | None:
         return None if self.m_per_px is None else area(zone.polygon) * self.m_per_px**2
 
