@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.geometry import guarded, num
 from .assignment import FRAME, greedy_matches, match_frames
 from .observations import SECOND
+from .tables import sent, written
 
 
 def sequences(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -293,9 +294,11 @@ def cuhk_scores(pairs: DataFrame, trials: int, seed: int = 0) -> DataFrame:
     so the draw needs no order and is the same every time."""
     each = pairs.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     pick = each.groupBy("trial", "q", "pid").agg(F.min_by(F.struct("cos", "vec_id", "hit"), F.struct(F.md5(F.concat_ws(":", F.lit(seed), "trial", "vec_id").cast("binary")), "vec_id")).alias("x"))
-    hit = F.max(F.when(F.col("x.hit"), F.col("x.cos")))
-    first = pick.groupBy("trial", "q").agg(hit.alias("top"), F.collect_list(F.when(~F.col("x.hit"), F.col("x.cos"))).alias("others"))
-    rank = first.where("top IS NOT NULL").withColumn("rank", F.size(F.filter("others", lambda c: c > F.col("top"))) + 1)
+    drawn = written(pick.select("trial", "q", "x.hit", "x.cos"))
+    top = drawn.where("hit").groupBy("trial", "q").agg(F.max("cos").alias("top"))
+    # a gallery is counted, not gathered: how many of it lie above the hit
+    above = drawn.join(sent(top, F.lit(40)), ["trial", "q"]).groupBy("trial", "q")
+    rank = above.agg((F.count(F.when(~F.col("hit") & (F.col("cos") > F.col("top")), 1)) + 1).alias("rank"))
     return rank.agg(*(F.round(F.avg((F.col("rank") <= k).cast("double")), 6).alias(f"cmc{k}") for k in (1, 5, 10)), F.count("*").alias("n"))
 
 
