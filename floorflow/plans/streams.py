@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import observations as obs, session
 from ..operators.observations import KEY
 from ..operators import lifecycle as life
-from ..sources.tracks import from_events
+from ..sources.tracks import TRACKS_SQL, from_events
 from ..streaming import engine, live, reload
 from . import crowd, lifecycle
 from .site import SITE
@@ -47,6 +47,13 @@ def live_exit_counts(spark, d):
     return reload.counted(spark, path)
 
 
+def newest_frames(spark, d):
+    """A camera's newest row of each trigger and how many it hid."""
+    events = engine.replayed(spark, spark.read.parquet(f"{d}/events.parquet"), "ts", PARTS)
+    rows = live.follow_newest(from_events(events).select("cam_id", "ts_us", "event_id", "gid"), "cam_id")
+    return rows.select("batch", "cam_id", "event_id", "gid", "dropped")
+
+
 def drill_starts(spark, d):
     """Every twentieth event asks for a drill, with origins on some floors."""
     tracks = from_events(spark.read.parquet(f"{d}/events.parquet"))
@@ -57,12 +64,15 @@ def drill_starts(spark, d):
     return life.drill_starts(asked, S.taking_part(), life.session_spans(lifecycle._commands(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (live_speed, live_visits, live_tick_density, live_exit_counts, drill_starts)}
+QUERIES = {f.__name__: f for f in (live_speed, live_visits, live_tick_density, live_exit_counts, newest_frames, drill_starts)}
 ORACLE = {
     "live_speed": crowd.ORACLE["window_speed"],
     "live_visits": crowd.ORACLE["lost_timeout_sessions"],
     "live_tick_density": crowd.ORACLE["tick_density"],
     "live_exit_counts": lifecycle.ORACLE["reloaded_exit_counts"],
+    "newest_frames": f"""WITH {TRACKS_SQL}, sp AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+pt AS (SELECT t.*, least(2, (epoch_us(e.ts) - a) * 3 // (b - a)) AS batch FROM tracks t JOIN events e USING (event_id), sp)
+SELECT CAST(batch AS INTEGER) AS batch, cam_id, arg_max(event_id, {{'t': ts_us, 'e': event_id}}) AS event_id, arg_max(gid, {{'t': ts_us, 'e': event_id}}) AS gid, count(*) - 1 AS dropped FROM pt GROUP BY batch, cam_id""",
     "drill_starts": f"""WITH {lifecycle._COMMANDS},
 rq AS (SELECT event_id AS n, ts_us AS at_us, CASE WHEN event_id % 3 = 0 THEN ts_us + 1000 ELSE ts_us END AS alarm_us FROM tracks WHERE event_id % 20 = 5),
 go AS (SELECT floor_id, at_us, n FROM main WHERE accepted AND command = 'start'), halt AS (SELECT floor_id, at_us, n FROM main WHERE accepted AND command = 'stop'),

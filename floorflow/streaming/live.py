@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..sources.tracks import from_events
 
@@ -54,6 +55,28 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def newest(batch: DataFrame, key: str) -> DataFrame:
+    """The newest row of each key; a backlog's older rows are dropped.  Equal
+    times go by event_id."""
+    rest = [c for c in batch.columns if c not in (key, "ts_us", "event_id")]
+    last = batch.groupBy(key).agg(F.max(F.struct("ts_us", "event_id", *rest)).alias("r"), F.count("*").alias("backlog"))
+    return last.select(key, "r.*", (F.col("backlog") - 1).alias("dropped"))
+
+
+def follow_newest(stream: DataFrame, key: str, once: bool = True) -> DataFrame:
+    """What a reader that only looks at the newest frame sees: of each trigger
+    the newest row of each key, with the number of older ones dropped; batch is
+    the trigger's number."""
+    spark, at = stream.sparkSession, fresh_folder(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest(batch, key).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(write)
+    (query.trigger(availableNow=True) if once else query.trigger(processingTime="1 second")).start().awaitTermination()
+    return spark.read.schema(newest(stream, key).schema.add("batch", IntegerType())).parquet(f"{at}/rows")
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there now; its result, read back from a
     table in the folder that the cluster shares.  Complete mode holds every
