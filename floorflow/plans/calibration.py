@@ -122,7 +122,8 @@ def drawing_walls(spark, d):
     their ends."""
     lying = dxf.placed(dxf.entities(_drawings(spark, d)))
     size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    total = lambda c: F.round(F.sum(c), 3)
+    whole = lambda c: F.round(F.sum(c), 3)
+    total = lambda c: F.when(whole(c) == 0, 0.0).otherwise(whole(c))  # noqa: E731  # a sum of -0.0 is 0.0
     return dxf.segments(lying).groupBy("drawing", "handle", "layer").agg(
         F.count("*").alias("n"), total(size).alias("length"), total(F.col("x1") + F.col("x2")).alias("x"), total(F.col("y1") + F.col("y2")).alias("y")
     )
@@ -158,7 +159,7 @@ w AS (SELECT drawing, nation, 'L' || k AS handle, 'walls' AS layer, x AS x1, 1e0
  UNION ALL SELECT drawing, nation, 'I' || k, 'walls', x - 2 * v, 10 + 2 * u, x - 2 * v2, 10 + 2 * u2 FROM s, ring WHERE i % 2 = 0)"""
 
 ORACLE = {
-    "drawing_walls": f"WITH {_DRAWN} SELECT drawing, handle, layer, count(*) AS n, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 3) AS length, round(sum(x1 + x2), 3) AS x, round(sum(y1 + y2), 3) AS y FROM w GROUP BY 1, 2, 3",
+    "drawing_walls": f"WITH {_DRAWN} SELECT drawing, handle, layer, count(*) AS n, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 3) AS length, CASE WHEN round(sum(x1 + x2), 3) = 0 THEN 0e0 ELSE round(sum(x1 + x2), 3) END AS x, CASE WHEN round(sum(y1 + y2), 3) = 0 THEN 0e0 ELSE round(sum(y1 + y2), 3) END AS y FROM w GROUP BY 1, 2, 3",
     "drawing_marks": f"WITH {_DRAWN} SELECT drawing, 'exit' AS mark, (x + 7.5e0) / 2 AS x, (1 + x) / 2 AS y FROM s UNION ALL SELECT drawing, 'occupant', x, 1 FROM s WHERE i % 4 = 0 UNION ALL SELECT drawing, 'occupant', 7.5e0, x FROM s WHERE i % 4 = 0",
     "drawing_paths": f"WITH {_DRAWN} SELECT drawing, 'R' || k AS handle, i % 3 = 0 AS passes, 3 AS points, x AS y FROM s",
     "drawing_extents": f"WITH {_DRAWN} SELECT drawing, CASE WHEN nation > 0 THEN -1e0 ELSE round(min(least(x1, x2)), 3) END AS minx, CASE WHEN nation > 0 THEN -2e0 ELSE round(min(least(y1, y2)), 3) END AS miny, CASE WHEN nation > 0 THEN CAST(nation AS DOUBLE) ELSE round(max(greatest(x1, x2)), 3) END AS maxx, CASE WHEN nation > 0 THEN 50e0 ELSE round(max(greatest(y1, y2)), 3) END AS maxy FROM w GROUP BY drawing, nation",
