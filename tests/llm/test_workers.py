@@ -5,7 +5,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from floorflow.llm import packing, substring_dedup
+from floorflow.llm import packing, queries, substring_dedup
 from floorflow.llm.queries import tokenizer_path
 
 
@@ -40,3 +40,34 @@ def test_tokenizing_steps_are_small():
     assert sum(steps) == 1000 and most < 67_000_000, most
     again = [x for b in packing._tokenize(tokenizer_path(), packing.END)([batch]) for x in b.column(2).to_pylist()]
     assert [x[:-2] for x in again] == whole
+
+
+def test_passages_are_looked_for_in_small_batches(spark, tmp_path, monkeypatch):
+    """op1's tasks get 1,000 texts at once, as the pipeline's do, in a session that sets no number."""
+    own = substring_dedup._digested
+
+    def watched(line_words):
+        def run(batches):
+            def held():
+                for batch in batches:
+                    assert batch.num_rows <= 1000, batch.num_rows
+                    yield batch
+
+            yield from own(line_words)(held())
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_digested", watched)
+    rng = random.Random(7)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    texts = {0: passage, 2999: f"x y\n{passage}"}
+    rows = [(k, texts.get(k, f"text {k}")) for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        got = [tuple(r) for r in queries.op1_substring_dedup(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert got == [(2999, 0, 2, 60)]
