@@ -34,6 +34,11 @@ SEPARATORS = "[\x1c-\x1f]"
 _STATE: dict = {}
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """What ``to_pylist`` gives, without a scalar object for each word."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokens:
     """Token ids of texts by a tokenizers file that drops white space.
 
@@ -106,34 +111,24 @@ class WordTokens:
         plain = pc.is_valid(halves).to_numpy(zero_copy_only=False)
         low = pc.utf8_lower(halves.field("letters").filter(pa.array(plain))).dictionary_encode()
         marks = halves.field("marks").filter(pa.array(plain)).dictionary_encode()
-        others = words.filter(pa.array(~plain)).to_pylist()
+        others = _strings(words.filter(pa.array(~plain)))
         n_low, n_marks = len(low.dictionary), len(marks.dictionary)
-        ids = self._looked_up(low.dictionary.to_pylist(), True)
-        ids += self._looked_up(marks.dictionary.to_pylist(), False)
+        ids = self._looked_up(_strings(low.dictionary), True)
+        ids += self._looked_up(_strings(marks.dictionary), False)
         ids += self._looked_up(others, False)
-        none, close = len(ids), len(ids) + 1
-        ids += [b"", b"" if end is None else np.array([end], self.width).tobytes()]
-        # a word is two pieces, a text its words' pieces and the end
+        # a distinct word is two pieces, a text its words and the end
+        none, held = len(ids), pa.array([*ids, b""], pa.large_binary())
         first, second = np.full(len(words), none), np.full(len(words), none)
         first[plain], second[plain] = low.indices.to_numpy(), n_low + marks.indices.to_numpy()
         first[~plain] = n_low + n_marks + np.arange(len(others))
-        pieces = np.empty(2 * len(number) + len(texts), np.int32)
-        stops = 2 * bounds[1:] + np.arange(len(texts))
-        inner = np.ones(len(pieces), bool)
-        inner[stops] = False
-        pair = np.empty(2 * len(number), np.int32)
-        pair[::2], pair[1::2] = first[number], second[number]
-        pieces[inner], pieces[stops] = pair, close
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.width).itemsize
-        begins = (np.cumsum(sizes) - sizes).astype(np.int64)
-        used = sizes[pieces]
-        upto = np.cumsum(used)
-        at = np.repeat((begins[pieces] - upto + used).astype(np.int32), used)
-        at += np.arange(len(at), dtype=np.int32)
-        out = np.frombuffer(b"".join(ids), self.width)[at]
-        offsets = np.concatenate([[0], upto[stops]]) * out.itemsize
+        close = pa.array([b"" if end is None else np.array([end], self.width).tobytes()], pa.large_binary())
+        empty = pa.scalar(b"", pa.large_binary())
+        whole = pc.binary_join_element_wise(held.take(pa.array(first)), held.take(pa.array(second)), empty)
+        out = pa.concat_arrays([whole, close]).take(pa.array(np.insert(number, bounds[1:], len(words))))
+        upto = np.frombuffer(out.buffers()[1], np.int64)  # take starts at 0
+        offsets = np.concatenate([[0], upto[bounds[1:] + np.arange(1, len(texts) + 1)]])
         return pa.Array.from_buffers(
-            pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]
+            pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), out.buffers()[2] or pa.py_buffer(b"")]
         ).cast(pa.binary())
 
     def encode(self, texts: list[str]) -> list[bytes]:

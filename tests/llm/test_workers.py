@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
 from floorflow.llm import packing, queries, substring_dedup
@@ -42,6 +43,29 @@ def test_tokenizing_steps_are_small():
     assert [x[:-2] for x in again] == whole
 
 
+def test_ids_are_gathered_without_numbers_for_each_token():
+    """What a step holds besides Arrow's own arrays grows with its words, not with several numbers a token."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) + rng.choice(["", "", "!", "é-x"]) for _ in range(500)]
+    texts = pa.array([None, "", *(" ".join(rng.choices(words, k=300)) for _ in range(400)), " "])
+    tool = packing.tokens_of(tokenizer_path())
+    tool.encode_array(texts, packing.END)
+    tracemalloc.start()
+    try:
+        got = tool.encode_array(texts, packing.END)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got.validate(full=True)
+    for text, ids in zip(texts.to_pylist(), got.to_pylist()):
+        want = tool.tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, tool.width).tolist() == [*want, packing.END]
+    assert most < 3_000_000, most
+    assert tool.encode_array(texts).to_pylist() == [x[:-2] for x in got.to_pylist()]
+    assert tool.encode_array(texts.slice(0, 2)).to_pylist() == [b"", b""]
+    assert len(tool.encode_array(texts.slice(0, 0), packing.END)) == 0
+
+
 def test_passages_are_looked_for_in_small_batches(spark, tmp_path, monkeypatch):
     """op1's tasks get 1,000 texts at once, as the pipeline's do, in a session that sets no number."""
     own = substring_dedup._digested
