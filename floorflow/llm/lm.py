@@ -11,18 +11,18 @@ cover every training document; the classes bound the latter's number.
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, as_list, binary_text, chunks, crc_mod, materialize, released
+from .common import binary_text, chunks, crc_mod, materialize, released
 
 HEAD, TAILS = 320, 64
 CLASSES = HEAD + TAILS
@@ -32,61 +32,77 @@ KNOWN_ROWS = 100_000
 DIMS, NOISE, BATCH, EPOCHS, RATE = 24, 128, 256, 6, 0.2
 #: Parts in which the counts of class triples come to the driver.
 PARTS = 16
-HELD_WORDS = 300_000
-#: Tokens whose vectors a scoring task holds at once, and bytes of texts.
-SPAN, SCORE_BYTES = 1 << 15, 1 << 20
-END_WORD = b""
+#: Rows of words, and tokens of triples, that a task adds up at once.
+HELD_WORDS, HELD_TRIPLES = 1_000_000, 1 << 21
+#: Bytes of texts that a task splits into words at once.
+SPLIT_BYTES = 2 << 20
+#: Stripped from a word's end before its last letters are taken.
+MARKS = ".,;:!?|$%&*#"
 
 
 def tail_class(word: bytes) -> int:
-    return HEAD + zlib.crc32(word.rstrip(b".,;:!?|$%&*#")[-2:]) % TAILS
+    return HEAD + zlib.crc32(word.rstrip(MARKS.encode())[-2:]) % TAILS
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-class _Word(dict):
-    """word -> hash and tail class, 16 bytes; a bounded cache."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        value = struct.pack("<QQ", word_hash(word), tail_class(word))
-        if len(self) < 200_000:
-            self[word] = value
-        return value
-
+@dataclass
+class Tokens:
+    sizes: np.ndarray  # tokens of each text
+    word: np.ndarray  # each token's place among the distinct words
+    hash: np.ndarray  # of each distinct word
+    tail: np.ndarray  # its tail class
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        """The words of binary texts, each text's followed by the end token,
+        the empty word.  What is done for a word is done once for all texts."""
+        kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+        text = pc.ascii_trim_whitespace(pc.ascii_lower(texts.view(kind)))
+        # a space at the end leaves an empty word behind it, as an empty text is one
+        none, space = pa.scalar("", kind), pa.scalar(" ", kind)
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(text, none), none, pc.binary_join_element_wise(text, space, none)))
+        coded = pc.dictionary_encode(pc.list_flatten(lists))
+        words = coded.dictionary.view(texts.type)
+        ends = pc.binary_slice(pc.ascii_rtrim(coded.dictionary, MARKS).view(texts.type), -2, None).dictionary_encode()
+        return cls(
+            pc.list_value_length(lists).to_numpy().astype(np.int64),
+            coded.indices.to_numpy(),
+            np.fromiter(map(word_hash, words.to_numpy(zero_copy_only=False)), np.uint64, len(words)),
+            np.array(list(map(tail_class, ends.dictionary.to_pylist())), np.int64)[ends.indices.to_numpy()],
+        )
 
-_WORDS = _Word()
-CACHES.append(_WORDS)
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
 
 
-def _words(text: bytes) -> list[bytes]:
-    out = text.lower().split()
-    out.append(END_WORD)
-    return out
+def _tokens(batches):
+    """Slices of batches and their texts' tokens."""
+    for batch in chunks(batches, size=SPLIT_BYTES):
+        yield batch, Tokens.of(batch.column(batch.schema.get_field_index("text")))
 
 
 def _count(batches):
-    def table(counter: Counter) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(map(_WORDS.__getitem__, counter)), "<u8").reshape(-1, 2)
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        hashes, tails, n = map(np.concatenate, zip(*found))
+        hashes, first, own = np.unique(hashes, return_index=True, return_inverse=True)
+        n = np.bincount(own, n, len(hashes))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(raw[:, 0].view(np.int64)),
-                pa.array(raw[:, 1].astype(np.int32)),
-                pa.array(np.fromiter(counter.values(), np.int64, len(counter))),
-            ],
+            [pa.array(hashes.view(np.int64)), pa.array(tails[first].astype(np.int32)), pa.array(n.astype(np.int64))],
             names=["h", "tail", "n"],
         )
 
-    counter: Counter = Counter()
-    for batch in chunks(batches):
-        for text in as_list(batch, "text"):
-            counter.update(_words(text))
-        if len(counter) > HELD_WORDS:
-            yield table(counter)
-            counter = Counter()
-    if counter:
-        yield table(counter)
+    found: list[tuple] = []
+    for _, t in _tokens(batches):
+        found.append((t.hash, t.tail, np.bincount(t.word, minlength=len(t.hash))))
+        if sum(len(f[0]) for f in found) > HELD_WORDS:
+            yield table(found)
+            found = []
+    if found:
+        yield table(found)
 
 
 @dataclass
@@ -111,13 +127,17 @@ class Model:
         head = np.where(at >= 0, self.head[at], -1)
         return at, np.where(head >= 0, head, tails)
 
+    @cached_property
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of the two context classes with each class: product of
+        their vectors, the first with the bias; what a token adds up."""
+        first = self.context[0] @ self.target.T + self.bias
+        return first.ravel(), (self.context[1] @ self.target.T).ravel()
+
     def class_log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 P(target | last class, class before it)."""
-        s = np.empty(len(target))
-        for k in range(0, len(target), SPAN):
-            a, b, t = one[k : k + SPAN], two[k : k + SPAN], target[k : k + SPAN]
-            h = self.context[0, a] + self.context[1, b]
-            s[k : k + SPAN] = np.einsum("ij,ij->i", h, self.target[t]) + self.bias[t]
+        first, second = self.products
+        s = first[one * CLASSES + target] + second[two * CLASSES + target]
         return (s - self.log_z[one * (CLASSES + 1) + two]) / np.log(10)
 
 
@@ -184,15 +204,33 @@ def train_counts(key: np.ndarray, times: np.ndarray, share: np.ndarray, seed: in
     return context, target, bias
 
 
+def _contexts(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last class and the one before it of each token of texts that begin
+    at ``starts``, which have a token at least."""
+    one, two = np.empty_like(cls), np.empty_like(cls)
+    one[1:], two[2:] = cls[:-1], cls[:-2]
+    one[starts] = two[starts] = START
+    second = starts + 1
+    two[second[second < np.append(starts[1:], len(cls))]] = START
+    return one, two
+
+
 def _triple_counts(model: Model):
+    def table(found: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
     def run(batches):
-        for batch in chunks(batches):
-            found = []
-            for text in as_list(batch, "text"):
-                raw = np.frombuffer(b"".join(map(_WORDS.__getitem__, _words(text))), "<u8").reshape(-1, 2)
-                found.append(model.look_up(raw[:, 0], raw[:, 1].astype(np.int64))[1])
-            key, n = np.unique(triples(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+        found: list[np.ndarray] = []
+        for _, t in _tokens(batches):
+            cls = model.look_up(t.hash, t.tail)[1][t.word]
+            one, two = _contexts(cls, t.starts)
+            found.append(((one * (CLASSES + 1) + two) * CLASSES + cls).astype(np.int32))
+            if sum(map(len, found)) >= HELD_TRIPLES:
+                yield table(found)
+                found = []
+        if found:
+            yield table(found)
 
     return run
 
@@ -275,41 +313,26 @@ def fit(docs: DataFrame, training: Column) -> tuple[Model, DataFrame]:
 
 def _score(model: Model):
     def run(batches):
-        log_count = np.log10(model.count + 1.0)
-        for batch in chunks(batches, size=SCORE_BYTES):
-            cols: list[list] = [[], [], [], [], [], []]
-            texts = as_list(batch, "text")
-            split = [_words(t) for t in texts]
-            sizes = np.array(list(map(len, split)))
-            raw = np.frombuffer(b"".join(b"".join(map(_WORDS.__getitem__, w)) for w in split), "<u8").reshape(-1, 2)
-            hashes, starts = raw[:, 0], np.cumsum(sizes) - sizes
-            at, cls = model.look_up(hashes, raw[:, 1].astype(np.int64))
-            one = np.concatenate([[START], cls[:-1]])
-            one[starts] = START
-            two = np.concatenate([[START, START], cls[:-2]])[: len(cls)]
-            two[starts] = START
-            nxt = starts + 1
-            two[nxt[nxt < np.append(starts[1:], len(cls))]] = START
-            value = np.where(at >= 0, log_count[at] if len(log_count) else 0.0, 0.0)
-            token = model.class_log10(one, two, cls) + np.where(cls >= HEAD, value - model.log_tail[cls], 0.0)
-            cols[0] = np.add.reduceat((at >= 0).astype(np.int64), starts)
-            cols[1] = np.add.reduceat(value, starts)
-            cols[2] = np.add.reduceat(token, starts)
-            lost, times = [], []
-            for s, n in zip(starts.tolist(), sizes.tolist()):
-                own = hashes[s : s + n][at[s : s + n] < 0]
-                h, c = np.unique(own, return_counts=True)
-                lost.append(h.view(np.int64))
-                times.append(c)
+        log_count = np.log10(np.append(model.count, 0) + 1.0)  # the last: of words not among the known
+        for batch, t in _tokens(batches):
+            at, classes = model.look_up(t.hash, t.tail)
+            value, starts, cls = log_count[at], t.starts, classes[t.word]
+            inside = np.where(classes >= HEAD, value - model.log_tail[classes], 0.0)
+            token = model.class_log10(*_contexts(cls, starts), cls) + inside[t.word]
+            known = (at >= 0)[t.word]
+            # of each text and word beyond the known: a row
+            text = np.repeat(np.arange(len(starts)), t.sizes)[~known]
+            pair, times = np.unique(text * len(at) + t.word[~known], return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(len(starts) + 1) * len(at)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(sizes.astype(np.int64)),
-                    pa.array(cols[0]),
-                    pa.array(cols[1]),
-                    pa.array(cols[2]),
-                    pa.array(lost, pa.list_(pa.int64())),
-                    pa.array(times, pa.list_(pa.int64())),
+                    pa.array(t.sizes),
+                    pa.array(np.add.reduceat(known.astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(value[t.word], starts)),
+                    pa.array(np.add.reduceat(token, starts)),
+                    pa.ListArray.from_arrays(ends, pa.array(t.hash.view(np.int64)[pair % len(at)])),
+                    pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
                 ],
                 names=["doc_id", "n_tokens", "known0", "base0", "score0", "h", "times"],
             )

@@ -490,3 +490,46 @@ def test_packing_deals_copies_and_empty_texts_out(spark):
     frame = spark.range(3000).selectExpr("1L AS doc_id", "'' AS text", "id AS part")
     got = packing.pack(frame, tokenizer_path(), group_chars=16_000).toPandas()
     assert len(got) == 3000 and got.groupby(got.sequence_id.to_numpy() >> 32).size().max() < 1000
+
+
+def test_lm_tasks_look_a_word_up_once_for_many_tokens(monkeypatch):
+    """Words are hashed and looked up once for a chunk of texts, and triples of
+    all of a task's chunks come out added up."""
+    import pyarrow as pa
+
+    texts = [b"a b C\x1c \xff\xc3\x84.\t", b"", b" \n ", b"A b b"] * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    words = [w for t in texts for w in t.lower().split() + [b""]]
+    hashed, asked, real, look_up = [], [], lm.word_hash, lm.Model.look_up
+    monkeypatch.setattr(lm, "word_hash", lambda w: (hashed.append(w), real(w))[1])
+    monkeypatch.setattr(lm.Model, "look_up", lambda m, h, t: (asked.extend(h.tolist()), look_up(m, h, t))[1])
+    counted = pa.Table.from_batches(lm._count(iter([batch]))).to_pydict()
+    want = collections.Counter(words)
+    assert dict(zip(counted["h"], counted["n"])) == {int(np.uint64(real(w)).astype(np.int64)): n for w, n in want.items()}
+    assert dict(zip(counted["h"], counted["tail"])) == {int(np.uint64(real(w)).astype(np.int64)): lm.tail_class(w) for w in want}
+    z, share = np.zeros, np.full(lm.CLASSES, 1 / lm.CLASSES)
+    c, t, b = z((2, lm.CLASSES + 1, lm.DIMS)), z((lm.CLASSES, lm.DIMS)), np.log(share)
+    model = lm.Model(0, 0, z(0, np.uint64), z(0, np.int64), z(0, np.int64), z(lm.CLASSES), c, t, b, lm.log_normalisers(c, t, b))
+    found = pa.Table.from_batches(lm._triple_counts(model)(iter([batch, batch]))).to_pydict()
+    assert sum(found["n"]) == 2 * len(words) and len(set(found["key"])) == len(found["key"])
+    rows = pa.Table.from_batches(lm._score(model)(iter([batch]))).to_pylist()
+    for r, x in zip(rows, texts):
+        own = collections.Counter(x.lower().split() + [b""])
+        assert r["n_tokens"] == own.total() and r["score0"] == pytest.approx(-own.total() * math.log10(lm.CLASSES))
+        assert dict(zip(r["h"], r["times"])) == {int(np.uint64(real(w)).astype(np.int64)): n for w, n in own.items()}
+    assert len(asked) == 3 * len(want) and len(hashed) == 4 * len(want)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_lm_tokens_are_what_bytes_split_into(large):
+    import pyarrow as pa
+
+    rng, kind = random.Random(5), pa.large_binary() if large else pa.binary()
+    for _ in range(300):
+        alphabet = bytes(rng.sample(range(256), 4)) + b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0aA.,"
+        texts = [bytes(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(rng.randrange(1, 9))]
+        t = lm.Tokens.of(pa.array([b"left out", *texts], kind).slice(1))
+        words = [x.lower().split() + [b""] for x in texts]
+        assert t.sizes.tolist() == list(map(len, words))
+        assert t.hash[t.word].tolist() == [lm.word_hash(w) for own in words for w in own]
+        assert t.tail[t.word].tolist() == [lm.tail_class(w) for own in words for w in own]
