@@ -1,5 +1,6 @@
 import heapq
 import math
+import time
 
 import numpy as np
 import pytest
@@ -92,3 +93,12 @@ def test_header_extents(spark):
     text = _text(9, "$EXTMIN", 10, -1.5, 20, 2, 30, 0, 9, "$EXTMAX", 10, 7, 20, 8, 30, 0)
     got = dxf.extents(spark.createDataFrame([("a", text), ("b", ""), ("c", None)], "drawing string, value string")).collect()
     assert [tuple(r) for r in got] == [("a", -1.5, 2.0, 7.0, 8.0), ("b", None, None, None, None), ("c", None, None, None, None)]
+
+
+def test_a_long_drawing_is_split_once(spark):
+    one = "0\nLINE\n5\n{k}\n8\nwalls\n10\n{k}\n20\n1\n11\n2\n21\n3"
+    text = "\n".join(["0", "SECTION", "2", "ENTITIES", *(one.format(k=k) for k in range(2500)), "0", "ENDSEC", "0", "EOF"])
+    began = time.monotonic()
+    got = dxf.entities(spark.createDataFrame([("d", text), ("none", "0"), ("null", None)], "drawing string, value string")).where("kind = 'LINE'").collect()
+    assert sorted((r.drawing, float(r.handle), r.xs[0], r.x2) for r in got) == [("d", float(k), float(k), 2.0) for k in range(2500)]
+    assert time.monotonic() - began < 30  # split again for each line it takes minutes
