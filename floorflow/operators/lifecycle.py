@@ -110,15 +110,19 @@ def drill_starts(requests: DataFrame, floors: list[str], spans: DataFrame) -> Da
     every = F.array(*map(F.lit, floors)).cast("array<string>")
     lacking = F.filter(every, lambda f: ~F.coalesce(F.array_contains(F.coalesce("origins", F.array().cast("array<string>")), f), F.lit(False)))
     known = requests.select("n", "at_us", F.coalesce("alarm_us", "at_us").alias("alarm_us"), lacking.alias("lacking"))
-    lasting = spans.where(F.col("floor_id").isin(floors)).withColumn("ends", F.coalesce("stop_us", F.lit(2**62)))
-    # a span meets the requests of its own stretches of time
-    stretch = 60_000_000
-    edges = known.agg(F.max("at_us").alias("last")).first().last or 0
-    spread = lasting.where(F.col("start_us") <= edges).withColumn(
-        "m", F.explode(F.sequence(F.expr(f"start_us div {stretch}"), F.expr(f"least(ends, {edges}) div {stretch}")))
-    )
-    met = known.withColumn("m", F.expr(f"at_us div {stretch}")).join(spread, "m").where("at_us >= start_us AND at_us < ends")
-    busy = met.groupBy("n").agg(F.collect_set("floor_id").alias("held"))
+    lasting = spans.where(F.col("floor_id").isin(floors)).select("floor_id", "start_us", F.coalesce("stop_us", F.lit(2**62)).alias("ends"))
+    # a floor is busy when the latest end of the spans begun so far is still to come: those of a request's own stretch
+    # of time in their order, those of earlier stretches by their latest end
+    ends = known.agg(F.min("at_us").alias("first"), F.max("at_us").alias("last")).first()
+    stretch = max(1, ((ends.last or 0) - (ends.first or 0)) // 1000)
+    asked = known.where("at_us IS NOT NULL").select(F.explode(every).alias("floor_id"), F.col("at_us").alias("t"), "n", F.lit(None).cast("bigint").alias("ends"))
+    begun = lasting.where("start_us IS NOT NULL").select("floor_id", F.col("start_us").alias("t"), F.lit(None).cast(known.schema["n"].dataType).alias("n"), "ends")
+    line = begun.withColumn("asks", F.lit(0)).unionByName(asked.withColumn("asks", F.lit(1))).withColumn("m", F.expr(f"t div {stretch}"))
+    earlier = Window.partitionBy("floor_id").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    carried = line.groupBy("floor_id", "m").agg(F.max("ends").alias("ends")).select("floor_id", "m", F.max("ends").over(earlier).alias("carried"))
+    so_far = Window.partitionBy("floor_id", "m").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = line.withColumn("latest", F.max("ends").over(so_far)).where("asks = 1").join(carried, ["floor_id", "m"], "left")
+    busy = met.where("greatest(latest, carried) > t").groupBy("n").agg(F.collect_set("floor_id").alias("held"))
     both = known.join(busy, "n", "left").withColumn("held", F.filter(every, lambda f: F.coalesce(F.array_contains("held", f), F.lit(False))))
     reason = F.when(F.size(every) == 0, "no_floors").when(F.size("lacking") > 0, "no_origin").when(F.size("held") > 0, "busy")
     out = both.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())

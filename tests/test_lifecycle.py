@@ -117,3 +117,18 @@ def test_exits_are_written_into_drawings(spark):
     lists = dxf.exit_list(exits.where("x IS NOT NULL"))
     assert json.loads(lists.where("drawing = 'a'").first().value) == {"exits_m": [[-3.0, 0.13], [10.5, 2.0]]}
     assert dxf.exit_points(lists).count() == 3
+
+
+def test_drill_starts_equal_a_loop_however_many_spans_a_stretch_has(spark):
+    rng = np.random.default_rng(7)
+    begun = rng.integers(0, 200_000_000, 1500)
+    spans = [(f"f{k % 3}", int(a), None if k % 400 == 0 and a > 150_000_000 else int(a + rng.integers(0, 150_000))) for k, a in enumerate(begun)]
+    spans.append(("f1", 20_000_000, 90_000_000))  # over other spans and many stretches
+    asked = [(k, int(t), ["f0", "f1"]) for k, t in enumerate(np.append(rng.integers(0, 210_000_000, 400), begun[:50]))]
+    requests = spark.createDataFrame([(n, t, None, o) for n, t, o in asked] + [(-1, None, None, ["f0", "f1"])], "n long, at_us long, alarm_us long, origins array<string>")
+    out = life.drill_starts(requests, ["f0", "f1"], spark.createDataFrame(spans, "floor_id string, start_us long, stop_us long"))
+    busy = lambda t: ",".join(f for f in ("f0", "f1") if any(g == f and a <= t and (b is None or t < b) for g, a, b in spans))
+    assert {r.n: r.floors for r in out.collect()} == {-1: ""} | {n: busy(t) for n, t, _ in asked}
+    # a request meets no span by span: rows between stretches grow as both tables, not as their product
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "start_us" not in "".join(x for x in plan.splitlines() if "Join" in x)
