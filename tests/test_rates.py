@@ -73,3 +73,8 @@ def test_one_block_of_queries_is_multiplied_as_a_matrix(spark, monkeypatch):
     many = {(r.q, r.vec_id): (r.hit, r.cos) for r in ranking.scored_gallery(vectors, F.col("vec_id") % 5 < 2).collect()}
     assert one == many and len(one) > 1000
     assert ranking.scored_gallery(vectors, F.col("vec_id") == -1).count() == 0
+    ranked = ranking.rank_gallery(vectors, F.col("vec_id") % 5 < 2).collect()
+    monkeypatch.setattr(ranking, "SENT_BYTES", 1 << 20)
+    assert {tuple(r) for r in ranking.first_of_gallery(vectors, F.col("vec_id") % 5 < 2, 4).collect()} == {tuple(r) for r in ranked if r["rank"] <= 4}
+    first = {q: min(r["rank"] for r in ranked if r.q == q and r.hit) for q in {r.q for r in ranked if r.hit}}
+    assert {r.q: r["first"] for r in ranking.first_hits(vectors, F.col("vec_id") % 5 < 2).collect()} == first
